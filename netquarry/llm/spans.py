@@ -179,6 +179,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int, chunk:
             o2 = np.minimum(o1 + chunk - 1, most)
             i1, i2 = _fingerprints(codes, a - o1, a - o2 + span)
             fits = (a - o2 >= 0) & (a - o1 + span <= len(codes))
+            # What is known of a representative holds within its run only.
+            fits &= ~q["multi"][row].astype(bool) | (a - o2 >= q["first"][row]) & (a - o1 <= q["last"][row])
             j1, j2 = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             j1[fits], j2[fits] = _fingerprints(codes, (a - o2)[fits], (a - o1 + span)[fits])
             no = pa.array(~fits)
