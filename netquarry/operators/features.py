@@ -47,7 +47,7 @@ def entity_features(events: DataFrame, partitions: int | None = None, blocks: in
     is a whole number of either sign. No events give no rows.
     """
     n = partitions or shuffle_partitions(events.sparkSession)
-    blocks = blocks or n
+    blocks = blocks or max(min(n, 64), n // 8)  # many partitions meet in fewer blocks, so that states stay larger than their headers
     dealt = (
         events.withColumn("block", F.pmod(F.xxhash64("index_id", "host"), F.lit(blocks)).cast("int"))
         .withColumn("deal", F.coalesce(F.xxhash64("id"), F.xxhash64("host", "time_us", "value")))

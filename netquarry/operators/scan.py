@@ -41,3 +41,50 @@ def running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     rank[order] = np.arange(len(values))
     top = np.maximum.accumulate(rank + group * len(values)) - group * len(values)
     return values[order[top]]
+
+
+def numbered(df: DataFrame, key: str | None, order: list[str], partitions: int) -> DataFrame:
+    """df with `_pos`, the 0-based place of each row within its key (or in the whole table) by `order`.
+
+    One range exchange over (key, order); a linear scan counts within each
+    partition, and a table of one row for each key and partition that meet gives
+    what the partitions before hold. A heavy key spreads over many partitions.
+    `order` should be total within the key, else ties get any order.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from netquarry.session import cut
+
+    by = ([key] if key else []) + order
+    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_k", T.LongType())])
+    where = df.columns.index(key) if key else None
+
+    def count(batches):
+        pid, at, name, begun = partition_id(), 0, None, False
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            idx = np.arange(n)
+            if where is None:
+                k = idx + at
+            else:
+                new = changes(b.column(where), name if begun else None)
+                if begun and b.column(where)[0].as_py() == name:
+                    new[0] = False
+                head = np.maximum.accumulate(np.where(new, idx, -1))
+                k = np.where(head >= 0, idx - head, idx + at)
+                name, begun = b.column(where)[n - 1].as_py(), True
+            at = int(k[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * n, pa.int32()), pa.array(k, pa.int64())], names=schema.names)
+
+    rows = cut(range_sorted(df, partitions, *by).mapInArrow(count, schema))
+    keys = [F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]
+    before = Window.partitionBy("_key").orderBy("_pid2").rowsBetween(Window.unboundedPreceding, -1)
+    offset = rows.groupBy(*keys, F.col("_pid").alias("_pid2")).agg(F.count(F.lit(1)).alias("n")).select("_key", "_pid2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    match = F.col("_pid") == F.col("_pid2")
+    if key:
+        match = match & F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(offset, match).select(*df.columns, (F.col("_k") + F.col("_before")).alias("_pos"))
