@@ -26,7 +26,7 @@ def partition_id() -> int:
 def changes(column: pa.Array, before: str | None) -> np.ndarray:
     """True where a sorted string column differs from the row above it; `before` is the value above the first row."""
     codes = column.dictionary_encode()
-    idx = codes.indices.to_numpy(zero_copy_only=False)
+    idx = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     new = np.empty(len(idx), bool)
     new[1:] = idx[1:] != idx[:-1]
     if len(idx):
