@@ -35,7 +35,7 @@ def jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def json_documents(spark: SparkSession, glob: str) -> DataFrame:
     """One JSON document a file, with the file's name; unreadable ones are left out."""
-    text = spark.read.option("wholetext", True).text(glob).withColumn("path", F.input_file_name())
+    text = spark.read.text(glob, wholetext=True).withColumn("path", F.input_file_name())
     return text.where(F.try_parse_json("value").isNotNull())
 
 

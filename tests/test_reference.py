@@ -1,0 +1,307 @@
+"""Hand-computed cases of the index, tool, scoring, sampling and rollup operators."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from netquarry.functions import hashing
+from netquarry.functions.columns import gold_label, n_unique, sum0
+from netquarry.operators import index, lint, normalize, scoring, strata, summary, tools
+from netquarry.sources import tables
+from netquarry.streaming import monitor
+
+FLOW = "flow_id long, src_ip string, dst_ip string, ts_start double, protocol string, src_port long, dst_port long, bytes_in double, bytes_out double, pkts_in double, pkts_out double, tcp_flags string, flow_duration_ms double, is_malicious boolean"
+
+
+def scanner_flows(spark):
+    """8 quiet pairs, 2 single-target attacks and one scanner with 12 destinations: 72 flows, 22 pairs, 11 hosts."""
+    r = random.Random(7)
+    rows, ts = [], 1_700_000_000.0
+
+    def add(src, dst, step, bad):
+        nonlocal ts
+        rows.append((len(rows), src, dst, ts, "TCP" if r.random() < 0.7 else "UDP", r.randrange(1024, 60000), r.choice([80, 443, 22]), float(r.randrange(80, 5000)), 7.0, 1.0, 2.0, "S", 5.0, bad))
+        ts += step
+
+    for i in range(8):
+        for _ in range(5):
+            add(f"10.0.0.{i}", f"10.0.1.{i}", 1.0, False)
+    for i in range(2):
+        for _ in range(4):
+            add(f"10.0.10.{i}", f"10.0.20.{i}", 1.0, True)
+    for i in range(12):
+        for _ in range(2):
+            add("10.0.99.99", f"10.0.30.{i}", 0.5, True)
+    return spark.createDataFrame(rows, FLOW)
+
+
+def test_index_shape(spark):
+    f = scanner_flows(spark)
+    assert (f.count(), index.pair_stats(f).count(), index.hosts(f).count()) == (72, 22, 11)
+    wide = index.units(index.unit_bridge(f, 10, 5, 1000)).collect()
+    assert sorted((u.unit_type, u.gold_label) for u in wide) == [("host_egress", "malicious")] + [("pair_timeline", "benign")] * 8 + [("pair_timeline", "malicious")] * 2
+    assert next(u for u in wide if u.unit_type == "host_egress").distinct_destinations == 12
+    none = index.units(index.unit_bridge(f, 100, 5, 1000))
+    assert none.where("unit_type = 'host_egress'").count() == 0 and none.count() == 22
+
+
+def test_chunks_keep_every_flow_once(spark):
+    f = scanner_flows(spark)
+    u = index.units(index.unit_bridge(f, 10, 5, 3, partitions=4)).collect()
+    ids = [i for x in u for i in x.flow_ids]
+    assert sorted(ids) == list(range(72)) and max(len(x.flow_ids) for x in u) == 3
+    assert index.units(index.unit_bridge(f, 10, 5, 0)).count() == 11
+    named = index.with_unit_ids(index.units(index.unit_bridge(f, 10, 5, 0))).collect()
+    assert len({x.eval_unit_id for x in named}) == 11 and {x.eval_unit_id[:3] for x in named} == {"pt-", "he-"}
+
+
+def test_flow_ids_are_contiguous(spark):
+    f = scanner_flows(spark).drop("flow_id")
+    got = index.assign_flow_ids(f.unionByName(f.limit(3)), partitions=4).orderBy("flow_id").collect()
+    assert [r.flow_id for r in got] == list(range(75))
+    assert [r.ts_start for r in got] == sorted(r.ts_start for r in got)
+
+
+def test_hosts_agree_with_the_wide_rollup(spark):
+    f = scanner_flows(spark)
+    a = {r.host: (r.flow_count, r.distinct_destinations, r.bytes_in_total) for r in index.hosts(f).collect()}
+    b = {r.host: (r.flow_count, r.distinct_destinations, r.bytes_in_total) for r in index.hosts_rollup(f).collect()}
+    assert a == b and sum(v[0] for v in a.values()) == 72
+
+
+def test_null_conventions(spark):
+    df = spark.createDataFrame([(2, None), (None, None), (2, None)], "a int, b double")
+    r = df.agg(n_unique(F.col("a")).alias("n"), sum0(F.col("b")).alias("s")).first()
+    assert (r.n, r.s) == (2, 0.0)
+    rows = spark.createDataFrame([(0, 5), (4, 5), (3, 5), (5, 5)], "m long, n long")
+    assert [r.g for r in rows.select(gold_label(F.col("m"), F.col("n")).alias("g")).collect()] == ["benign", "malicious", "mixed", "malicious"]
+
+
+# ---- normalisation
+
+COLUMNS = {"IPV4_SRC_ADDR": "a", "IPV4_DST_ADDR": "b", "timestamp": 1_700_000_000_000, "PROTOCOL": "TCP", "L4_SRC_PORT": 1.5, "l4_dst_port": 2.5, "IN_BYTES": 1, "OUT_BYTES": 2, "IN_PKTS": 3, "OUT_PKTS": 4, "dur": 9.0, "rate": None}
+CONFIG = normalize.Config(aliases={"src_ip": ("src_ip", "IPV4_SRC_ADDR"), "dst_ip": ("IPV4_DST_ADDR",), "ts_start": ("ts_start", "timestamp"), "protocol": ("protocol",), "src_port": ("L4_SRC_PORT",), "dst_port": ("L4_DST_PORT",), "bytes_in": ("IN_BYTES",), "bytes_out": ("OUT_BYTES",), "pkts_in": ("IN_PKTS",), "pkts_out": ("OUT_PKTS",), "tcp_flags": ("flags",), "flow_duration_ms": ("dur",), "sampling_rate": ("rate",)})
+
+
+def raw(spark, **extra):
+    cols = COLUMNS | extra
+    df = spark.createDataFrame([(1,)], "x int")
+    types = {int: "long", float: "double", str: "string", bool: "boolean", type(None): "long"}
+    return df.select(*[F.lit(v).cast(types[type(v)]).alias(k) for k, v in cols.items()])
+
+
+@pytest.mark.parametrize("extra,label,bad,number", [
+    ({}, "benign", False, None),
+    ({"Label": 1}, "malicious", True, 1),
+    ({"Attack": "Benign", "Label": 1}, "Benign", False, 1),
+    ({"Attack": "   "}, "benign", True, None),
+    ({"attack": " Scan "}, "Scan", True, None),
+    ({"Attack": ""}, "benign", False, None),
+])
+def test_labels(spark, extra, label, bad, number):
+    r = normalize.normalize(raw(spark, **extra), CONFIG).first()
+    assert (r._attack_label, r._is_malicious, r._numeric_label) == (label, bad, number)
+    assert (r.ts_start, r.src_port, r.dst_port, r.tcp_flags, r.sampling_rate) == (1_700_000_000.0, 2, 2, "", 1)
+
+
+def test_missing_and_clashing_columns(spark):
+    with pytest.raises(ValueError, match="src_ip"):
+        normalize.normalize(raw(spark).drop("IPV4_SRC_ADDR"), CONFIG)
+    assert normalize.resolve(["a", "B", "b"], ("x", "b")) == 2
+    r = normalize.normalize(raw(spark, c0=5, _attack_label=1), CONFIG).first()
+    assert r.src_ip == "a" and r._attack_label == "benign"
+
+
+def test_seconds_by_median(spark):
+    df = raw(spark).withColumn("ts_start", F.lit(1_700_000_000.0))
+    assert normalize.normalize(df, CONFIG).first().ts_start == 1_700_000_000.0
+
+
+# ---- tools
+
+
+@pytest.fixture(scope="module")
+def ix(spark):
+    f = scanner_flows(spark)
+    return tools.Index(f, index.pair_stats(f), index.hosts_rollup(f))
+
+
+def test_registry(ix):
+    r = tools.registry()
+    r.allow("analyst", ["list_pairs", "get_flows", "submit_assessment", "host_rollup", "rarity_stats"])
+    assert set(r.smoke(ix, "analyst").values()) == {"ok"}
+    for call in (
+        lambda: r.call(ix, "pair_stats", "analyst", src_ip="a", dst_ip="b"),
+        lambda: r.call(ix, "list_pairs", sort="gold_label"),
+        lambda: r.call(ix, "list_pairs", surprise=1),
+        lambda: r.call(ix, "get_pair_timeline", src_ip="a"),
+        lambda: r.call(ix, "get_flows", flow_ids=[True]),
+        lambda: r.add(tools.Tool("list_pairs", tools.list_pairs, {}, {})),
+        lambda: r.allow("x", ["nothing"]),
+        lambda: r.call(ix, "submit_assessment", verdict="benign", confidence=0.5, malicious_flow_indices=[1, 1]),
+    ):
+        with pytest.raises(tools.ToolError):
+            call()
+    with pytest.raises(RuntimeError):
+        r.allowed("stranger")
+
+
+def test_tools_never_leak(ix):
+    r = tools.registry()
+    r.add(tools.Tool("open_book", lambda ix: ix.pair_stats, {}, {}))
+    with pytest.raises(tools.LeakError, match="malicious_flow_count"):
+        r.call(ix, "open_book")
+    nested = ix.flows.select(F.array(F.struct(F.lit(1).alias("gold_label"))).alias("x"))
+    with pytest.raises(tools.LeakError, match=r"\$\.x\[\]\.gold_label"):
+        tools.assert_no_leak(nested.schema)
+
+
+def test_tool_results(ix):
+    assert [r.flow_id for r in tools.get_flows(ix, [3, 1, 500]).collect()] == [1, 3]
+    assert [tuple(r) for r in tools.missing_flow_ids(ix, [900, 1, 900]).collect()] == [(0, 900), (2, 900)]
+    assert tools.pair_timeline_total(ix, "10.0.0.1", "10.0.1.1").first()[0] == 5
+    assert [r.flow_id for r in tools.get_pair_timeline(ix, "10.0.0.1", "10.0.1.1", 3, 50).collect()] == [8, 9]
+    assert tools.top_destinations(ix, "10.0.99.99", 3).count() == 3
+    assert tools.host_rollup(ix, "nowhere").count() == 0
+    assert tools.clamp(None, 20, 200) == 20 and tools.clamp(0, 20, 200) == 1 and tools.clamp(999, 20, 200) == 200
+
+
+# ---- scoring
+
+SUB = "provider string, persona string, unit string, verdict string, indices array<long>, destinations array<string>, observed_ids array<long>, observed_dsts array<string>"
+BRIDGE = "unit string, flow_id long, src_ip string, dst_ip string, is_malicious boolean"
+
+
+@pytest.mark.parametrize("flows,ids,dsts,seen,seen_dst,verdict,want", [
+    ([(0, "A", "X", True), (1, "A", "X", False), (2, "A", "Y", True)], [0, 2], [], None, None, "malicious", ([0, 2], 1.0, 1.0, 1.0, None)),
+    ([(0, "A", "X", True), (1, "A", "X", False), (2, "A", "Y", True)], [0], [], None, None, "malicious", ([0], 2 / 3, 2 / 3, 1.0, None)),
+    ([(0, "A", "X", True), (1, "A", "X", False)], [0, 999], [], None, None, "malicious", ([0], 1.0, 1.0, 1.0, None)),
+    ([(0, "A", "X", False)], [], [], None, None, "benign", ([], 1.0, 1.0, 1.0, None)),
+    ([(0, "A", "X", False), (1, "A", "Y", False)], [0], [], None, None, "benign", ([0], 0.0, 0.0, 0.0, "benign_with_flows")),
+    ([(0, "A", "X", False), (1, "A", "X", False), (2, "A", "Y", True), (3, "A", "Y", True)], [], ["Y"], None, None, "malicious", ([2, 3], 1.0, 1.0, 1.0, None)),
+    ([(0, "A", "X", True), (1, "A", "Y", True), (2, "A", "Y", True)], [0], ["Y"], None, None, "malicious", ([0, 1, 2], 1.0, 1.0, 1.0, None)),
+    ([(2, "A", "Y", True)], [2], [], [0, 1], None, "malicious", ([], 0.0, 0.0, 0.0, "malicious_without_flows")),
+    ([(2, "A", "Y", True)], [2], [], [0, 1, 2], None, "malicious", ([2], 1.0, 1.0, 1.0, None)),
+    ([(2, "A", "Y", True)], [], ["Y"], None, [], None, ([], 0.0, 0.0, 0.0, None)),
+    ([(2, "A", "Y", True)], [], ["Y"], [], ["Y"], "malicious", ([2], 1.0, 1.0, 1.0, None)),
+])
+def test_scores(spark, flows, ids, dsts, seen, seen_dst, verdict, want):
+    b = spark.createDataFrame([("u", *f) for f in flows] + [("other", 999, "A", "Y", True)], BRIDGE)
+    s = spark.createDataFrame([("p", "q", "u", verdict, ids, dsts, seen, seen_dst)], SUB)
+    assert sorted(r.flow_id for r in scoring.resolved(s, b).collect()) == want[0]
+    r = scoring.scored(s, b).first()
+    assert (pytest.approx(r.per_flow_f1), pytest.approx(r.per_pair_f1), pytest.approx(r.per_host_f1), r.defect) == want[1:]
+
+
+SCORED = "provider string, persona string, unit_type string, gold_label string, valid boolean, verdict string, confidence double, per_flow_f1 double, per_pair_f1 double, per_host_f1 double, per_flow_precision double, per_flow_recall double, defect string, wall_time_ms long"
+
+
+def test_rollups(spark):
+    row = lambda t, g, ok, v, c, f, h: ("p", "q", t, g, ok, v, c, f, f, h, f, f, None, 10)
+    s = spark.createDataFrame([row("host_egress", "malicious", True, "malicious", 0.9, 0.0, 1.0), row("pair_timeline", "mixed", True, "benign", 0.6, 0.4, 0.0), row("pair_timeline", "malicious", False, None, None, 0.0, 0.0), row("pair_timeline", "benign", True, "malicious", 0.5, 0.0, 0.0), row("pair_timeline", "benign", True, "benign", 0.8, 1.0, 1.0)], SCORED)
+    v = summary.verdict_confusion(s).first()
+    assert (v.tp, v.fp, v.tn, v.fn) == (1, 1, 1, 1) and v.coverage_adjusted_recall == pytest.approx(1 / 3) and v.f1 == 0.5
+    c = summary.confidence(s).first()
+    assert (c.n, pytest.approx(c.mean), pytest.approx(c.mean_correct), pytest.approx(c.mean_incorrect)) == (4, 0.7, 0.85, 0.55)
+    e = summary.score_entry(s).first()
+    assert e.units == 5 and e.units_scored == 4 and e.native_lens_f1 == pytest.approx((1.0 + 0.4 + 0 + 1) / 4) and e.first_pass_valid_rate == 0.8
+    none = summary.verdict_confusion(s.where("gold_label = 'benign' and verdict = 'benign'")).first()
+    assert (none.precision, none.recall, none.f1, none.coverage_adjusted_recall, none.accuracy) == (None, None, None, None, 1.0)
+
+
+def test_latency_is_nearest_rank(spark):
+    df = spark.createDataFrame([("p", "q", v) for v in [5, 1, 1, 9, 3, None]] + [("p", "r", 4)], "provider string, persona string, wall_time_ms long")
+    got = {r.persona: (r["count"], r.mean, r.p50, r.p95, r["max"]) for r in summary.latency(df).collect()}
+    assert got == {"q": (5, 3, 1, 9, 9), "r": (1, 4, 4, 4, 4)}
+
+
+def test_runs(spark):
+    runs = spark.createDataFrame([("main", "r1"), ("main", "r3"), ("x", "r2"), ("x", None)], "ablation string, run_id string")
+    assert {tuple(r) for r in summary.latest_runs(runs).collect()} == {("main", "r3"), ("x", "r2")}
+    s = spark.createDataFrame([("main", "p", "q", 0.8, None), ("x", "p", "q", 0.5, 1.0), ("main", "p", "z", 1.0, 1.0)], "ablation string, provider string, persona string, f double, g double")
+    assert [(r.ablation, r.metric, pytest.approx(r.delta)) for r in summary.ablation_delta(s, ["f", "g"]).collect()] == [("x", "f", 0.3)]
+    assert [tuple(r) for r in summary.missing_keys(s).collect()] == [("x", "p", "z")]
+
+
+def test_running_totals_and_streaks(spark):
+    t = spark.createDataFrame([("a", i, 1, 10.0) for i in range(5)], "k string, o int, turns int, cost double")
+    assert tuple(summary.running_caps(t, ["k"], "o", {"turns": 4, "cost": 40.0}).first()) == ("a", 3, "turns")
+    e = spark.createDataFrame([("a", i, ok) for i, ok in enumerate([True, False, False, True, False, False, False])] + [("b", 0, False)], "k string, o int, ok boolean")
+    assert [tuple(r) for r in summary.streaks(e, "k", "o", "ok", 3).collect()] == [("a", 6)]
+    assert summary.streaks(e, "k", "o", "ok", 0).count() == 0
+
+
+# ---- sampling
+
+
+def test_selection(spark):
+    rows = [(f"u{i}", *strata.STRATA[i % 5]) for i in range(20)]
+    u = spark.createDataFrame(rows, "eval_unit_id string, unit_type string, gold_label string")
+    assert strata.select(u, 1, 1).count() == 5
+    assert strata.select(u, 1, 1, min_total=8).count() == 8
+    capped = strata.select(u, 1, 3, cap=10)
+    assert capped.count() == 10
+    order = [(r.unit_type, r.gold_label) for r in strata.rotation(strata.select(u, 1, 3)).orderBy("place").collect()]
+    assert order == strata.STRATA[:5] * 3
+    counts = {(r.unit_type, r.gold_label): (r.available, r.selected) for r in strata.available(u, capped).collect()}
+    assert counts[strata.STRATA[5]] == (0, 0) and sum(c for _, c in counts.values()) == 10
+
+
+def test_exact_sample():
+    units = [(f"u{i}", *strata.STRATA[i % 6]) for i in range(18)]
+    a = strata.exact_sample(units, "smoke", 1, "h", 1, min_total=8)
+    assert len(a) == len(set(a)) == 8 and a == strata.exact_sample(list(reversed(units)), "smoke", 1, "h", 1, min_total=8)
+    assert len(strata.exact_sample(units, "full", 1, "h", 5, cap=10)) == 10
+    assert a != strata.exact_sample(units, "smoke", 2, "h", 1, min_total=8)
+
+
+# ---- text, hashes, files, streams
+
+
+def test_lint(spark):
+    texts = ["see 10.0.0.1/24", "fe80:0:0:1", "a" * 32, "the gold_label is", "a ddos came", "clean", None, "Gold_Label"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.pattern, r.matched) for r in lint.forbidden(df, families=["DDoS"]).collect()}
+    assert got == {0: ("ipv4_literal", "10.0.0.1/24"), 1: ("ipv6_literal", "fe80:0:0:1"), 2: ("hex_hash", "a" * 32), 3: ("label_column", "gold_label"), 4: ("attack_family", "ddos")}
+
+
+def test_hashes(tmp_path):
+    assert hashing.canonical_json({"b": 1, "a": ["é"]}) == '{"a":["\\u00e9"],"b":1}'
+    assert len(hashing.hash_obj([1])) == 32 and hashing.hash_flow_ids([3, 1]) == hashing.hash_flow_ids((1, 3))
+    with pytest.raises(TypeError):
+        hashing.canonical_json({1, 2})
+    p = tmp_path / "x"
+    p.write_bytes(b"abc" * 1000)
+    assert hashing.hash_file(p, block=7) == hashing.digest(b"abc" * 1000)
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é", None), (2, None, 2.5)], "b int, a string, c double")
+    tables.write_jsonl(df, str(tmp_path / "j"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "j")).collect())
+    assert lines == ['{"a":"\\u00e9","b":1,"c":null}', '{"a":null,"b":2,"c":2.5}']
+    assert tables.jsonl(spark, str(tmp_path / "j"), df.schema).count() == 2
+    tables.mirror_parquet(spark, str(tmp_path / "j"), str(tmp_path / "p"))
+    tables.write_parquet(df, str(tmp_path / "q"))
+    assert tables.parquet_files(spark, [str(tmp_path / "q")] * 2).count() == 4
+    tables.write_parquet(df.drop("c"), str(tmp_path / "r"))
+    with pytest.raises(ValueError, match="'c'"):
+        tables.parquet_files(spark, [str(tmp_path / "q"), str(tmp_path / "r")])
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.json").write_text('{"x":\n1}')
+    (tmp_path / "d/b.json").write_text("{broken")
+    assert tables.json_documents(spark, str(tmp_path / "d/*.json")).count() == 1
+
+
+def test_streaming_monitor(spark, tmp_path):
+    rows = [(i, "A " if i % 2 else "a", f"d{i % 7}", 1000.0 + i) for i in range(100)] + [(5, "a", "d1", 1005.0), (None, None, None, None), (900, "a", "z", 90_000.0)]
+    spark.createDataFrame(rows, "_flow_id long, src_ip string, dst_ip string, ts_start double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("_flow_id long, src_ip string, dst_ip string, ts_start double").parquet(str(tmp_path / "in"))
+    q = monitor.to_jsonl(monitor.fanout(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert [(r.src_ip, r.flow_count, r.distinct_destinations) for r in got] == [("a", 100, 7)]
+    s = monitor.live_sessions(stream, "10 minutes").writeStream.format("memory").queryName("live").outputMode("append").trigger(availableNow=True).start()
+    s.awaitTermination(120)
+    assert [r.flow_count for r in spark.table("live").collect()] == [100]
