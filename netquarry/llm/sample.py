@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.columns import trimmed
-from netquarry.session import small
+from netquarry.session import cut, small
 
 #: Slices of a stratum's reservoir. Within one slice units are ranked, so it holds 1/SLICES of a stratum.
 SLICES = 4096
@@ -67,7 +67,7 @@ def exhausted_strata(units: DataFrame, targets: DataFrame, seed: int = 0, slices
 
 def draw(units: DataFrame, targets: DataFrame, seed: int = 0, slices: int = SLICES) -> DataFrame:
     """The samples: (plan_id, unit_type, gold_label, eval_unit_id). Each stratum gives its units of lowest priority, a uniform draw; ties go by id. One plan's strata are disjoint; plans share units."""
-    members = stratified_units(units, seed, slices)
+    members = cut(stratified_units(units, seed, slices))  # the reservoirs, made in one pass; what follows only trims them
     counts = _slice_counts(members)
     below = F.coalesce(F.sum("n").over(Window.partitionBy("unit_type", "gold_label").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # At most strata x slices rows: the room each slice leaves a plan.
