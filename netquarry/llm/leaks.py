@@ -9,7 +9,6 @@ that stands in full is a window at distance 0.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,29 +26,42 @@ _HIDDEN = {0x200B: None, 0xAD: None}
 
 def words(text: str | None) -> list[str]:
     """Longest runs of letters and digits in lower case, after U+200B and U+00AD are removed."""
-    return [w.lower() for w in _WORD.findall(text.translate(_HIDDEN))] if text else []
+    if not text:
+        return []
+    if "\u200b" in text or "\xad" in text:
+        text = text.translate(_HIDDEN)
+    found = _WORD.findall(text)
+    return " ".join(found).lower().split(" ") if found else []
 
 
-def myers(pattern: list[int], text: list[int]) -> list[int]:
-    """Edit distance of the pattern (at most 63 symbols) to the best stretch of the text ending at each of its places, by bit-parallel columns."""
-    m = len(pattern)
+def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Least edit distance of each row's pattern (1 to 63 symbols above 0) to any stretch of the row's text, by bit-parallel columns over all rows at once; 0 in a text equals nothing."""
+    n, m = patterns.shape
     if not 0 < m < 64:
-        raise ValueError("the pattern must have 1 to 63 symbols")
-    peq: dict[int, int] = {}
-    for i, p in enumerate(pattern):
-        peq[p] = peq.get(p, 0) | 1 << i
-    mask, top = (1 << m) - 1, 1 << (m - 1)
-    vp, vn, score, out = mask, 0, m, []
-    for t in text:
-        eq = peq.get(t, 0)
+        raise ValueError("a pattern must have 1 to 63 symbols")
+    u = np.uint64
+    bits = u(1) << np.arange(m, dtype=u)
+    mask, top, one = u((1 << m) - 1), u(m - 1), u(1)
+    vp, vn = np.full(n, mask), np.zeros(n, u)
+    score = np.full(n, m, np.int64)
+    best = score.copy()
+    for j in range(texts.shape[1]):
+        eq = (patterns == texts[:, j : j + 1]) @ bits
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
-        hp = (vn | ~(d0 | vp)) & mask
-        hn = vp & d0
-        score += 1 if hp & top else -1 if hn & top else 0
-        hp, hn = hp << 1, hn << 1  # row 0 stays 0: a match may begin anywhere
-        vp = (hn | ~(d0 | hp)) & mask
-        vn = hp & d0 & mask
-        out.append(score)
+        hp, hn = (vn | ~(d0 | vp)) & mask, vp & d0
+        score += ((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64)
+        hp, hn = hp << one, hn << one  # row 0 stays 0: a match may begin anywhere
+        vp, vn = (hn | ~(d0 | hp)) & mask, hp & d0 & mask
+        np.minimum(best, score, out=best)
+    return best
+
+
+def _piece_codes(codes: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit code of each stretch of `length` symbols. Equal stretches have equal codes; what collides besides is settled by the verification."""
+    out = np.zeros(max(0, len(codes) - length + 1), np.uint64)
+    for i in range(length):
+        out = (out ^ codes[i : i + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
     return out
 
 
@@ -61,55 +73,94 @@ class Matcher:
             raise ValueError("each of the budget + 1 pieces needs a word, and a window has at most 63")
         self.window, self.budget, self.piece = window, budget, window // (budget + 1)
         self.number: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        self.places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        codes, self.item, start, end = [], [], [], []
         for item, text in items:
-            codes = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            if len(codes) < window:
-                continue
-            k = len(self.items)
-            self.items.append((item, codes))
-            for at in range(len(codes) - self.piece + 1):
-                self.places[tuple(codes[at : at + self.piece])].append((k, at))
-        self.first = {p[0] for p in self.places}
-
-    def search(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """item -> (least distance of any of its windows, windows within the budget)."""
-        codes = [self.number.get(w, 0) for w in words(text)]
-        n, p, w = len(codes), self.piece, self.window
-        known = np.flatnonzero(np.array(codes, np.int64) > 0) if codes else []
-        # (item, window's first word, place in the text it would begin at without edits before the piece)
-        asked: set[tuple[int, int, int]] = set()
-        for at in known:
-            if at + p > n or codes[at] not in self.first:
-                continue
-            for k, off in self.places.get(tuple(codes[at : at + p]), ()):
-                length = len(self.items[k][1])
-                for j in range(self.budget + 1):  # the piece is the j-th of the window
-                    begin = off - j * p
-                    if 0 <= begin and begin + w <= length:
-                        asked.add((k, begin, int(at) - j * p))
-        found: dict[int, list[int]] = {}
-        for k, begin, place in asked:
-            pattern = self.items[k][1][begin : begin + w]
-            lo, hi = max(0, place - self.budget), min(n, place + w + self.budget)
-            if place >= 0 and codes[place : place + w] == pattern:
-                distance = 0
-            else:
-                distance = min(myers(pattern, codes[lo:hi]), default=w)
-            if distance <= self.budget:
-                entry = found.setdefault(self.items[k][0], [distance, 0])
-                entry[0] = min(entry[0], distance)
-                entry[1] += 1
-        return {i: (d, c) for i, (d, c) in found.items()}
+            own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            if len(own) >= window:
+                start += [len(codes)] * len(own)
+                codes += own
+                end += [len(codes)] * len(own)
+                self.item += [item] * len(own)
+        self.codes, self.item = np.array(codes, np.int64), np.array(self.item, np.int64)
+        # First and last place of the item that each place belongs to; pieces that cross items are left out.
+        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
+        at = np.arange(max(0, len(codes) - self.piece + 1))
+        at = at[at + self.piece <= self.end[: len(at)]] if len(at) else at
+        hashed = _piece_codes(self.codes, self.piece)[at]
+        order = np.argsort(hashed, kind="stable")
+        self.place = at[order]
+        self.known, first = np.unique(hashed[order], return_index=True)
+        self.bounds = np.append(first, len(order))
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(number of the text, item, least distance of any of its windows there, windows within the budget)."""
+        w, p = self.window, self.piece
+        pad = [0] * (w + self.budget)
+        codes, owner = list(pad), [-1] * len(pad)
+        get = self.number.get
+        for i, t in enumerate(texts):
+            own = [get(x, 0) for x in words(t)]
+            codes += own + pad
+            owner += [i] * (len(own) + len(pad))
+        codes, owner = np.array(codes, np.int64), np.array(owner, np.int64)
+        if not len(self.known) or len(codes) < 2 * len(pad):
+            return []
+        hashed = _piece_codes(codes, p)
+        slot = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
+        at = np.flatnonzero((self.known[slot] == hashed) & (codes[: len(hashed)] > 0))
+        count = (self.bounds[1:] - self.bounds[:-1])[slot[at]]
+        row = np.repeat(np.arange(len(at)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        text_at, item_at = at[row], self.place[self.bounds[slot[at]][row] + nth]
+        # The piece is the j-th of a window, for each j that leaves the window within its item.
+        shift = np.arange(self.budget + 1) * p
+        begin = (item_at[:, None] - shift).ravel()
+        place = (text_at[:, None] - shift).ravel()
+        whose = np.repeat(item_at, self.budget + 1)
+        text_no = np.repeat(owner[text_at], self.budget + 1)
+        inside = (begin >= self.start[whose]) & (begin + w <= self.end[whose])
+        begin, place, text_no = begin[inside], place[inside], text_no[inside]
+        if not len(begin):
+            return []
+        key = np.unique(np.stack([text_no, begin, place], 1), axis=0)
+        found = []
+        for lo in range(0, len(key), 50_000):
+            text_no, begin, place = key[lo : lo + 50_000].T
+            reach = place[:, None] + np.arange(-self.budget, w + self.budget)
+            texts_ = codes[np.clip(reach, 0, len(codes) - 1)]
+            texts_[(reach < 0) | (reach >= len(codes))] = 0
+            d = myers(self.codes[begin[:, None] + np.arange(w)], texts_)
+            hit = d <= self.budget
+            found.append(np.stack([text_no[hit], self.item[begin[hit]], d[hit]], 1))
+        best: dict[tuple[int, int], list[int]] = {}
+        for no, item, d in np.concatenate(found).tolist():
+            entry = best.setdefault((no, item), [d, 0])
+            entry[0], entry[1] = min(entry[0], d), entry[1] + 1
+        return [(no, item, d, c) for (no, item), (d, c) in best.items()]
+
+
+#: Characters of text searched at once.
+AT_ONCE = 2_000_000
 
 
 def _search(batches: Iterator[pa.RecordBatch], items, window: int, budget: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(items.value, window, budget)
-    for b in batches:
-        rows = [(doc, item, d, c) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for item, (d, c) in matcher.search(text).items()]
+
+    def answer(docs, texts) -> pa.RecordBatch:
+        rows = [(docs[no], item, d, c) for no, item, d, c in matcher.search(texts)]
         cols = zip(*rows) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "item_id", "distance", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "item_id", "distance", "windows"])
+
+    for b in batches:
+        docs, texts, size = [], [], 0
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            docs.append(doc), texts.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield answer(docs, texts)
+                docs, texts, size = [], [], 0
+        if docs:
+            yield answer(docs, texts)
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = WORDS, budget: int = BUDGET, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
