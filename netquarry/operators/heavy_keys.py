@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.columns import epoch_us, source_id, whole
-from netquarry.session import shuffle_partitions
+from netquarry.session import cut, shuffle_partitions
 
 #: How two states of each kind become one.
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
@@ -72,7 +72,6 @@ def host_states(flows: DataFrame, chunks: int | None = None, fan_in: int = 8) ->
 def heavy_sources(flows: DataFrame, share: float = 0.02, chunks: int | None = None, fan_in: int = 8) -> DataFrame:
     """Sources (src_ip, flow_count) that hold at least `share` of all flows, those without source counted in the whole."""
     rows = flows.select("_flow_id", source_id(F.col("src_ip")).alias("src_ip"))
-    state = tree_aggregate(rows, ["src_ip"], {"flow_count": ("count", F.lit(1))}, "_flow_id", chunks, fan_in)
-    total = state.agg(F.sum("flow_count").alias("_n"))
-    share_d = F.lit(str(share)).cast("decimal(18,12)")
-    return state.crossJoin(F.broadcast(total)).where(F.col("src_ip").isNotNull() & (F.col("flow_count") >= share_d * F.col("_n"))).select("src_ip", "flow_count")
+    state = cut(tree_aggregate(rows, ["src_ip"], {"flow_count": ("count", F.lit(1))}, "_flow_id", chunks, fan_in))
+    total = state.agg(F.coalesce(F.sum("flow_count"), F.lit(0)).cast("decimal(18,0)")).scalar()
+    return state.where(F.col("src_ip").isNotNull() & (F.col("flow_count") >= F.lit(str(share)).cast("decimal(18,12)") * total)).select("src_ip", "flow_count")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,32 @@ def whole_number(c: Column, kind: T.DataType) -> Column:
     return (F.bround(c, 0) if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else c).cast("long")
 
 
+def median_above(df: DataFrame, value: Column, bound: float) -> bool:
+    """Whether the exact median (the mean of the middle two of an even count) exceeds the bound, from counts and the two values beside the bound; NaN and null do not count."""
+    v = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    r = v.agg(F.count_if(F.col("v") > bound).alias("above"), F.count_if(F.col("v") <= bound).alias("below"), F.max(F.when(F.col("v") <= bound, F.col("v"))).alias("low"), F.min(F.when(F.col("v") > bound, F.col("v"))).alias("high")).first()
+    return r.above > r.below or r.above == r.below > 0 and (r.low + r.high) / 2 > bound
+
+
+def exact_median(df: DataFrame, value: Column, accuracy: int = 100_000) -> DataFrame:
+    """One row with the exact interpolated median (null over nothing). A sketch brackets the middle ranks to about 1/accuracy of the rows; only the values within are ordered."""
+    v = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    sketch = v.agg(F.percentile_approx("v", [max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)], accuracy).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    if not sketch.n:
+        return v.agg(F.max("v").alias("median"))
+    low, high = sketch.q
+    below = v.where(F.col("v") < low).count()
+    ranks = [(sketch.n - 1) // 2, sketch.n // 2]
+    band = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("v")) + below)
+    middle = [F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]
+    return band.agg(((middle[0] + middle[1]) / 2).alias("median"))
+
+
 def in_milliseconds(df: DataFrame, col: str, source: str, config: Config) -> bool:
     """A listed alias is in milliseconds; otherwise the exact median decides."""
     if source.lower() in {a.lower() for a in config.millisecond_aliases}:
         return True
-    m = df.select(F.median(F.col(col).cast("double")).alias("m")).first().m
-    return m is not None and m > 1e12
+    return median_above(df, F.col(col), 1e12)
 
 
 def attack_label(c: Column) -> Column:

@@ -43,8 +43,8 @@ def running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return values[order[top]]
 
 
-def numbered(df: DataFrame, key: str | None, order: list[str], partitions: int) -> DataFrame:
-    """df with `_pos`, the 0-based place of each row within its key (or in the whole table) by `order`.
+def numbered(df: DataFrame, key: str | None, order: list[str], partitions: int, sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with `_pos`, the 0-based place of each row within its key (or in the whole table) by `order`, and for each column of `sums` its running sum `_sum_<column>` up to and with the row (nulls count 0).
 
     One range exchange over (key, order); a linear scan counts within each
     partition, and a table of one row for each key and partition that meet gives
@@ -58,33 +58,42 @@ def numbered(df: DataFrame, key: str | None, order: list[str], partitions: int)
     from netquarry.session import cut
 
     by = ([key] if key else []) + order
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_k", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_k", T.LongType()), *[T.StructField(f"_in_{c}", T.DoubleType()) for c in sums]])
     where = df.columns.index(key) if key else None
+    summed = [df.columns.index(c) for c in sums]
 
     def count(batches):
-        pid, at, name, begun = partition_id(), 0, None, False
+        pid, at, name, begun, held = partition_id(), 0, None, False, np.zeros(len(summed))
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
             idx = np.arange(n)
-            if where is None:
-                k = idx + at
-            else:
+            new = np.zeros(n, bool)
+            if where is not None:
                 new = changes(b.column(where), name if begun else None)
                 if begun and b.column(where)[0].as_py() == name:
                     new[0] = False
-                head = np.maximum.accumulate(np.where(new, idx, -1))
-                k = np.where(head >= 0, idx - head, idx + at)
                 name, begun = b.column(where)[n - 1].as_py(), True
+            head = np.maximum.accumulate(np.where(new, idx, -1))
+            k = np.where(head >= 0, idx - head, idx + at)
             at = int(k[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * n, pa.int32()), pa.array(k, pa.int64())], names=schema.names)
+            more = []
+            for i, c in enumerate(summed):
+                v = np.nan_to_num(b.column(c).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False))
+                upto = np.cumsum(v)
+                base = np.where(head > 0, upto[head - 1], 0.0)
+                run = upto - base + np.where(head >= 0, 0.0, held[i])
+                held[i] = run[-1]
+                more.append(pa.array(run))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * n, pa.int32()), pa.array(k, pa.int64()), *more], names=schema.names)
 
     rows = cut(range_sorted(df, partitions, *by).mapInArrow(count, schema))
     keys = [F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]
     before = Window.partitionBy("_key").orderBy("_pid2").rowsBetween(Window.unboundedPreceding, -1)
-    offset = rows.groupBy(*keys, F.col("_pid").alias("_pid2")).agg(F.count(F.lit(1)).alias("n")).select("_key", "_pid2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    met = rows.groupBy(*keys, F.col("_pid").alias("_pid2")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"_of_{c}") for c in sums])
+    offset = met.select("_key", "_pid2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), *[F.coalesce(F.sum(f"_of_{c}").over(before), F.lit(0.0)).alias(f"_before_{c}") for c in sums])
     match = F.col("_pid") == F.col("_pid2")
     if key:
         match = match & F.col(key).eqNullSafe(F.col("_key"))
-    return rows.join(offset, match).select(*df.columns, (F.col("_k") + F.col("_before")).alias("_pos"))
+    return rows.join(offset, match).select(*df.columns, (F.col("_k") + F.col("_before")).alias("_pos"), *[(F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(f"_sum_{c}") for c in sums])

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquarry.operators.scan import numbered
+from netquarry.session import shuffle_partitions
+
 GROUP = ["provider", "persona"]
 LENSES = ["per_flow_f1", "per_pair_f1", "per_host_f1", "per_flow_precision", "per_flow_recall"]
 
 
-def nearest_rank(values: Column, pct: float) -> Column:
-    """Nearest-rank percentile of a collected array: place round-half-even(pct/100 * n), at least the first."""
-    n = F.size(values)
-    k = F.least(n, F.greatest(F.lit(1), F.bround(F.lit(pct / 100.0) * n).cast("int")))
-    return F.element_at(F.array_sort(values), k)
-
-
 def latency(calls: DataFrame, value: str = "wall_time_ms") -> DataFrame:
     """count, mean cut to whole, p50, p95 by nearest rank, max. Equal latencies are counted first, so a group is its distinct values."""
     v = calls.where(F.col(value).isNotNull()).groupBy(*GROUP, value).agg(F.count(F.lit(1)).alias("n"))
@@ -112,28 +108,36 @@ def ablation_delta(scores: DataFrame, metrics: list[str], main: str = "main") ->
 
 def missing_keys(scores: DataFrame, main: str = "main") -> DataFrame:
     """(ablation, provider, persona) that main has and the ablation lacks."""
-    tags = scores.where(F.col("ablation") != main).select("ablation").distinct()
-    want = scores.where(F.col("ablation") == main).select(*GROUP).distinct().join(F.broadcast(tags))
+    tags = scores.where(F.col("ablation") != main).agg(F.collect_set("ablation"))
+    want = scores.where(F.col("ablation") == main).select(*GROUP).distinct().withColumn("ablation", F.explode(tags.scalar()))
     return want.join(scores.select("ablation", *GROUP), ["ablation", *GROUP], "left_anti").select("ablation", *GROUP)
 
 
-def running_caps(turns: DataFrame, key: list[str], order: str, caps: dict[str, float]) -> DataFrame:
-    """The first turn of each rendering at which a running total reaches its cap, and the cap's name; caps are tried in the order given, and all use >=."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    t = turns.select(*key, order, *[F.sum(c).over(w).alias(f"_{c}") for c in caps])
+def running_caps(turns: DataFrame, key: list[str], order: str, caps: dict[str, float], partitions: int | None = None) -> DataFrame:
+    """The first turn of each rendering at which a running total reaches its cap, and the cap's name; caps are tried in the order given, and all use >=.
+
+    Totals run over range partitions, so a rendering of any length is spread.
+    """
+    joined = turns.select(*key, order, *caps, F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("_rendering"))
+    t = numbered(joined, "_rendering", [order], partitions or shuffle_partitions(turns.sparkSession), tuple(caps))
     reason = None
     for c, cap in caps.items():
-        hit = F.col(f"_{c}") >= F.lit(cap)
+        hit = F.col(f"_sum_{c}") >= F.lit(cap)
         reason = F.when(hit, c) if reason is None else reason.when(hit, c)
     t = t.withColumn("reason", reason).where("reason is not null")
     return t.groupBy(*key).agg(F.min(F.struct(order, "reason")).alias("s")).select(*key, F.col(f"s.{order}").alias("stopped_at"), F.col("s.reason").alias("reason"))
 
 
-def streaks(events: DataFrame, key: str, order: str, ok: str, threshold: int) -> DataFrame:
-    """(key, order) of the first row at which `threshold` rows in a row were not ok; a success resets the run; 0 disables."""
+def streaks(events: DataFrame, key: str, order: str, ok: str, threshold: int, partitions: int | None = None) -> DataFrame:
+    """(key, tripped_at): the first row of a key at which `threshold` rows in a row were not ok; a success resets the run; 0 disables.
+
+    The rows after a key's n-th success form an island. Its length and first place
+    are counts that combine before the shuffle, whatever its length.
+    """
     if threshold <= 0:
         return events.select(key, F.col(order).alias("tripped_at")).limit(0)
-    w = Window.partitionBy(key).orderBy(order)
-    island = events.withColumn("_island", F.sum(F.when(F.col(ok), 1).otherwise(0)).over(w))
-    run = island.where(~F.col(ok)).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_island").orderBy(order)))
-    return run.where(F.col("_n") == threshold).groupBy(key).agg(F.min(order).alias("tripped_at"))
+    e = events.select(key, order, F.when(F.col(ok), 1).otherwise(0).alias("_ok"))
+    placed = numbered(e, key, [order], partitions or shuffle_partitions(events.sparkSession), ("_ok",))
+    islands = placed.where("_ok = 0").groupBy(key, "_sum__ok").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("at"))
+    trips = islands.where(F.col("n") >= threshold).groupBy(key).agg((F.min("at") + threshold - 1).alias("_pos"))
+    return placed.join(trips, [key, "_pos"]).select(key, F.col(order).alias("tripped_at"))

@@ -109,7 +109,8 @@ def label_numeric_fallback(spark, d):  # P6
 
 @query("SELECT median(ts_start * 1000) AS median_start, median(ts_start * 1000) > 1e12 AS milliseconds FROM flows")
 def ts_median_unit(spark, d):  # A13 P3
-    return table(spark, d, "flows").agg(F.median(F.col("ts_start") * 1000).alias("median_start")).withColumn("milliseconds", F.col("median_start") > 1e12)
+    m = normalize.exact_median(table(spark, d, "flows"), F.col("ts_start") * 1000)
+    return m.select(F.col("median").alias("median_start"), (F.col("median") > 1e12).alias("milliseconds"))
 
 
 # ---- ids and rollups -----------------------------------------------------------------------------------------------
@@ -323,9 +324,8 @@ def submissions(b: DataFrame) -> DataFrame:
     u = b.groupBy("unit", "unit_type").agg(
         F.sort_array(F.collect_list("flow_id")).alias("ids"), F.collect_set("dst_ip").alias("dsts"), F.min("flow_id").alias("m"), F.count(F.lit(1)).alias("flow_count"), F.count_if("is_malicious").alias("mal")
     )
-    spark = b.sparkSession
-    who = spark.createDataFrame([(p, q) for p in PROVIDERS for q in PERSONAS], "provider string, persona string")
-    s = u.crossJoin(F.broadcast(who))
+    who = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(q).alias("persona")) for p in PROVIDERS for q in PERSONAS])
+    s = u.withColumn("who", F.explode(who)).select("*", "who.*")
     beta, is_ = F.col("provider") == "beta", lambda p: F.col("persona") == p
     none_ids, none_dst = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     ids = F.when(is_("p0"), F.concat(F.filter("ids", lambda x: x % 3 == 0), F.array(F.col("m") + 1_000_000_000_000))).otherwise(none_ids)

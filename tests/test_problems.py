@@ -291,3 +291,15 @@ def test_extra_columns_do_not_clash(spark):
     f = make_flows(spark, rows).withColumns({"start_us": F.lit("x"), "src": F.lit(1), "_chunk": F.lit(2), "pid": F.lit(3), "block": F.lit(4), "flow": F.lit(5)})
     assert sorted(map(tuple, sessions.sessions(f, 5).collect())) == naive_sessions(rows, 5)
     assert heavy_keys.host_states(f).count() == heavy_keys.host_states(make_flows(spark, rows)).count()
+
+
+def test_running_sums_cross_partitions(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([None, 1.0, 2.0]), r.randrange(3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o int, v double, w int")
+    got = {(x.k, x.o): (x._sum_v, x._sum_w) for x in numbered(df, "k", ["o"], 7, ("v", "w")).collect()}
+    for k in ("a", "b", None):
+        v = w = 0.0
+        for x in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]):
+            v, w = v + (x[2] or 0), w + x[3]
+            assert got[k, x[1]] == (v, w)

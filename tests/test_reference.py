@@ -305,3 +305,14 @@ def test_streaming_monitor(spark, tmp_path):
     s = monitor.live_sessions(stream, "10 minutes").writeStream.format("memory").queryName("live").outputMode("append").trigger(availableNow=True).start()
     s.awaitTermination(120)
     assert [r.flow_count for r in spark.table("live").collect()] == [100]
+
+
+@pytest.mark.parametrize("values", [[], [None], [1.0], [1.0, 2.0], [5.0, 1.0, None, 3.0, float("nan")], [2.0] * 50 + [7.0] * 50, [float(i * i % 97) for i in range(1001)]])
+def test_exact_median(spark, values):
+    from statistics import median
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    clean = [v for v in values if v is not None and v == v]
+    assert normalize.exact_median(df, F.col("x"), 100).first().median == (median(clean) if clean else None)
+    for bound in (0.5, 1.5, 4.5):
+        assert normalize.median_above(df, F.col("x"), bound) == (bool(clean) and median(clean) > bound)
