@@ -39,7 +39,7 @@ def quotas(slice_counts: DataFrame, targets: DataFrame) -> DataFrame:
     A repeated target counts once, with its greatest min_units and shares; null
     shares and minima are 0. The quota is the want, rounded up, or all there are.
     """
-    total = slice_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = slice_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(18,0)")).scalar()
     there = slice_counts.groupBy("unit_type", "gold_label").agg(F.sum("n").alias("available"))
     dec = lambda c: F.coalesce(F.col(c).cast("string").cast("decimal(12,9)"), F.lit(0))
     t = (
@@ -49,8 +49,8 @@ def quotas(slice_counts: DataFrame, targets: DataFrame) -> DataFrame:
         .groupBy("plan_id", "unit_type", "gold_label")
         .agg(F.min("shown_type").alias("shown_type"), F.min("shown_label").alias("shown_label"), F.max("target_share").alias("target_share"), F.max("sample_share").alias("sample_share"), F.max("min_units").alias("min_units"))
     )
-    q = t.join(there, ["unit_type", "gold_label"], "left").crossJoin(F.broadcast(total)).withColumn("available", F.coalesce("available", F.lit(0)))
-    share = (F.col("target_share") * F.col("sample_share")).cast("decimal(20,18)") * F.col("total").cast("decimal(18,0)")
+    q = t.join(there, ["unit_type", "gold_label"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    share = (F.col("target_share") * F.col("sample_share")).cast("decimal(20,18)") * total
     q = q.withColumn("wanted", F.greatest(share, F.col("min_units").cast("decimal(38,18)")))
     return q.withColumn("exhausted", F.col("available") < F.col("wanted")).withColumn("quota", F.least(F.col("available"), F.ceil("wanted").cast("long")))
 
