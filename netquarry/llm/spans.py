@@ -179,13 +179,12 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int, chunk:
             o2 = np.minimum(o1 + chunk - 1, most)
             i1, i2 = _fingerprints(codes, a - o1, a - o2 + span)
             fits = (a - o2 >= 0) & (a - o1 + span <= len(codes))
-            # What is known of a representative holds within its run only.
+            # What is known of a representative holds within its run only. A text that does not fit stays 0.
             fits &= ~q["multi"][row].astype(bool) | (a - o2 >= q["first"][row]) & (a - o1 <= q["last"][row])
             j1, j2 = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             j1[fits], j2[fits] = _fingerprints(codes, (a - o2)[fits], (a - o1 + span)[fits])
-            no = pa.array(~fits)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": np.full(len(a), doc, np.int64), "g1": i1, "g2": i2, "c1": pa.array(j1, mask=no.to_numpy(zero_copy_only=False)), "c2": pa.array(j2, mask=no.to_numpy(zero_copy_only=False)),
+                "doc_id": np.full(len(a), doc, np.int64), "g1": i1, "g2": i2, "c1": j1, "c2": j2,
                 "first": np.maximum(a - o2, q["first"][row]), "last": np.minimum(a - o1, q["last"][row]), "lo": a - o2, "hi": a - o1 + span, "multi": q["multi"][row],
             })
 
@@ -208,24 +207,16 @@ def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     settled: the class stands in two documents. open: the class does not, but its
     group does; with them goes one row, marked multi, for each settled class of a
-    group that has open members. A null c is a class of its own.
+    group that has open members. Rows with c1 = 0 have no class of their own.
     """
-    place = F.struct("doc_id", *[c for c in rows.columns if c not in ("doc_id", "multi", *_CLASS)])
-    classes = rows.groupBy(*_CLASS).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("multi").alias("multi"), F.min(place).alias("place"))
-    classes = classes.withColumn("settled", F.col("c1").isNotNull() & ((F.col("low") != F.col("high")) | F.col("multi")))
+    classes = rows.groupBy(*_CLASS).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("multi").alias("multi"))
+    classes = classes.withColumn("settled", (F.col("c1") != 0) & ((F.col("low") != F.col("high")) | F.col("multi")))
     groups = classes.groupBy("g1", "g2").agg(F.min("low").alias("_l"), F.max("high").alias("_h"), F.max("multi").alias("_m"), F.max(~F.col("settled")).alias("has_open"))
     groups = groups.where("_l != _h or _m").select("g1", "g2", "has_open")
-    known = cut(classes.join(groups, ["g1", "g2"]).select(*_CLASS, "settled", "has_open", "place"))
-    told = rows.join(known.select(*[F.col(c).alias(f"_{c}") for c in _CLASS], "settled"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) if c[0] == "c" else F.col(c) == F.col(f"_{c}") for c in _CLASS]))
-    told = cut(told.select(*rows.columns, "settled"))
-    fields = [f for f in place_fields(rows)]
-    again = known.where("settled and has_open").select(*[F.col(f"place.{f}").alias(f) for f in fields], F.lit(True).alias("multi"))
-    left = told.where("not settled").select(*fields, "multi").unionByName(again)
-    return told.where("settled"), left
-
-
-def place_fields(rows: DataFrame) -> list[str]:
-    return ["doc_id", *[c for c in rows.columns if c not in ("doc_id", "multi", *_CLASS)]]
+    told = cut(rows.join(classes.join(groups, ["g1", "g2"]).select(*_CLASS, "settled", "has_open", "low"), _CLASS))
+    again = told.where("settled and has_open and doc_id = low").dropDuplicates(_CLASS).withColumn("multi", F.lit(True))
+    fields = [c for c in rows.columns if c not in _CLASS]
+    return told.where("settled"), told.where("not settled").select(fields).unionByName(again.select(fields))
 
 
 def shared_intervals(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
