@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.session import cut
+from netquarry.session import cut, small
 
 SPAN, GRAM, CHUNK = 300, 96, 16
 #: Characters a task hashes at once; longer texts are taken in overlapping parts.
@@ -209,14 +209,22 @@ def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     group does; with them goes one row, marked multi, for each settled class of a
     group that has open members. Rows with c1 = 0 have no class of their own.
     """
-    classes = rows.groupBy(*_CLASS).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("multi").alias("multi"))
-    classes = classes.withColumn("settled", (F.col("c1") != 0) & ((F.col("low") != F.col("high")) | F.col("multi")))
-    groups = classes.groupBy("g1", "g2").agg(F.min("low").alias("_l"), F.max("high").alias("_h"), F.max("multi").alias("_m"), F.max(~F.col("settled")).alias("has_open"))
-    groups = groups.where("_l != _h or _m").select("g1", "g2", "has_open")
-    told = cut(rows.join(classes.join(groups, ["g1", "g2"]).select(*_CLASS, "settled", "has_open", "low"), _CLASS))
-    again = told.where("settled and has_open and doc_id = low").dropDuplicates(_CLASS).withColumn("multi", F.lit(True))
+    span = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("multi").alias("any")]
+    groups = rows.groupBy("g1", "g2").agg(*span).where("low != high or any").select("g1", "g2")
+    shared = cut(rows.join(groups, ["g1", "g2"], "left_semi"))
+    classes = shared.groupBy(*_CLASS).agg(*span).select(*_CLASS, "low", ((F.col("c1") != 0) & ((F.col("low") != F.col("high")) | F.col("any"))).alias("settled"))
+    told = cut(shared.join(classes, _CLASS))
+    left = told.where("not settled")
+    again = told.where("settled and doc_id = low").dropDuplicates(_CLASS).withColumn("multi", F.lit(True)).join(left.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi")
     fields = [c for c in rows.columns if c not in _CLASS]
-    return told.where("settled"), told.where("not settled").select(fields).unionByName(again.select(fields))
+    return told.where("settled"), left.select(fields).unionByName(again.select(fields))
+
+
+def _asked_of(docs: DataFrame, left: DataFrame, *fields: str) -> DataFrame:
+    """(doc_id, text, asked): the texts of which something is still open, with the list of it."""
+    asked = left.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    open_ = docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi")
+    return open_.join(asked, "doc_id").select("doc_id", "text", "asked")
 
 
 def shared_intervals(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
@@ -229,15 +237,13 @@ def shared_intervals(documents: DataFrame, span: int = SPAN, gram: int = GRAM, c
     settled, left = _decided(first)
     found = [settled.select("doc_id", F.col("first").alias("lo"), (F.col("last") + span).alias("hi"))]
 
-    asked = left.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "multi")).alias("asked"))
-    chunks = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(
+    chunks = _asked_of(docs, left, "anchor", "first", "last", "multi").mapInArrow(
         lambda it: _chunk_rows(it, span, gram, chunk), "doc_id long, g1 long, g2 long, c1 long, c2 long, first long, last long, lo long, hi long, multi boolean"
     )
     settled, left = _decided(cut(chunks))
     found.append(settled.select("doc_id", "lo", "hi"))
 
-    asked = left.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "multi")).alias("asked"))
-    windows = cut(docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(lambda it: _window_rows(it, span), "doc_id long, k1 long, k2 long, lo long, hi long, multi boolean"))
+    windows = cut(_asked_of(docs, left, "first", "last", "multi").mapInArrow(lambda it: _window_rows(it, span), "doc_id long, k1 long, k2 long, lo long, hi long, multi boolean"))
     keys = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("h"), F.max("multi").alias("m")).where("l != h or m").select("k1", "k2")
     found.append(windows.join(keys, ["k1", "k2"], "left_semi").select("doc_id", "lo", "hi"))
     return reduce(DataFrame.unionByName, found)
