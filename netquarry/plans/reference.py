@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.columns import epoch_us, protocol_name, source_id
 from netquarry.operators import index, lint, normalize, scoring, strata, summary, tools
+from netquarry.session import cut
 from netquarry.sources.tables import table
 
 K, WINDOW_MIN, MAX_FLOWS = 5, 60, 100
@@ -316,7 +317,8 @@ PROVIDERS = ["alpha", "beta"]
 
 
 def unit_bridge_for_scores(spark, d) -> DataFrame:
-    return bridge(spark, d).select(unit_key().alias("unit"), "unit_type", "src_ip", F.col("flow_dst").alias("dst_ip"), "flow_id", "is_malicious")
+    """The bridge as a table: scoring reads it several times."""
+    return cut(bridge(spark, d).select(unit_key().alias("unit"), "unit_type", "src_ip", F.col("flow_dst").alias("dst_ip"), "flow_id", "is_malicious"))
 
 
 def submissions(b: DataFrame) -> DataFrame:
@@ -363,27 +365,27 @@ _SCORED = f"""{_SUB}, {_LENSES}, sc AS (SELECT su.*, per_flow_precision, per_flo
 
 def _scores(spark, d) -> DataFrame:
     b = unit_bridge_for_scores(spark, d)
-    return scoring.scored(submissions(b), b)
+    return scoring.scored(cut(submissions(b)), b)
 
 
 @query(f"WITH {_SUB} SELECT * FROM pf")
 def per_flow_predictions(spark, d):  # D9 J2 J3 J4 J5 J6 U2 U3 P20
     b = unit_bridge_for_scores(spark, d)
-    s = submissions(b)
+    s = cut(submissions(b))
     return scoring.per_flow(s, scoring.resolved(s, b), b)
 
 
-def _score(name: str, key: list[str], keys: str):  # D6 D7 A14 U4 U5
+def _score(name: str, keys: str):  # D6 D7 A14 U4 U5
     def run(spark, d):
-        return scoring.lens(per_flow_predictions(spark, d), key, name)
+        return scoring.lens(per_flow_predictions(spark, d), name)
 
     run.__name__ = f"score_{name}"
     return query(f"WITH {_SUB}, {_lens_sql(name, keys)} SELECT * FROM {name}")(run)
 
 
-_score("per_flow", ["flow_id"], "flow_id")
-_score("per_pair", ["src_ip", "dst_ip"], "src_ip, dst_ip")
-_score("per_host", ["src_ip"], "src_ip")
+_score("per_flow", "flow_id")
+_score("per_pair", "src_ip, dst_ip")
+_score("per_host", "src_ip")
 
 
 @query(f"WITH {_SCORED} SELECT provider, persona, defect, count(*) AS n FROM sc GROUP BY ALL")
