@@ -141,3 +141,9 @@ def streaks(events: DataFrame, key: str, order: str, ok: str, threshold: int, pa
     islands = placed.where("_ok = 0").groupBy(key, "_sum__ok").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("at"))
     trips = islands.where(F.col("n") >= threshold).groupBy(key).agg((F.min("at") + threshold - 1).alias("_pos"))
     return placed.join(trips, [key, "_pos"]).select(key, F.col(order).alias("tripped_at"))
+
+
+def budget_stop(costs: DataFrame, order: str, cost: str, budget: float, partitions: int | None = None) -> DataFrame:
+    """The rows in order until the total before a row reaches the budget; the row that crosses it is kept."""
+    t = numbered(costs, None, [order], partitions or shuffle_partitions(costs.sparkSession), (cost,))
+    return t.where(F.col(f"_sum_{cost}") - F.coalesce(F.col(cost), F.lit(0)) < budget).select(*costs.columns)

@@ -503,6 +503,25 @@ def failure_streaks(spark, d):  # W8
     return summary.streaks(flows(spark, d).select("src_ip", "flow_id", (~F.col("is_malicious")).alias("ok")), "src_ip", "flow_id", "ok", 4)
 
 
+@query(f"""WITH {CANON}, t AS (SELECT flow_id, coalesce(bytes_in, 0) AS cost, sum(coalesce(bytes_in, 0)) OVER (ORDER BY flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b) SELECT flow_id, cost FROM t WHERE coalesce(before, 0) < 5000000""")
+def budget_stop(spark, d):  # W7 T26
+    return summary.budget_stop(flows(spark, d).select("flow_id", F.coalesce("bytes_in", F.lit(0.0)).alias("cost")), "flow_id", "cost", 5_000_000)
+
+
+@query("SELECT DISTINCT record_id, CAST(NULL AS BIGINT) AS flow_id, json_extract_string(payload, '$.dst_ip') AS dst_ip FROM raw_records WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END, '$.dst_ip') = 'VARCHAR'")
+def observed_harvest(spark, d):  # D14 S7
+    return scoring.harvested(table(spark, d, "raw_records"), "record_id")
+
+
+_ALLOWED = [("p0", "TCP"), ("p1", "UDP"), ("p1", "TCP"), ("p2", "SCTP")]
+
+
+@query(f"WITH {CANON}, a AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _ALLOWED)}) t(persona, protocol)) SELECT persona, protocol, count(*) AS n FROM b JOIN a USING (protocol) GROUP BY ALL")
+def allowlist_join(spark, d):  # J7 J8
+    allowed = spark.createDataFrame(_ALLOWED, "persona string, protocol string")
+    return flows(spark, d).join(F.broadcast(allowed), "protocol").groupBy("persona", "protocol").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _tagged(spark, d) -> DataFrame:
     """Scores of four runs, made of the sample reports: the plan is the run's tag, the mode its provider."""
     s = table(spark, d, "sample_reports")

@@ -316,3 +316,27 @@ def test_exact_median(spark, values):
     assert normalize.exact_median(df, F.col("x"), 100).first().median == (median(clean) if clean else None)
     for bound in (0.5, 1.5, 4.5):
         assert normalize.median_above(df, F.col("x"), bound) == (bool(clean) and median(clean) > bound)
+
+
+def test_build_index(spark, tmp_path):
+    from netquarry.plans import build
+
+    f = scanner_flows(spark).withColumns({"Attack": F.when(F.col("is_malicious"), "Scan").otherwise("benign"), "sampling_rate": F.lit(1)}).drop("flow_id", "is_malicious")
+    for i, part in enumerate(f.randomSplit([0.5, 0.5], 3)):
+        part.write.parquet(str(tmp_path / f"raw{i}"))
+    raw = [str(tmp_path / "raw0"), str(tmp_path / "raw1")]
+    config = normalize.Config(aliases={})
+    a = build.build_index(spark, raw, str(tmp_path / "ix"), config, build.Args("d", k=10))
+    m = build.manifest(spark, a)
+    assert m["counts"] == {"flows": 72, "pairs": 22, "hosts": 11, "eval_units": 11}
+    assert build.build_index(spark, raw[::-1], str(tmp_path / "ix"), config, build.Args("d", k=10)) == a
+    assert build.build_index(spark, raw, str(tmp_path / "ix"), config, build.Args("d", k=100)) != a
+    ix = build.open_index(spark, a)
+    assert tools.registry().call(ix, "list_pairs", limit=100).count() == 22
+    with pytest.raises(FileNotFoundError):
+        build.open_index(spark, str(tmp_path / "nothing"))
+
+
+def test_harvest(spark):
+    df = spark.createDataFrame([(1, '{"items":[{"flow_id":3,"dst_ip":"x"},{"flow_id":true,"deep":{"dst_ip":"y","flow_id":3}}]}'), (2, "{no"), (3, None), (4, '{"dst_ip":{"dst_ip":"z"}}')], "k long, payload string")
+    assert {tuple(r) for r in scoring.harvested(df, "k").collect()} == {(1, 3, None), (1, None, "x"), (1, None, "y"), (4, None, "z")}
