@@ -37,15 +37,16 @@ def tree_aggregate(rows: DataFrame, key: list[str], measures: dict[str, tuple[st
         *[F.col(f"`{k}`").alias(a) for k, a in zip(key, keys)],
         *[(F.when(e.isNotNull(), 1).otherwise(0).cast("long") if kind == "count" else e).alias(n) for n, (kind, e) in measures.items()],
     )
-    # The exchange by _chunk is the only one over raw rows: both aggregations after it find their rows together.
-    state = state.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_own"), F.lit(chunks))).repartition(chunks, "_chunk")
-    state = state.groupBy("_chunk", "_id", "_own", *keys).agg(*[F.first(n).alias(n) for n in names]).drop("_id", "_own")
+    # The only exchange of raw rows: dealt by id, so chunks are even whatever the keys, and repeats meet.
+    state = state.repartition(chunks, "_id", "_own").groupBy("_id", "_own", *keys).agg(*[F.first(n).alias(n) for n in names])
     merge = [MERGE[kind](n).alias(n) for n, (kind, _) in measures.items()]
-    state = state.groupBy("_chunk", *keys).agg(*merge)
-    nodes = chunks
-    while nodes > 1:
+    # A chunk is a partition. Its states combine before they leave it, and at most fan_in states of a key meet at a node.
+    nodes, state = chunks, state.withColumn("_node", F.spark_partition_id())
+    while True:
         nodes = -(-nodes // fan_in)
-        state = state.withColumn("_chunk", F.expr(f"_chunk div {fan_in}")).groupBy("_chunk", *keys).agg(*merge)
+        state = state.withColumn("_node", F.expr(f"_node div {fan_in}")).groupBy("_node", *keys).agg(*merge)
+        if nodes <= 1:
+            break
     return state.select(*[F.col(a).alias(k) for k, a in zip(key, keys)], *names)
 
 
