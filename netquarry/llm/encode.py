@@ -10,11 +10,14 @@ time linear in the piece however long it is.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +29,22 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A vocabulary beyond this is not broadcast.
 MAX_VOCABULARY_MB = 64
-#: Pieces whose ids a worker remembers, and the longest remembered.
+#: A blank between two printable ASCII characters always begins a piece of the pattern, so a text may be parted there first.
+_BLANK = re.compile(r"(?<=[!-~])(?= [!-~])")
+#: Stretches, and pieces, whose ids a worker remembers, and the longest remembered.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 
 
+_DIGIT = re.compile("[0-9]")
+
+
+def _remember(known: dict[str, array], text: str, ids: array) -> None:
+    if len(text) <= REMEMBERED_CHARS:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[text] = ids
+
+
 class Encoder:
     """Exact ids of one byte-level BPE whose ids are its merge ranks."""
 
@@ -46,8 +61,11 @@ class Encoder:
         for t, i in self.id_of.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
+        self.edges: dict[tuple[int, int], list[tuple[bytes, int, float]]] = {}
+        self.whole: dict[int, bool] = {}
         self.pair_ok: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, array] = {}  # ids of stretches
+        self.pieces: dict[str, array] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; none for single bytes."""
@@ -67,15 +85,19 @@ class Encoder:
             self.halves[token] = (parts[0], parts[1])
         return self.halves[token]
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
-        """Tokens at one edge over the merging of `token`: (token, time it appears, time it is consumed); single bytes appear at -1."""
-        out, gone = [], float("inf")
-        while True:
-            halves = self.split(token)
-            out.append((token, -1 if halves is None else token, gone))
-            if halves is None:
-                return out
-            gone, token = token, halves[side]
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int, float]]:
+        """Tokens at one edge over the merging of `token`: (bytes, time it appears, time it is consumed); single bytes appear at -1."""
+        out = self.edges.get((token, side))
+        if out is None:
+            out, gone, at = [], float("inf"), token
+            while True:
+                halves = self.split(at)
+                out.append((self.token[at], -1 if halves is None else at, gone))
+                if halves is None:
+                    break
+                gone, at = at, halves[side]
+            self.edges[token, side] = out
+        return out
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b together leaves exactly these two: no merge across the border ever comes first."""
@@ -84,7 +106,7 @@ class Encoder:
             found = True
             for u, u_from, u_to in self._edge(a, 1):
                 for v, v_from, v_to in self._edge(b, 0):
-                    across = self.id_of.get(self.token[u] + self.token[v])
+                    across = self.id_of.get(u + v)
                     # Merges of equal rank go from left to right: at the same rank, u is consumed before the border, v after it.
                     if across is not None and max(u_from, v_from) < across and across < u_to and across <= v_to:
                         found = False
@@ -118,25 +140,36 @@ class Encoder:
 
     def _stands(self, token: int) -> bool:
         """Whether the bytes of a token encode to the token itself."""
-        try:
-            return self.split(token) is None or self.id_of[self.token[token]] == token
-        except ValueError:
-            return False
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
+        found = self.whole.get(token)
+        if found is None:
+            try:
+                self.split(token)
+                found = True
+            except ValueError:
+                found = False
+            self.whole[token] = found
+        return found
+
+    def stretch(self, text: str) -> array:
+        """Ids of a stretch of text that begins and ends at borders of the pattern."""
+        out = array("i")
         for part in self.parts.findall(text):
-            ids = known.get(part)
+            ids = self.pieces.get(part)
             if ids is None:
-                ids = self.piece(part.encode("utf-8", "replace"))
-                if len(part) <= REMEMBERED_CHARS:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = ids
+                ids = array("i", self.piece(part.encode("utf-8", "replace")))
+                _remember(self.pieces, part, ids)
             out += ids
+        if len(text) <= 8 or not _DIGIT.search(text):  # addresses and long numbers seldom return
+            _remember(self.known, text, out)
         return out
 
+    def encode(self, text: str, out: array) -> None:
+        """Adds the ids of a text to out."""
+        get = self.known.get
+        for part in _BLANK.split(text):
+            ids = get(part)
+            out += self.stretch(part) if ids is None else ids
+
 
 @lru_cache(maxsize=2)
 def _encoder(ranks: bytes) -> Encoder:
@@ -148,8 +181,13 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            ids = [encoder.encode(t) if t else [] for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            ids, ends = array("i"), [0]
+            for text in part.column(1).to_pylist():
+                if text:
+                    encoder.encode(text, ids)
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
 
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

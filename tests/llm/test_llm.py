@@ -104,7 +104,7 @@ def test_sample(spark):
 
 VOCAB = Path(encode.VOCABULARY)
 needs_vocabulary = pytest.mark.skipif(not VOCAB.exists(), reason="no public tokenizer")
-ODD = ["", " ", "\n\n  \t x", "don't we'll THEY'RE", "a" * 5000, "ab" * 3000 + "é" * 999, "<|endoftext|> plain", "数据流 🙂🙂 ​­ ñ", "10.0.0.1:443 -> 172.16.0.9\r\n" * 20, " " * 3000 + "z", "!!!???" * 300, "\x00\x01�"]
+ODD = ["", " ", "\n\n  \t x", "don't we'll THEY'RE", "a" * 5000, "ab" * 3000 + "é" * 999, "<|endoftext|> plain", "数据流 🙂🙂 ​­ ñ", "10.0.0.1:443 -> 172.16.0.9\r\n" * 20, " " * 3000 + "z", "!!!???" * 300, "\x00\x01�", "a b  c \td e\u00a0f 's ' s it's 'll x", "one, (two) 3.4  five;\nsix \u2009seven \x1f eight \x85 nine", " lead and trail "]
 
 
 @needs_vocabulary
