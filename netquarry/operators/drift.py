@@ -9,7 +9,10 @@ canonical columns.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from ipaddress import IPv4Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +23,11 @@ TEXT, NUMBER, TRUTH, OBJECT, LIST = 1, 2, 4, 8, 16
 #: Costs of the edits; a relabelling between different fields never pays.
 ADD, REMOVE, RENAME, RETYPE, MOVE = 1.0, 1.0, 0.5, 0.25, 0.75
 SEP = "\x1f"
+#: A file's numeric starts are milliseconds if their exact median is above this.
+MS_ABOVE = 1e12
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+_ISO = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d", re.ASCII)
+_DIGITS = re.compile(r"\d{1,10}", re.ASCII)
 #: The canonical columns and their types.
 CANONICAL = {
     "src_ip": "string", "dst_ip": "string", "ts_start": "double", "protocol": "string", "src_port": "long", "dst_port": "long", "bytes_in": "double", "bytes_out": "double",
@@ -74,6 +82,33 @@ def file_fields(raw_records: DataFrame) -> DataFrame:
     return seen.groupBy("file_id", "path").agg(F.bit_or("kinds").alias("kinds"))
 
 
+def _start_rows(batches: Iterator[pa.RecordBatch], names: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seen: dict[tuple[int, str], list[float]] = {}
+        for file, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = parse_object(payload)
+            for k, v in (found or {}).items():
+                if file is not None and k.lower() in names and (x := _number(v)) is not None:
+                    seen.setdefault((file, k.lower()), []).append(x)
+        rows = []
+        for (file, path), values in seen.items():
+            high, low = [x for x in values if x > MS_ABOVE], [x for x in values if x <= MS_ABOVE]
+            rows.append((file, path, len(high), len(low), max(low, default=None), min(high, default=None)))
+        cols = zip(*rows) if rows else ((),) * 6
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file_id", "path", "above", "below", "low", "high"])
+
+
+def millisecond_columns(raw_records: DataFrame, names: frozenset[str]) -> DataFrame:
+    """(file_id, ms): the keys of `names`, in lower case, whose numbers in a file have an exact median above MS_ABOVE; files without any are left out.
+
+    Counts on both sides of the bound and the values beside it decide, so nothing is ordered. Numbers written as text count as well.
+    """
+    seen = raw_records.select(F.col("file_id").cast("long"), F.col("payload").cast("string")).mapInArrow(lambda it: _start_rows(it, names), "file_id long, path string, above long, below long, low double, high double")
+    met = seen.groupBy("file_id", "path").agg(*[F.sum(c).alias(c) for c in ("above", "below")], F.max("low").alias("low"), F.min("high").alias("high"))
+    return met.where(f"above > below or above = below and (low + high) / 2 > {MS_ABOVE}").groupBy("file_id").agg(F.collect_list("path").alias("ms"))
+
+
 def alias_map(column_aliases: DataFrame) -> dict[str, tuple[str, int]]:
     """alias in lower case -> (canonical name, least rank). The configuration's size is checked before it goes to the driver."""
     rows = column_aliases.select("canonical_name", "alias_name", "alias_rank").where("canonical_name is not null and alias_name is not null").limit(100_001).collect()
@@ -227,15 +262,61 @@ def projection(fields: list[tuple[str, int]], aliases: dict[str, tuple[str, int]
 
 
 def _compile(batches: Iterator[pa.RecordBatch], aliases: dict[str, tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """The projection as JSON: key -> [canonical column, what its numbers are divided by]."""
     for b in batches:
-        made = [json.dumps(projection([(f["path"], f["kinds"]) for f in fields], aliases), sort_keys=True) for fields in b.column(1).to_pylist()]
+        made = []
+        for fields, ms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            to = projection([(f["path"], f["kinds"]) for f in fields], aliases)
+            made.append(json.dumps({k: [c, 1000 if c == "ts_start" and k in (ms or ()) else 1] for k, c in to.items()}, sort_keys=True))
         yield pa.RecordBatch.from_pydict({"file_id": b.column(0), "compiled": pa.array(made, pa.string())})
 
 
-def _coerced(value: object, kind: str):
-    """value as the column's type; null where it has no such form."""
+def _number(value: object) -> float | None:
+    """A number, or a text of one; null for anything else."""
+    if value is None or isinstance(value, (bool, dict, list)):
+        return None
+    try:
+        number = float(value)
+    except (ValueError, OverflowError):
+        return None
+    return number if abs(number) <= 9e18 else None
+
+
+def _start(value: object, divisor: int) -> float | None:
+    """Epoch seconds of a number in the file's unit or of an ISO text with time of day, UTC where it names no offset."""
+    number = _number(value)
+    if number is not None:
+        return number / divisor
+    if not isinstance(value, str) or not _ISO.match(value.strip()):
+        return None
+    try:
+        at = datetime.fromisoformat(value.strip())
+        return ((at if at.tzinfo else at.replace(tzinfo=UTC)) - EPOCH).total_seconds()
+    except (ValueError, OverflowError):
+        return None
+
+
+def _address(value: object) -> str:
+    """An address as text; a whole number of 32 bits, or a text of one, in dotted form."""
+    number = value
+    if isinstance(value, str) and _DIGITS.fullmatch(value.strip()):
+        number = int(value)
+    if isinstance(number, float) and number.is_integer():
+        number = int(number)
+    if isinstance(number, int) and not isinstance(number, bool) and 0 <= number < 1 << 32:
+        return str(IPv4Address(number))
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def _coerced(value: object, column: str, divisor: int = 1):
+    """value as the canonical column's type; null where it has no such form."""
+    kind = CANONICAL[column]
     if value is None:
         return None
+    if column == "ts_start":
+        return _start(value, divisor)
+    if column in ("src_ip", "dst_ip"):
+        return _address(value)
     if kind == "string":
         return value if isinstance(value, str) else json.dumps(value)
     try:
@@ -248,7 +329,7 @@ def _coerced(value: object, kind: str):
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str | None, dict[str, str]] = {None: {}}
+    known: dict[str | None, dict[str, list]] = {None: {}}
     types = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
     for b in batches:
         ids, cols, rest = ([], [], []), {c: [] for c in CANONICAL}, []
@@ -262,11 +343,11 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[compiled] = json.loads(compiled) if compiled else {}
             to, row, extra = known[compiled], {}, []
             for k, v in found.items():
-                name = to.get(k.lower())
+                name, divisor = to.get(k.lower(), (None, 1))
                 if name is None:
                     extra.append((k.lower(), None if v is None else v if isinstance(v, str) else json.dumps(v)))
                     continue
-                row[name] = _coerced(v, CANONICAL[name])
+                row[name] = _coerced(v, name, divisor)
                 if row[name] is None and v is not None:
                     extra.append((k.lower(), v if isinstance(v, str) else json.dumps(v)))
             for x, v in zip(ids, (record, file, line)):
@@ -283,11 +364,17 @@ def unified(raw_files: DataFrame, raw_records: DataFrame, column_aliases: DataFr
 
     Repeated lines stay repeated. Each file's keys are resolved by the file's own
     tree, so one key can be a canonical column in one file and an extra in another.
+    ts_start is in epoch seconds: ISO texts are read, and a file whose numbers have
+    a median above MS_ABOVE wrote milliseconds. The key's name does not tell the
+    unit: files hold seconds under FLOW_START_MILLISECONDS. Whole numbers in the
+    address columns are IPv4 addresses and come out dotted.
     """
     aliases = alias_map(column_aliases)
     fields = file_fields(raw_records).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("path", "kinds"))).alias("fields"))
     rows = raw_records.select(F.col("record_id").cast("long"), F.col("file_id").cast("long"), F.col("line_no").cast("long"), F.col("payload").cast("string"))
-    compiled = fields.where("file_id is not null").mapInArrow(lambda it: _compile(it, aliases), "file_id long, compiled string")
+    starts = frozenset(k for k, (c, _) in aliases.items() if c == "ts_start")
+    fields = fields.where("file_id is not null").join(millisecond_columns(raw_records, starts), "file_id", "left").select("file_id", "fields", "ms")
+    compiled = fields.mapInArrow(lambda it: _compile(it, aliases), "file_id long, compiled string")
     joined = rows.join(compiled, "file_id", "left").select("record_id", "file_id", "line_no", "payload", "compiled")
     schema = "record_id long, file_id long, line_no long, " + ", ".join(f"{c} {t}" for c, t in CANONICAL.items()) + ", extras map<string,string>"
     return joined.mapInArrow(_project, schema)

@@ -279,6 +279,32 @@ def test_changes_and_table(spark):
     assert drift.changes(files, records.limit(0), aliases).count() == 0
 
 
+def test_table_in_one_unit_and_one_notation(spark):
+    aliases = [("ts_start", "ts_start", 0), ("ts_start", "FLOW_START_MILLISECONDS", 2), ("src_ip", "src_ip", 0), ("dst_ip", "da", 5)]
+    rows = [
+        (1, 1, '{"ts_start":"2023-03-20T05:06:01Z","src_ip":182644091,"da":"10.1.2.3"}', 1679288761.0, "10.226.237.123", "10.1.2.3", {}),
+        (2, 1, '{"TS_START":"2023-03-20 07:06:01.5+02:00","src_ip":"182644091","da":"fd7a::1"}', 1679288761.5, "10.226.237.123", "fd7a::1", {}),
+        (3, 1, '{"ts_start":"2023-03-20T05:06:01","da":4294967296}', 1679288761.0, None, "4294967296", {}),
+        (4, 1, '{"ts_start":"2023-13-20T05:06:01Z","da":true}', None, None, "true", {"ts_start": "2023-13-20T05:06:01Z"}),
+        (5, 2, '{"FLOW_START_MILLISECONDS":1679776221000}', 1679776221.0, None, None, {}),
+        (6, 2, '{"flow_start_milliseconds":"1679776650500"}', 1679776650.5, None, None, {}),
+        (7, 3, '{"FLOW_START_MILLISECONDS":1679776221.25}', 1679776221.25, None, None, {}),
+        (8, 4, '{"ts_start":1679776221000}', 1679776221.0, None, None, {}),
+        (9, 4, '{"ts_start":1679776223000}', 1679776223.0, None, None, {}),
+        (10, 4, '{"ts_start":5}', 0.005, None, None, {}),
+        (11, 5, '{"ts_start":1999999999999}', 1999999999.999, None, None, {}),
+        (12, 5, '{"ts_start":4}', 0.004, None, None, {}),
+        (13, 6, '{"ts_start":1999999999990}', 1999999999990.0, None, None, {}),
+        (14, 6, '{"ts_start":4}', 4.0, None, None, {}),
+        (15, 7, '{"ts_start":null}', None, None, None, {}),
+    ]
+    files = spark.createDataFrame([(i, 1, i) for i in range(1, 8)], "file_id long, feed_id long, file_seq long")
+    records = spark.createDataFrame([(r, f, r, p) for r, f, p, *_ in rows], "record_id long, file_id long, line_no long, payload string").repartition(4)
+    table = drift.unified(files, records, spark.createDataFrame(aliases, "canonical_name string, alias_name string, alias_rank long"))
+    got = {r.record_id: (r.ts_start, r.src_ip, r.dst_ip, r.extras) for r in table.collect()}
+    assert got == {r: tuple(want) for r, _, _, *want in rows}
+
+
 def test_previous_over_blocks(spark):
     rows = [(k, i * 3, f"{k}{i}") for k in "ab" for i in range(50)]
     df = spark.createDataFrame(rows, "k string, o long, v string")
