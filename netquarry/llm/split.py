@@ -3,17 +3,17 @@
 A unit's flows, in time order, are cut into atomic segments at its silences; the
 segments are merged agglomeratively, weakest boundary first, while the piece and
 its overlap fit the limit. Ordering and gaps come from one range exchange and a
-linear scan, so a huge unit spreads over many partitions; merging works on
-blocks of a fixed number of flows.
+linear scan, so a huge unit spreads over many partitions. Merging takes a unit's
+list of segments as a whole, two numbers for each; the flows are then cut by the
+resulting places, in blocks.
 """
 
 from __future__ import annotations
 
-import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from netquarry.operators.scan import changes, partition_id, range_sorted
 from netquarry.session import cut, shuffle_partitions
 
 LIMIT, OVERLAP, SILENCE_S = 80, 8, 60
-#: Flows a merging task sees at once; a unit is always cut at multiples of it.
+#: Flows a cutting task sees at once, besides those around its ends; results do not depend on it.
 BLOCK = 65_536
 
 
@@ -58,34 +58,58 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
             yield names.take(pa.array(keep)), new[keep], gap, starts[keep], flows[keep]
 
 
-_EDGE = "unit string, pid int, role int, flow_id long, start_us long"
+_EDGE = "unit string, pid int, role int, k long, gap long, flow_id long, start_us long"
 START, HEAD, TAIL = 0, 1, 2
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch], silence_us: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition that begin a segment (START), its first row of each unit (HEAD) and its last (TAIL)."""
-    pid, last = partition_id(), None
+    """Rows of a partition that begin a segment (START), its first row of each unit (HEAD) and its last (TAIL), with their places k among its rows of the unit."""
+    pid, last, at = partition_id(), None, 0
 
-    def rows(unit, role, flow, start) -> pa.RecordBatch:
+    def rows(unit, role, k, gap, flow, start) -> pa.RecordBatch:
         n = len(flow)
         unit = unit if isinstance(unit, pa.Array) else pa.array(unit, pa.string())
-        return pa.RecordBatch.from_arrays([unit, pa.array([pid] * n, pa.int32()), pa.array([role] * n, pa.int32()), pa.array(flow, pa.int64()), pa.array(start, pa.int64())], ["unit", "pid", "role", "flow_id", "start_us"])
+        arrays = [unit, pa.array([pid] * n, pa.int32()), pa.array([role] * n, pa.int32()), *(pa.array(x, pa.int64()) for x in (k, gap, flow, start))]
+        return pa.RecordBatch.from_arrays(arrays, ["unit", "pid", "role", "k", "gap", "flow_id", "start_us"])
 
     for names, new, gap, starts, flows in _unique(batches):
+        k = _places(new, at)
+        at = int(k[-1]) + 1
         inner = np.flatnonzero(gap >= silence_us)
-        yield rows(names.take(pa.array(inner)), START, flows[inner], starts[inner])
+        yield rows(names.take(pa.array(inner)), START, k[inner], gap[inner], flows[inner], starts[inner])
         heads = np.flatnonzero(new)
-        yield rows(names.take(pa.array(heads)), HEAD, flows[heads], starts[heads])
+        yield rows(names.take(pa.array(heads)), HEAD, k[heads], gap[heads], flows[heads], starts[heads])
         ends = heads - 1
         if len(heads):
             if heads[0] == 0:
                 if last:
-                    yield rows([last[0]], TAIL, [last[1]], [last[2]])
+                    yield rows(*last)
                 ends = ends[1:]
-            yield rows(names.take(pa.array(ends)), TAIL, flows[ends], starts[ends])
-        last = (names[len(flows) - 1].as_py(), int(flows[-1]), int(starts[-1]))
+            yield rows(names.take(pa.array(ends)), TAIL, k[ends], gap[ends], flows[ends], starts[ends])
+        last = ([names[len(flows) - 1].as_py()], TAIL, k[-1:], gap[-1:], flows[-1:], starts[-1:])
     if last:
-        yield rows([last[0]], TAIL, [last[1]], [last[2]])
+        yield rows(*last)
+
+
+def _places(new: np.ndarray, at: int) -> np.ndarray:
+    """0-based places within runs that begin at the marks; the first run goes on at `at`."""
+    idx = np.arange(len(new))
+    head = np.maximum.accumulate(np.where(new, idx, -1))
+    return np.where(head >= 0, idx - head, idx + at)
+
+
+def _ordered(units: DataFrame, flows: DataFrame, limit: int, partitions: int | None) -> DataFrame:
+    n = partitions or shuffle_partitions(units.sparkSession)
+    return range_sorted(oversized(units, flows, limit).select("unit", "start_us", "flow_id"), n, "unit", "start_us", "flow_id")
+
+
+def _segments(found: DataFrame, silence: int) -> DataFrame:
+    """Atomic segments (unit, pid, k, gap, flow_id) by their first flows, gap being the silence before (null at a unit's first), from the rows of _boundaries."""
+    fields = ["unit", "pid", "k", "gap", "flow_id"]
+    # Heads and tails are two rows for each unit and partition that meet.
+    before = F.lag("start_us").over(Window.partitionBy("unit").orderBy("pid", "role"))
+    heads = found.where(F.col("role") != START).withColumn("gap", F.col("start_us") - before).where((F.col("role") == HEAD) & (F.col("gap").isNull() | (F.col("gap") >= silence)))
+    return found.where(F.col("role") == START).select(fields).unionByName(heads.select(fields))
 
 
 def segment_starts(units: DataFrame, flows: DataFrame, limit: int = LIMIT, silence_s: float = SILENCE_S, partitions: int | None = None) -> DataFrame:
@@ -95,14 +119,9 @@ def segment_starts(units: DataFrame, flows: DataFrame, limit: int = LIMIT, silen
     that starts at least silence_s after the start of the one before. Units with
     null or few flow_ids have none; ties in start are ordered by id.
     """
-    n = partitions or shuffle_partitions(units.sparkSession)
     silence = round(silence_s * 1_000_000)
-    found = cut(range_sorted(oversized(units, flows, limit).select("unit", "start_us", "flow_id"), n, "unit", "start_us", "flow_id").mapInArrow(lambda it: _boundaries(it, silence), _EDGE))
-    inner = found.where(F.col("role") == START)
-    # Heads and tails are two rows for each unit and partition that meet.
-    before = F.lag("start_us").over(Window.partitionBy("unit").orderBy("pid", "role"))
-    heads = found.where(F.col("role") != START).withColumn("before", before).where((F.col("role") == HEAD) & (F.col("before").isNull() | (F.col("start_us") - F.col("before") >= silence)))
-    return inner.select(F.col("unit").alias("eval_unit_id"), "flow_id").unionByName(heads.select(F.col("unit").alias("eval_unit_id"), "flow_id"))
+    found = cut(_ordered(units, flows, limit, partitions).mapInArrow(lambda it: _boundaries(it, silence), _EDGE))
+    return _segments(found, silence).select(F.col("unit").alias("eval_unit_id"), "flow_id")
 
 
 def merge_segments(sizes: list[int], gaps: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
@@ -113,54 +132,98 @@ def merge_segments(sizes: list[int], gaps: list[int], limit: int = LIMIT, overla
     first is known from the start.
     """
     n = len(sizes)
-    left, right, size, alive = list(range(-1, n - 1)), list(range(1, n + 1)), list(sizes), [True] * n
-    heap = [(gaps[i], i) for i in range(1, n)]
-    heapq.heapify(heap)
-    while heap:
-        _, i = heapq.heappop(heap)  # the boundary before segment i; sizes only grow, so one that does not fit now never will
+    left, right, size, alive = array("q", range(-1, n - 1)), array("q", range(1, n + 1)), array("q", sizes), bytearray([1]) * n
+    # Merging changes no gap, so one stable order serves as the queue.
+    for i in memoryview(np.argsort(np.asarray(gaps[1:], np.int64), kind="stable") + 1):  # the boundary before segment i; sizes only grow, so one that does not fit now never will
         a = left[i]
         if size[a] + size[i] > (limit if a == 0 else limit - overlap):
             continue
         size[a] += size[i]
-        alive[i] = False
+        alive[i] = 0
         right[a] = right[i]
         if right[i] < n:
             left[right[i]] = a
     return [i for i in range(n) if alive[i]]
 
 
-def cut_points(starts_us: np.ndarray, silence_us: int, limit: int = LIMIT, overlap: int = OVERLAP, first: bool = True) -> list[tuple[int, bool]]:
-    """Where pieces begin in a unit's ordered flows, and whether at a silence. `first` says that the first piece has no overlap before it."""
-    n = len(starts_us)
-    gaps = np.diff(starts_us, prepend=starts_us[:1])
-    heads = np.flatnonzero(np.append(True, gaps[1:] >= silence_us))
-    sizes, gap, begin, natural = [], [], [], []
-    step = limit - overlap
-    for h, e in zip(heads, np.append(heads[1:], n)):
-        at = h
-        while at < e:  # a segment too long for any piece is cut at equal lengths
-            own = limit if first and at == 0 else step
-            take = min(own, e - at)
-            sizes.append(int(take)), gap.append(int(gaps[at])), begin.append(int(at)), natural.append(bool(at == h))
-            at += take
-    shift = 0 if first else 1  # a leading stub stands for what precedes the block: its piece is full
-    if shift:
-        sizes, gap, begin, natural = [limit, *sizes], [0, *gap], [-1, *begin], [True, *natural]
-    return [(begin[i], natural[i]) for i in merge_segments(sizes, gap, limit, overlap) if begin[i] >= 0]
-
+def cut_points(at: np.ndarray, gaps: np.ndarray, total: int, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin in a unit of `total` flows, and whether at a silence, from the places and gaps of its segments.
 
-_ROW = "unit string, pid int, k long, flow_id long, start_us long"
+    A segment too long for any piece is cut at equal lengths. The unit is merged as
+    a whole: it is only taken apart at boundaries that can't be merged, since the
+    atoms beside them are too large together, and pieces only grow.
+    """
+    step = limit - overlap
+    sizes = np.diff(at, append=total)
+    own = np.full(len(at), step)
+    own[0] = limit
+    parts = 1 + np.maximum(0, -(-(sizes - own) // step))
+    seg = np.repeat(np.arange(len(at)), parts)
+    nth = np.arange(len(seg)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = at[seg] + np.where(nth > 0, own[seg] + (nth - 1) * step, 0)
+    natural = nth == 0
+    size, gap = np.diff(begin, append=total), np.where(natural, gaps[seg], 0)
+    # A cut inside a segment has a full piece before it. Otherwise the first piece, which has no overlap, may hold more, as long as it can reach the boundary.
+    pair = size[:-1] + size[1:]
+    stays = ~natural[1:] | (pair > limit)
+    reach = int(np.argmax(stays)) if stays.any() else len(stays)
+    stays[reach:] |= pair[reach:] > step
+    heads = np.append(0, np.flatnonzero(stays) + 1)
+    keep = np.zeros(len(begin), bool)
+    keep[heads] = True
+    ends = np.append(heads[1:], len(begin))
+    for h, e in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist()):
+        most, shared = (step, 0) if h else (limit, overlap)
+        keep[h + np.array(merge_segments(size[h:e], gap[h:e], most, shared))] = True
+    return begin[keep], natural[keep]
+
+
+_ROW = "unit string, pid int, k long, gap long, flow_id long, start_us long"
+_PIECE = "unit string, piece_start long, piece_end long, natural boolean"
+_OUT = "eval_unit_id string, piece_start long, natural boolean, flow_ids array<long>, start_us long, end_us long"
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pid, at = partition_id(), 0
-    for names, new, _, starts, flows in _unique(batches):
+    for names, new, gap, starts, flows in _unique(batches):
         n = len(flows)
-        idx = np.arange(n)
-        head = np.maximum.accumulate(np.where(new, idx, -1))
-        k = np.where(head >= 0, idx - head, idx + at)
+        k = _places(new, at)
         at = int(k[-1]) + 1
-        yield pa.RecordBatch.from_arrays([names, pa.array([pid] * n, pa.int32()), pa.array(k, pa.int64()), pa.array(flows, pa.int64()), pa.array(starts, pa.int64())], ["unit", "pid", "k", "flow_id", "start_us"])
+        yield pa.RecordBatch.from_arrays([names, pa.array([pid] * n, pa.int32()), *(pa.array(x, pa.int64()) for x in (k, gap, flows, starts))], ["unit", "pid", "k", "gap", "flow_id", "start_us"])
+
+
+def _marked(rows: DataFrame, silence: int) -> DataFrame:
+    """What _boundaries finds, from rows that are numbered and written already."""
+    fields = ["k", "gap", "flow_id", "start_us"]
+    role = lambda df, r: df.select("unit", "pid", F.lit(r).alias("role"), *fields)
+    last = rows.groupBy("unit", "pid").agg(F.max(F.struct(*fields)).alias("last")).select("unit", "pid", "last.*")
+    return role(rows.where(F.col("gap") >= silence), START).unionByName(role(rows.where("k = 0"), HEAD)).unionByName(role(last, TAIL))
+
+
+def _merge_unit(table: pa.Table, limit: int, overlap: int) -> pa.Table:
+    """Pieces of one unit from its segments (unit, pos, gap) and a last row with gap -1 whose pos is the number of its flows."""
+    pos, gap = (table.column(c).to_numpy() for c in ("pos", "gap"))
+    end = int(pos[gap == -1][0])
+    pos, gap = pos[gap != -1], gap[gap != -1]
+    order = np.argsort(pos)
+    begin, natural = cut_points(pos[order], gap[order], end, limit, overlap)
+    unit = pa.array([table.column("unit")[0].as_py()] * len(begin), pa.string())
+    return pa.table({"unit": unit, "piece_start": begin, "piece_end": np.append(begin[1:], end), "natural": natural})
+
+
+def _cut_block(rows: pa.Table, cuts: pa.Table, overlap: int) -> pa.Table:
+    """The pieces of `cuts` with their flows, which all stand in `rows`."""
+    begin, end = (cuts.column(c).to_numpy() for c in ("piece_start", "piece_end"))
+    pos = rows.column("pos").to_numpy()
+    order = np.argsort(pos)
+    base = int(pos[order[0]]) if len(pos) else 0
+    lo, hi = np.maximum(0, begin - overlap) - base, end - base
+    n = hi - lo
+    ends = np.cumsum(n)
+    at = order[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - lo, n)]
+    ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(rows.column("flow_id").to_numpy()[at], pa.int64()))
+    starts = rows.column("start_us").to_numpy()[order]
+    return pa.table({"eval_unit_id": cuts.column("unit"), "piece_start": begin, "natural": cuts.column("natural"), "flow_ids": ids, "start_us": starts[lo], "end_us": starts[hi - 1]})
 
 
 def pieces(units: DataFrame, flows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, silence_s: float = SILENCE_S, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
@@ -169,34 +232,25 @@ def pieces(units: DataFrame, flows: DataFrame, limit: int = LIMIT, overlap: int
     piece_start is the 0-based place of the piece's first own flow in the unit's
     time order; before it stand the `overlap` flows of the piece before. No piece
     holds more than `limit` flows. natural tells a cut at a silence from one made
-    because no silence was near. Units of more than `block` flows are also cut at
-    every multiple of it, so that no task holds more.
+    because no silence was near. One task holds a unit's list of segments, 16 bytes
+    for each and its name, and another at most `block` of its flows and those
+    around them.
     """
     if not 0 <= overlap < limit <= block:
         raise ValueError("overlap < limit <= block must hold")
-    n = partitions or shuffle_partitions(units.sparkSession)
     silence = round(silence_s * 1_000_000)
-    rows = cut(range_sorted(oversized(units, flows, limit).select("unit", "start_us", "flow_id"), n, "unit", "start_us", "flow_id").mapInArrow(_numbered, _ROW))
+    rows = cut(_ordered(units, flows, limit, partitions).mapInArrow(_numbered, _ROW))
+    found = cut(_marked(rows, silence))
+    segments, held = _segments(found, silence), found.where(F.col("role") == TAIL).select("unit", "pid", (F.col("k") + 1).alias("n"))
     before = Window.partitionBy("unit").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offset = rows.groupBy("unit", "pid").agg(F.count(F.lit(1)).alias("n")).select("unit", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = rows.join(offset, ["unit", "pid"]).select("unit", (F.col("k") + F.col("offset")).alias("pos"), "flow_id", "start_us").withColumn("block", F.expr(f"pos div {block}"))
-    # The flows before a block's first go along as its overlap.
+    offset = held.select("unit", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    pos = (F.col("k") + F.col("offset")).alias("pos")
+    listed = segments.join(offset, ["unit", "pid"]).select("unit", pos, F.coalesce("gap", F.lit(0)).alias("gap"))
+    totals = held.groupBy("unit").agg(F.sum("n").alias("pos")).withColumn("gap", F.lit(-1).cast("long"))
+    cuts = listed.unionByName(totals).groupBy("unit").applyInArrow(lambda t: _merge_unit(t, limit, overlap), _PIECE).withColumn("block", F.expr(f"piece_start div {block}"))
+    placed = rows.join(offset, ["unit", "pid"]).select("unit", pos, "flow_id", "start_us").withColumn("block", F.expr(f"pos div {block}"))
+    # A piece is made in the block in which it begins: flows before the block go along as its overlap, flows after it as its end.
     lead = placed.where(F.col("pos") % block >= block - overlap).withColumn("block", F.col("block") + 1)
-    cutter = lambda pdf: _cut_block(pdf, silence, limit, overlap, block)
-    return placed.unionByName(lead).groupBy("unit", "block").applyInPandas(cutter, "eval_unit_id string, piece_start long, natural boolean, flow_ids array<long>, start_us long, end_us long")
-
-
-def _cut_block(pdf: pd.DataFrame, silence_us: int, limit: int, overlap: int, block: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    pos, ids, starts = (pdf[c].to_numpy() for c in ("pos", "flow_id", "start_us"))
-    base = int(pdf.block.iloc[0]) * block
-    lead = int((pos < base).sum())
-    if lead == len(pos):  # an overlap that no block follows
-        return pd.DataFrame(columns=["eval_unit_id", "piece_start", "natural", "flow_ids", "start_us", "end_us"], dtype=object)
-    gaps_natural = lead == 0 or starts[lead] - starts[lead - 1] >= silence_us
-    points = cut_points(starts[lead:], silence_us, limit, overlap, first=base == 0)
-    out = []
-    for (at, natural), end in zip(points, [p for p, _ in points[1:]] + [len(pos) - lead]):
-        a, b = max(0, lead + at - overlap) if base or at else lead + at, lead + end
-        out.append((pdf.unit.iloc[0], base + at, bool(natural and (at or gaps_natural)), ids[a:b].tolist(), int(starts[a]), int(starts[b - 1])))
-    return pd.DataFrame(out, columns=["eval_unit_id", "piece_start", "natural", "flow_ids", "start_us", "end_us"])
+    tail = placed.where((F.col("pos") % block < limit) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    around = placed.unionByName(lead).unionByName(tail)
+    return around.groupBy("unit", "block").cogroup(cuts.groupBy("unit", "block")).applyInArrow(lambda a, b: _cut_block(a, b, overlap), _OUT)

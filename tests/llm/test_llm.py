@@ -59,6 +59,51 @@ def test_pieces_cover_with_overlap(spark, seed, partitions, block):
             assert p.natural == (at == 0 or ts[order[k][at]] - ts[order[k][at - 1]] >= 10) or not p.natural
 
 
+def whole_unit_pieces(starts, limit, overlap, silence):
+    """(first flow, natural) of the pieces of a whole unit, merged as defined."""
+    atoms, gaps, natural = [], [], []
+    for i, t in enumerate(starts):
+        silent = i == 0 or t - starts[i - 1] >= silence
+        if silent or len(atoms[-1]) == (limit if atoms[-1][0] == 0 else limit - overlap):
+            atoms.append([]), gaps.append(t - starts[i - 1] if i else 0), natural.append(silent)
+        atoms[-1].append(i)
+    tell = {a[0]: n for a, n in zip(atoms, natural)}
+    groups = [(g, a) for g, a in zip(gaps, atoms)]
+    while True:
+        fit = [(g, b[0], k) for k, ((_, a), (g, b)) in enumerate(zip(groups, groups[1:])) if len(a) + len(b) <= (limit if a[0] == 0 else limit - overlap)]
+        if not fit:
+            return [(a[0], tell[a[0]]) for _, a in groups]
+        k = min(fit)[2]
+        groups[k : k + 2] = [(groups[k][0], groups[k][1] + groups[k + 1][1])]
+
+
+@pytest.mark.parametrize("seed,partitions,block", [(1, 1, 10_000), (2, 7, 64), (4, 5, 20), (5, 9, 12)])
+def test_pieces_do_not_depend_on_blocks(spark, seed, partitions, block):
+    r = random.Random(seed)
+    times, t = [], 1000.0
+    for i in range(900):
+        t += r.choice((1, 1, 1, 10, 12, 15, 40)) if i % 300 < 250 else 1
+        times.append(t)
+    u = spark.createDataFrame([("big", "t", "l", r.sample(range(900), 900)), ("even", "t", "l", list(range(13)))], UNIT)
+    f = spark.createDataFrame([(i, "a", x) for i, x in enumerate(times)], FLOW)
+    rows = split.pieces(u, f, limit=12, overlap=3, silence_s=10, block=block, partitions=partitions).collect()
+    for k, n in (("big", 900), ("even", 13)):
+        want = whole_unit_pieces(times[:n], 12, 3, 10)
+        ends = [a for a, _ in want[1:]] + [n]
+        got = sorted((p.piece_start, p.natural, p.flow_ids, p.start_us, p.end_us) for p in rows if p.eval_unit_id == k)
+        assert got == [(a, nat, list(range(max(0, a - 3), e)), round(times[max(0, a - 3)] * 1e6), round(times[e - 1] * 1e6)) for (a, nat), e in zip(want, ends)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([1, 1, 1, 10, 11, 30]), min_size=1, max_size=80))
+def test_units_are_taken_apart_only_where_pieces_part(steps):
+    starts = np.cumsum(steps)
+    gaps = np.diff(starts, prepend=starts[0])
+    at = np.flatnonzero(np.append(True, gaps[1:] >= 10))
+    begin, natural = split.cut_points(at, gaps[at], len(starts), 12, 3)
+    assert list(zip(begin.tolist(), natural.tolist())) == whole_unit_pieces(starts.tolist(), 12, 3, 10)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 100)), min_size=1, max_size=30))
 def test_merging_is_greedy_by_weakest_boundary(segments):
