@@ -94,6 +94,17 @@ def test_pieces_do_not_depend_on_blocks(spark, seed, partitions, block):
         assert got == [(a, nat, list(range(max(0, a - 3), e)), round(times[max(0, a - 3)] * 1e6), round(times[e - 1] * 1e6)) for (a, nat), e in zip(want, ends)]
 
 
+def test_pieces_take_the_segments_of_segment_starts(spark, monkeypatch):
+    u, f, _, _ = units_and_flows(spark, 6)
+    asked, step = [], split._segments
+    monkeypatch.setattr(split, "_segments", lambda found, silence: asked.append(silence) or step(found, silence))
+    starts = {tuple(r) for r in split.segment_starts(u, f, limit=12, silence_s=10, partitions=4).collect()}
+    rows = split.pieces(u, f, limit=12, overlap=3, silence_s=10, partitions=4).collect()
+    assert asked == [10_000_000] * 2
+    heads = {(p.eval_unit_id, p.flow_ids[3 if p.piece_start else 0]): p.natural for p in rows}
+    assert all((k in starts) == natural for k, natural in heads.items())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([1, 1, 1, 10, 11, 30]), min_size=1, max_size=80))
 def test_units_are_taken_apart_only_where_pieces_part(steps):
