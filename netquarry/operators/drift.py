@@ -156,13 +156,16 @@ def same_shape(a: Node, b: Node) -> bool:
 
 
 def edit_script(old: Node, new: Node) -> tuple[float, list[tuple[str, str]]]:
-    """Least cost and the edits (path of identities, kind) that turn one unordered tree into the other.
+    """Cost and the edits (path of identities, kind) that turn one unordered tree into the other.
 
     Identities are unique among siblings and a node is only relabelled within its
     identity, so the best matching of two sibling sets is the one by identity;
-    what is left over is removed and added, or moved where an equal subtree leaves
-    one parent and appears under another. Kinds differ only where both sides have
-    non-null values.
+    what is left over is removed and added, or moved where a whole subtree leaves
+    one parent and an equal one appears under another. The end of a move that is a
+    field of the payload itself reads as removed or added. The cost is least for
+    scripts without moves; parts of a subtree that leave it by themselves are
+    priced as removed and added. Kinds differ only where both sides have non-null
+    values.
     """
     edits: list[tuple[str, str]] = []
     gone: list[tuple[str, Node]] = []
@@ -192,7 +195,8 @@ def edit_script(old: Node, new: Node) -> tuple[float, list[tuple[str, str]]]:
             edits.append((path, "removed"))
             cost += REMOVE * size(x)
         else:
-            edits += [(path, "moved"), (come.pop(twin)[0], "moved")]
+            to = come.pop(twin)[0]
+            edits += [(path, "moved" if SEP in path else "removed"), (to, "moved" if SEP in to else "added")]
             cost += MOVE
     for path, y in come:
         edits.append((path, "added"))

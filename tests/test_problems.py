@@ -265,6 +265,19 @@ def test_edit_scripts():
     assert script({"a": 8, f"a{s}k": N, "b": 8}, {"a": 8, "b": 8, f"b{s}k": N})[1] == [(f"a{s}k", "moved"), (f"b{s}k", "moved")]
 
 
+def test_top_level_ends_of_a_move_are_added_and_removed(spark):
+    s = drift.SEP
+    nested, flat = {"meta": drift.OBJECT, f"meta{s}x": drift.NUMBER}, {"meta": drift.OBJECT, "x": drift.NUMBER}
+    assert script(nested, flat) == (drift.MOVE, [(f"meta{s}x", "moved"), ("x", "added")])
+    assert script(flat, nested) == (drift.MOVE, [(f"meta{s}x", "moved"), ("x", "removed")])
+    files = spark.createDataFrame([(i, 7, i) for i in (1, 2, 3)], "file_id long, feed_id long, file_seq long")
+    texts = ['{"meta":{"x":1}}', '{"meta":{},"x":1}', '{"meta":{"x":1}}']
+    records = spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts, 1)], "record_id long, file_id long, line_no long, payload string")
+    aliases = spark.createDataFrame([(c, a, r) for a, (c, r) in ALIASES.items()], "canonical_name string, alias_name string, alias_rank long")
+    got = {(r.file_id, r.field_name, r.change_kind) for r in drift.changes(files, records, aliases).where("top").collect()}
+    assert got == {(2, "x", "added"), (3, "x", "removed")}
+
+
 def test_changes_and_table(spark):
     files = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 3), (4, 8, 1), (5, None, 1)], "file_id long, feed_id long, file_seq long")
     rows = [(1, 1, 1, '{"SrcIP":"h","ibyt":5,"flag":true}'), (2, 2, 1, '{"src_ip":"h","ibyt":"6","Extra":{"k":1}}'), (3, 2, 2, '{"src_ip":"h", broken'), (4, 2, 3, None), (5, 2, 4, "[1]"), (6, 4, 1, '{"src_ip":null}'), (7, 2, 5, '{"src_ip":"i","ibyt":"x"}')]
