@@ -14,8 +14,8 @@ collides is verified by 128-bit fingerprints of the whole content, coarse to fin
 
 Every step is a grouped count of distinct documents (least and greatest id), so
 nothing is ever paired within a group, and a group of any size is pre-aggregated.
-A class of equal texts that is settled sends one representative to the next
-step, so that the open members can still meet it.
+A class of equal texts that is settled sends one representative, with the widest
+range of its windows, to the next step, so that the open members can still meet it.
 """
 
 from __future__ import annotations
@@ -215,8 +215,12 @@ def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = shared.groupBy(*_CLASS).agg(*span).select(*_CLASS, "low", ((F.col("c1") != 0) & ((F.col("low") != F.col("high")) | F.col("any"))).alias("settled"))
     told = cut(shared.join(classes, _CLASS))
     left = told.where("not settled")
-    again = told.where("settled and doc_id = low").dropDuplicates(_CLASS).withColumn("multi", F.lit(True)).join(left.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi")
     fields = [c for c in rows.columns if c not in _CLASS]
+    # A run that is hashed in two parts has two rows at one place; the representative has the windows of both.
+    place = [c for c in fields if c in ("anchor", "lo", "hi")]
+    asked = told.where("settled and doc_id = low").join(left.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi")
+    whole = asked.groupBy(*_CLASS, "doc_id", *place).agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("multi", F.lit(True))
+    again = whole.groupBy(*_CLASS).agg(F.max_by(F.struct(*fields), F.col("last") - F.col("first")).alias("r")).select(*_CLASS, "r.*")
     return told.where("settled"), left.select(fields).unionByName(again.select(fields))
 
 

@@ -310,3 +310,19 @@ def test_no_documents(spark):
 def test_window_minima():
     v = np.array([5, 3, 3, 9, 1, 1, 7], np.uint64)
     assert spans.window_minima(v, 3).tolist() == [2, 2, 4, 5, 5]
+
+
+def test_spans_at_the_edge_of_a_hashed_part(spark):
+    edge, span, gram, chunk = spans.AT_ONCE, spans.SPAN, spans.GRAM, spans.CHUNK
+    for seed in range(50):  # a text in which one run and one chunk lie on both sides of the edge, two windows deep
+        text = np.random.default_rng(seed).integers(0x4E00, 0x9000, edge + 2000, dtype=np.uint32)
+        r = spans.runs(text[edge - 1000 : edge + 1000], np.zeros(2000, np.int64), span, gram)
+        a, first, last = next((int(a), int(f), int(l)) for a, f, l in zip(r["anchor"], r["first"], r["last"]) if f <= 1000 <= l)
+        if first <= 998 and last >= 1001 and (a - 998) // chunk == (a - 1001) // chunk:
+            break
+    else:
+        raise AssertionError("no such text")
+    read = lambda codes: codes.tobytes().decode("utf-32-le")
+    docs = [(1, read(text)), (2, read(text[edge - 700 : edge + 700])), (3, "<" + read(text[edge - 2 : edge - 2 + span]) + ">"), (4, "[" + read(text[edge + 1 : edge + 1 + span]) + "]")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    assert {r.doc_id: r.shared_chars for r in spans.shared_chars(df).collect()} == {1: 1400, 2: 1400, 3: 300, 4: 300}
