@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ PATTERNS = [
     ("ipv6_literal", r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b"),
     ("hex_hash", r"\b(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})\b"),
 ]
+#: Configured names of attack families, matched without regard to case.
+FAMILIES = [
+    "Bot", "Botnet", "DDoS", "DoS", "Brute Force", "Brute-Force", "Infiltration", "PortScan", "Port Scan", "SSH-Bruteforce", "FTP-BruteForce", "Web Attack", "SQL Injection", "XSS", "Heartbleed",
+    "Mirai",
+]
 
 
 def patterns(columns: list[str], families: list[str]) -> list[tuple[str, str]]:
@@ -20,7 +27,7 @@ def patterns(columns: list[str], families: list[str]) -> list[tuple[str, str]]:
     if columns:
         out.append(("label_column", r"\b(?:" + "|".join(sorted(columns)) + r")\b"))
     if families:
-        out.append(("attack_family", r"(?i)\b(?:" + "|".join(sorted(families)) + r")\b"))
+        out.append(("attack_family", r"(?i)\b(?:" + "|".join(map(re.escape, sorted(set(families)))) + r")\b"))
     return out
 
 

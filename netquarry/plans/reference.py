@@ -580,7 +580,7 @@ def _lint_sql() -> str:
 
 @query(_lint_sql())
 def forbidden_tokens(spark, d):  # G7
-    return lint.forbidden(table(spark, d, "documents"))
+    return lint.forbidden(table(spark, d, "documents"), families=lint.FAMILIES)
 
 
 @query(f"WITH {CANON} SELECT src_ip, CAST(floor(ts_start / 300) * 300000000 AS BIGINT) AS window_us, count(*) AS flow_count, count(DISTINCT dst_ip) AS distinct_destinations FROM b GROUP BY ALL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netquarry.functions import hashing
 from netquarry.functions.columns import gold_label, n_unique, sum0
 from netquarry.operators import index, lint, normalize, scoring, strata, summary, tools
+from netquarry.plans import reference
 from netquarry.sources import tables
 from netquarry.streaming import monitor
 
@@ -266,6 +267,14 @@ def test_lint(spark):
     assert got == {0: ("ipv4_literal", "10.0.0.1/24"), 1: ("ipv6_literal", "fe80:0:0:1"), 2: ("hex_hash", "a" * 32), 3: ("label_column", "gold_label"), 4: ("attack_family", "ddos")}
 
 
+def test_forbidden_tokens_has_the_families(spark, tmp_path):
+    texts = ["a mirai infection", "SQL injection seen", "ssh-bruteforce", "robots", "gold_label of Mirai"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.pattern, r.matched) for r in reference.forbidden_tokens(spark, str(tmp_path)).collect()}
+    assert got == {0: ("attack_family", "mirai"), 1: ("attack_family", "SQL injection"), 2: ("attack_family", "ssh-bruteforce"), 4: ("label_column", "gold_label")}
+    assert lint.patterns([], ["a.b"])[-1][1].endswith(r"(?:a\.b)\b")
+
+
 def test_hashes(tmp_path):
     assert hashing.canonical_json({"b": 1, "a": ["é"]}) == '{"a":["\\u00e9"],"b":1}'
     assert len(hashing.hash_obj([1])) == 32 and hashing.hash_flow_ids([3, 1]) == hashing.hash_flow_ids((1, 3))
