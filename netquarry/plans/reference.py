@@ -79,7 +79,9 @@ _RAW = {"src_ip": "IPV4_SRC_ADDR", "dst_ip": "IPV4_DST_ADDR", "ts_start": "flow_
 
 
 def _config(spark: SparkSession, d: str, **kw) -> normalize.Config:
-    rows = table(spark, d, "column_aliases").orderBy("canonical_name", "alias_rank").limit(10_000).collect()
+    rows = table(spark, d, "column_aliases").orderBy("canonical_name", "alias_rank").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10 000 aliases")
     aliases: dict[str, tuple[str, ...]] = {}
     for r in rows:
         aliases[r.canonical_name] = (*aliases.get(r.canonical_name, ()), r.alias_name)

@@ -267,6 +267,15 @@ def test_lint(spark):
     assert got == {0: ("ipv4_literal", "10.0.0.1/24"), 1: ("ipv6_literal", "fe80:0:0:1"), 2: ("hex_hash", "a" * 32), 3: ("label_column", "gold_label"), 4: ("attack_family", "ddos")}
 
 
+def test_too_many_aliases_are_an_error(spark, tmp_path):
+    rows = spark.range(10_001).select(F.lit("bytes_in").alias("canonical_name"), F.concat(F.lit("a"), F.col("id")).alias("alias_name"), F.col("id").alias("alias_rank"))
+    rows.write.parquet(f"{tmp_path}/over/column_aliases.parquet")
+    rows.where("id < 10000").write.parquet(f"{tmp_path}/full/column_aliases.parquet")
+    assert len(reference._config(spark, f"{tmp_path}/full").aliases["bytes_in"]) == 10_000
+    with pytest.raises(ValueError, match="aliases"):
+        reference._config(spark, f"{tmp_path}/over")
+
+
 def test_forbidden_tokens_has_the_families(spark, tmp_path):
     texts = ["a mirai infection", "SQL injection seen", "ssh-bruteforce", "robots", "gold_label of Mirai"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
