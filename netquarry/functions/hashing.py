@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterable
+from datetime import UTC, datetime
 from pathlib import Path
 
 
@@ -39,9 +41,32 @@ def hash_flow_ids(ids: Iterable[int]) -> str:
     return hash_obj(sorted(int(i) for i in ids))
 
 
-def manifest_hash(parts: dict[str, str]) -> str:
-    return hash_obj(parts)
+def manifest_hash(parts: dict[str, object]) -> str:
+    """Hash of the map of the parts' own hashes, so that a changed part can be named."""
+    return hash_obj({name: hash_obj(part) for name, part in parts.items()})
 
 
-def short_hash(full: str, n: int = 8) -> str:
-    return full[:n]
+def short_hash(value: object, n: int = 8) -> str:
+    """First digits of a value's hash; a text is hashed as its UTF-8 bytes."""
+    return (digest(value.encode()) if isinstance(value, str) else hash_obj(value))[:n]
+
+
+def seed_of(dataset_hash: str, sample_seed: int, mode: str) -> int:
+    """64-bit seed of a sample from what makes it reproducible."""
+    return int(hash_obj({"dataset_hash": dataset_hash, "sample_seed": sample_seed, "mode": mode})[:16], 16)
+
+
+def run_id(moment: datetime, mode: str, ablation: str, providers: Iterable[str], dataset_hash: str, suffix: str | None = None) -> str:
+    """Name of a run; names order by time. The suffix keeps runs of one second apart."""
+    stamp = moment.astimezone(UTC).strftime("%Y%m%dT%H%M%SZ")
+    return "_".join([stamp, mode, ablation, "+".join(sorted(providers)), dataset_hash[:8], suffix or uuid.uuid4().hex[:6]])
+
+
+def prompts_hash(scaffold: str, common: str, personas: dict[str, str]) -> str:
+    """Hash of the prompt texts that every ablation shares."""
+    return hash_obj({"system_scaffold": scaffold, "playbook_common": common, "personas": personas})
+
+
+def playbooks_hash(playbooks: dict[str, str], ablation: str = "main") -> str:
+    """Hash of the playbooks in use: none under playbooks_off."""
+    return hash_obj({"playbooks": playbooks if ablation != "playbooks_off" else {}})

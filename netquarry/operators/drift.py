@@ -56,12 +56,16 @@ def parse_object(payload: str | None) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def _walk(value: dict, prefix: str, out: dict[str, int], depth: int = 0) -> None:
-    for k, v in value.items():
-        path = prefix + k.lower()
-        out[path] = out.get(path, 0) | kind_of(v)
-        if isinstance(v, dict) and depth < 50:
-            _walk(v, path + SEP, out, depth + 1)
+def _walk(value: dict, out: dict[str, int]) -> None:
+    """Adds the paths and kinds of an object's fields, nested ones to any depth."""
+    todo = [("", value)]
+    while todo:
+        prefix, node = todo.pop()
+        for k, v in node.items():
+            path = prefix + k.lower()
+            out[path] = out.get(path, 0) | kind_of(v)
+            if isinstance(v, dict):
+                todo.append((path + SEP, v))
 
 
 def _field_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,7 @@ def _field_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found = parse_object(payload)
             if found and file is not None:
-                _walk(found, "", seen.setdefault(file, {}))
+                _walk(found, seen.setdefault(file, {}))
         rows = [(f, p, k) for f, fields in seen.items() for p, k in fields.items()]
         f, p, k = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_pydict({"file_id": pa.array(f, pa.int64()), "path": pa.array(p, pa.string()), "kinds": pa.array(k, pa.int32())})

@@ -47,23 +47,24 @@ def numbered(df: DataFrame, key: str | None, order: list[str], partitions: int,
     """df with `_pos`, the 0-based place of each row within its key (or in the whole table) by `order`, and for each column of `sums` its running sum `_sum_<column>` up to and with the row (nulls count 0).
 
     One range exchange over (key, order); a linear scan counts within each
-    partition, and a table of one row for each key and partition that meet gives
-    what the partitions before hold. A heavy key spreads over many partitions.
-    `order` should be total within the key, else ties get any order.
+    partition. Only the first key of a partition can have begun before it, so one
+    row a partition, broadcast, tells what the partitions before hold. A heavy key
+    spreads over many partitions. `order` should be total within the key, else
+    ties get any order.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
     from netquarry.session import cut
 
     by = ([key] if key else []) + order
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_k", T.LongType()), *[T.StructField(f"_in_{c}", T.DoubleType()) for c in sums]])
+    added = [T.StructField("_pid", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_k", T.LongType())]
+    schema = T.StructType([*df.schema.fields, *added, *[T.StructField(f"_in_{c}", T.DoubleType()) for c in sums]])
     where = df.columns.index(key) if key else None
     summed = [df.columns.index(c) for c in sums]
 
     def count(batches):
-        pid, at, name, begun, held = partition_id(), 0, None, False, np.zeros(len(summed))
+        pid, at, row, name, begun, held = partition_id(), 0, 0, None, False, np.zeros(len(summed))
         for b in batches:
             n = b.num_rows
             if not n:
@@ -86,14 +87,21 @@ def numbered(df: DataFrame, key: str | None, order: list[str], partitions: int,
                 run = upto - base + np.where(head >= 0, 0.0, held[i])
                 held[i] = run[-1]
                 more.append(pa.array(run))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * n, pa.int32()), pa.array(k, pa.int64()), *more], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * n, pa.int32()), pa.array(idx + row), pa.array(k, pa.int64()), *more], names=schema.names)
+            row += n
 
     rows = cut(range_sorted(df, partitions, *by).mapInArrow(count, schema))
-    keys = [F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]
-    before = Window.partitionBy("_key").orderBy("_pid2").rowsBetween(Window.unboundedPreceding, -1)
-    met = rows.groupBy(*keys, F.col("_pid").alias("_pid2")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"_of_{c}") for c in sums])
-    offset = met.select("_key", "_pid2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), *[F.coalesce(F.sum(f"_of_{c}").over(before), F.lit(0.0)).alias(f"_before_{c}") for c in sums])
-    match = F.col("_pid") == F.col("_pid2")
+    key_of = (F.col(key) if key else F.lit(0)).alias("key")
+    last = F.struct(key_of, (F.col("_k") + 1).alias("n"), *[F.col(f"_in_{c}").alias(f"of_{c}") for c in sums])
+    edges = rows.groupBy("_pid").agg(F.min_by(F.struct(key_of), "_row").alias("first"), F.max_by(last, "_row").alias("last"))
+    ends = edges.select(F.col("_pid").alias("_q"), "last.*")
+    begins = edges.select(F.col("_pid").alias("_p"), F.col("first.key").alias("_key"))
+    # One row for each partition whose first key ends a partition before it.
+    met = begins.join(F.broadcast(ends), F.col("_key").eqNullSafe(F.col("key")) & (F.col("_q") < F.col("_p")))
+    offset = met.groupBy("_p", "_key").agg(F.sum("n").alias("_before"), *[F.sum(f"of_{c}").alias(f"_before_{c}") for c in sums])
+    match = F.col("_pid") == F.col("_p")
     if key:
         match = match & F.col(key).eqNullSafe(F.col("_key"))
-    return rows.join(offset, match).select(*df.columns, (F.col("_k") + F.col("_before")).alias("_pos"), *[(F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(f"_sum_{c}") for c in sums])
+    added = lambda mine, before, none: F.col(mine) + F.coalesce(F.col(before), F.lit(none))
+    placed = rows.join(F.broadcast(offset), match, "left")
+    return placed.select(*df.columns, added("_k", "_before", 0).alias("_pos"), *[added(f"_in_{c}", f"_before_{c}", 0.0).alias(f"_sum_{c}") for c in sums])

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
-from itertools import zip_longest
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions.hashing import hash_obj
-
 #: The strata in their order.
 STRATA = [(t, g) for t in ("pair_timeline", "host_egress") for g in ("benign", "malicious", "mixed")]
 
@@ -63,22 +57,27 @@ def rotation(selected: DataFrame) -> DataFrame:
     return s.withColumn("place", F.row_number().over(Window.orderBy("_i", "_s"))).drop("_i", "_s")
 
 
-def exact_sample(units: Sequence[tuple[str, str, str]], mode: str, seed: int, dataset_hash: str, per_stratum: int, min_total: int | None = None, cap: int | None = None) -> list[str]:
-    """Ids drawn with the seeded shuffles of Python's generator, for a selection that must agree with one drawn that way. On the driver: for id lists that fit there."""
-    rng = random.Random(int(hash_obj({"dataset_hash": dataset_hash, "sample_seed": seed, "mode": mode})[:16], 16))
-    by = {s: sorted(u for u, t, g in units if (t, g) == s) for s in STRATA}
-    kind = {u: (t, g) for u, t, g in units}
-    chosen: list[str] = []
-    for s in STRATA:
-        if by[s]:
-            rng.shuffle(by[s])
-            chosen += by[s][:per_stratum]
-    if min_total is not None and len(chosen) < min_total:
-        rest = sorted(set(kind) - set(chosen))
-        rng.shuffle(rest)
-        chosen += rest[: min_total - len(chosen)]
-    if cap is not None and len(chosen) > cap:
-        rng.shuffle(chosen)
-        chosen = chosen[:cap]
-    lists = [[u for u in chosen if kind[u] == s] for s in STRATA]
-    return [u for turn in zip_longest(*[x for x in lists if x]) for u in turn if u is not None]
+def report(units: DataFrame, selected: DataFrame, per_stratum: int, capped: bool | Column = False) -> DataFrame:
+    """One row: total_selected, per_stratum_available and per_stratum_selected (maps of type:label over all six strata), undersampled_strata in the strata's order, capped.
+
+    A stratum is undersampled if it holds fewer units than per_stratum. Units of
+    no stratum are not counted; no units give zeros.
+    """
+    counts = available(units, selected).withColumn("_i", stratum_index()).withColumn("_s", F.concat_ws(":", "unit_type", "gold_label"))
+    by_order = lambda c: F.array_sort(F.collect_list(c))
+    entries = lambda c: F.map_from_entries(F.transform(by_order(F.struct("_i", "_s", c)), lambda x: F.struct(x["_s"], x[c])))
+    short = by_order(F.when(F.col("available") < per_stratum, F.struct("_i", "_s")))
+    return counts.agg(
+        F.sum("selected").alias("total_selected"),
+        entries("available").alias("per_stratum_available"),
+        entries("selected").alias("per_stratum_selected"),
+        F.transform(short, lambda x: x["_s"]).alias("undersampled_strata"),
+    ).withColumn("capped", capped if isinstance(capped, Column) else F.lit(capped))
+
+
+def class_balanced(rows: DataFrame, bad: Column, total: int, share: float, seed: int, id_col: str) -> DataFrame:
+    """`total` rows of which the whole part of `share` is bad, or all there are of a class that has fewer; each class in hash order of its ids. The first n of an order are kept in each partition, so no class meets in one task."""
+    n = int(total * share)
+    ranked = rows.withColumns({"_bad": bad, "_h": F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))})
+    pick = lambda cond, k: ranked.where(cond).orderBy("_h", id_col).limit(k)
+    return pick(F.col("_bad"), n).unionByName(pick(~F.col("_bad"), total - n)).drop("_bad", "_h")

@@ -9,16 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netquarry.functions.hashing import hash_obj
+
 #: Fixed value: columns that would give the ground truth away.
-GROUND_TRUTH = frozenset(
-    "_is_malicious is_malicious attack_label _attack_label attack_type _numeric_label numeric_label malicious_flow_count distinct_malicious_destinations gold_label".split()
-)
-#: How pairs can be listed.
-PAIR_ORDER = {"flow_count": "desc", "bytes_total": "desc", "pkts_total": "desc", "distinct_dst_ports": "desc", "ts_start_min": "asc"}
+GROUND_TRUTH = frozenset({
+    "_is_malicious", "is_malicious", "attack_label", "_attack_label", "attack_type", "_numeric_label", "numeric_label", "malicious_flow_count", "distinct_malicious_destinations", "gold_label",
+})
+#: How pairs can be listed: column and direction by sort key.
+PAIR_ORDER = {
+    "flow_count": ("flow_count", "desc"), "bytes_total": ("bytes_total", "desc"), "pkts_total": ("pkts_total", "desc"), "distinct_dst_ports": ("distinct_dst_ports", "desc"), "ts_start": ("ts_start_min", "asc"),
+}
 
 
 class LeakError(RuntimeError):
@@ -66,7 +70,7 @@ def _where(df: DataFrame, **equal: str | None) -> DataFrame:
 
 def list_pairs(ix: Index, src_ip=None, dst_ip=None, sort="flow_count", limit=None) -> DataFrame:
     cols = ["src_ip", "dst_ip", "flow_count", "ts_start_min", "ts_start_max", "bytes_total", "pkts_total", "distinct_dst_ports", "distinct_src_ports", "distinct_protocols"]
-    return _where(ix.pair_stats, src_ip=src_ip, dst_ip=dst_ip).select(cols).orderBy(_last(sort, PAIR_ORDER[sort]), _last("src_ip", "asc"), _last("dst_ip", "asc")).limit(clamp(limit, 20, 200))
+    return _where(ix.pair_stats, src_ip=src_ip, dst_ip=dst_ip).select(cols).orderBy(_last(*PAIR_ORDER[sort]), _last("src_ip", "asc"), _last("dst_ip", "asc")).limit(clamp(limit, 20, 200))
 
 
 def get_pair_timeline(ix: Index, src_ip, dst_ip, offset=0, limit=None) -> DataFrame:
@@ -105,20 +109,28 @@ def top_destinations(ix: Index, host, limit=None) -> DataFrame:
     return _where(ix.pair_stats, src_ip=host).select(cols).orderBy(_last("flow_count", "desc"), _last("dst_ip", "asc")).limit(clamp(limit, 10, 100))
 
 
-def port_proto_matrix(ix: Index, src_ip=None, dst_ip=None, limit=None) -> DataFrame:
-    m = _where(ix.flows, src_ip=src_ip, dst_ip=dst_ip).groupBy("dst_port", "protocol").agg(F.count(F.lit(1)).alias("flow_count"), F.sum(F.col("bytes_in") + F.col("bytes_out")).alias("bytes_total"))
+def port_proto_matrix(ix: Index, scope=None, limit=None) -> DataFrame:
+    m = _where(ix.flows, **(scope or {})).groupBy("dst_port", "protocol").agg(F.count(F.lit(1)).alias("flow_count"), F.sum(F.col("bytes_in") + F.col("bytes_out")).alias("bytes_total"))
     return m.orderBy(_last("flow_count", "desc"), _last("dst_port", "asc"), _last("protocol", "asc")).limit(clamp(limit, 50, 500))
 
 
-def rarity_stats(ix: Index, column, src_ip=None, limit=None) -> DataFrame:
-    r = _where(ix.flows, src_ip=src_ip).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("flow_count"))
-    return r.orderBy("flow_count", _last("value", "asc")).limit(clamp(limit, 20, 200))
+def rarity_stats(ix: Index, scope=None, limit=None) -> DataFrame:
+    """(kind, value, flow_count): the rarest destination ports and the rarest destinations of a scope, `limit` of each; values as text, ports in numeric order among equals."""
+    f, n = _where(ix.flows, **(scope or {})), clamp(limit, 20, 200)
+
+    def tail(column: str, kind: str) -> DataFrame:
+        r = f.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("flow_count")).orderBy("flow_count", _last("value", "asc")).limit(n)
+        return r.select(F.lit(kind).alias("kind"), F.col("value").cast("string").alias("value"), "flow_count")
+
+    return tail("dst_port", "rarest_dst_ports").unionByName(tail("dst_ip", "rarest_dst_ips"))
 
 
-def submit_assessment(ix: Index, verdict, confidence, malicious_flow_indices=(), malicious_destinations=(), rationale="") -> DataFrame:
-    """The submission as a row, if it is valid."""
+def submit_assessment(ix: Index, verdict, confidence, rationale, malicious_flow_indices=(), malicious_destinations=()) -> DataFrame:
+    """The submission as a row, if it is valid; nothing is repaired."""
     if verdict not in ("malicious", "benign") or not 0 <= confidence <= 1:
         raise ToolError("verdict or confidence out of range")
+    if not 1 <= len(rationale) <= 8000:
+        raise ToolError("the rationale must have 1 to 8 000 characters")
     for name, v in (("malicious_flow_indices", malicious_flow_indices), ("malicious_destinations", malicious_destinations)):
         if len(set(v)) != len(v):
             raise ToolError(f"{name} repeats a value")
@@ -126,7 +138,8 @@ def submit_assessment(ix: Index, verdict, confidence, malicious_flow_indices=(),
     return ix.flows.sparkSession.createDataFrame([row], "verdict string, confidence double, malicious_flow_indices array<long>, malicious_destinations array<string>, rationale string")
 
 
-TEXT, COUNT, IDS, NAMES, SHARE = "text", "count", "ids", "names", "share"
+#: Kinds of arguments. Indices are flow ids without a bound on their number; a scope holds some of the named addresses.
+TEXT, COUNT, LIMIT, IDS, INDICES, NAMES, SHARE, SCOPE_SRC, SCOPE_PAIR = "text", "count", "limit", "ids", "indices", "names", "share", "scope of src_ip", "scope of src_ip, dst_ip"
 
 
 @dataclass(frozen=True)
@@ -141,15 +154,25 @@ def _is(value, kind) -> bool:
     if isinstance(kind, (tuple, frozenset)):
         return value in kind
     number = isinstance(value, int) and not isinstance(value, bool)
+    ids = isinstance(value, (list, tuple)) and all(isinstance(v, int) and not isinstance(v, bool) and v >= 0 for v in value)
+    scope = lambda names: isinstance(value, dict) and set(value) <= names and all(isinstance(v, str) for v in value.values())
     return {
         TEXT: isinstance(value, str),
         COUNT: number and value >= 0,
+        LIMIT: number and value >= 1,
         SHARE: (number or isinstance(value, float)) and 0 <= value <= 1,
-        IDS: isinstance(value, (list, tuple)) and len(value) <= 500 and all(isinstance(v, int) and not isinstance(v, bool) for v in value),
+        IDS: ids and 1 <= len(value) <= 500,
+        INDICES: ids,
         NAMES: isinstance(value, (list, tuple)) and all(isinstance(v, str) for v in value),
+        SCOPE_SRC: scope({"src_ip"}),
+        SCOPE_PAIR: scope({"src_ip", "dst_ip"}),
     }[kind]
 
 
+def _plain(kind) -> object:
+    return sorted(kind) if isinstance(kind, (tuple, frozenset)) else kind
+
+
 class Registry:
     def __init__(self):
         self._tools: dict[str, Tool] = {}
@@ -170,6 +193,15 @@ class Registry:
             raise RuntimeError(f"{persona} has no allowlist")
         return self._allowed[persona]
 
+    def manifest_hash(self) -> str:
+        """Hash of every tool's arguments and of who may use which tool; any change of either changes it."""
+        shown = {n: {"needs": {k: _plain(v) for k, v in t.needs.items()}, "takes": {k: _plain(v) for k, v in t.takes.items()}} for n, t in self._tools.items()}
+        return hash_obj({"tools": shown, "persona_allowlist": {p: sorted(names) for p, names in self._allowed.items()}})
+
+    def allowlist(self, spark: SparkSession) -> DataFrame:
+        """(persona, tool) of every permission."""
+        return spark.createDataFrame(sorted((p, n) for p, names in self._allowed.items() for n in names), "persona string, tool string")
+
     def call(self, ix: Index, name: str, persona: str | None = None, **args) -> DataFrame:
         tool = self._tools.get(name)
         if tool is None or persona is not None and name not in self.allowed(persona):
@@ -190,7 +222,7 @@ class Registry:
         if top is None:
             return {}
         ids = [r.flow_id for r in ix.flows.select("flow_id").orderBy("flow_id").limit(5).collect()]
-        known = {"src_ip": top.src_ip, "dst_ip": top.dst_ip, "host": top.src_ip, "flow_ids": ids, "column": "dst_port", "verdict": "benign", "confidence": 0.3}
+        known = {"src_ip": top.src_ip, "dst_ip": top.dst_ip, "host": top.src_ip, "flow_ids": ids, "verdict": "benign", "confidence": 0.3, "rationale": "smoke"}
         said = {}
         for name in sorted(self.allowed(persona)):
             try:
@@ -204,15 +236,21 @@ class Registry:
 def registry() -> Registry:
     r = Registry()
     for t in (
-        Tool("list_pairs", list_pairs, {}, {"src_ip": TEXT, "dst_ip": TEXT, "sort": tuple(PAIR_ORDER), "limit": COUNT}),
-        Tool("get_pair_timeline", get_pair_timeline, {"src_ip": TEXT, "dst_ip": TEXT}, {"offset": COUNT, "limit": COUNT}),
+        Tool("list_pairs", list_pairs, {}, {"src_ip": TEXT, "dst_ip": TEXT, "sort": tuple(PAIR_ORDER), "limit": LIMIT}),
+        Tool("get_pair_timeline", get_pair_timeline, {"src_ip": TEXT, "dst_ip": TEXT}, {"offset": COUNT, "limit": LIMIT}),
         Tool("get_flows", get_flows, {"flow_ids": IDS}, {}),
         Tool("host_rollup", host_rollup, {"host": TEXT}, {}),
         Tool("pair_stats", pair_stats, {"src_ip": TEXT, "dst_ip": TEXT}, {}),
-        Tool("top_destinations", top_destinations, {"host": TEXT}, {"limit": COUNT}),
-        Tool("port_proto_matrix", port_proto_matrix, {}, {"src_ip": TEXT, "dst_ip": TEXT, "limit": COUNT}),
-        Tool("rarity_stats", rarity_stats, {"column": ("dst_port", "dst_ip")}, {"src_ip": TEXT, "limit": COUNT}),
-        Tool("submit_assessment", submit_assessment, {"verdict": ("malicious", "benign"), "confidence": SHARE}, {"malicious_flow_indices": IDS, "malicious_destinations": NAMES, "rationale": TEXT}),
+        Tool("top_destinations", top_destinations, {"host": TEXT}, {"limit": LIMIT}),
+        Tool("port_proto_matrix", port_proto_matrix, {}, {"scope": SCOPE_PAIR, "limit": LIMIT}),
+        Tool("rarity_stats", rarity_stats, {}, {"scope": SCOPE_SRC, "limit": LIMIT}),
+        Tool("submit_assessment", submit_assessment, {"verdict": ("malicious", "benign"), "confidence": SHARE, "rationale": TEXT}, {"malicious_flow_indices": INDICES, "malicious_destinations": NAMES}),
     ):
         r.add(t)
     return r
+
+
+def checked_calls(calls: DataFrame, r: Registry) -> DataFrame:
+    """calls(persona, tool, ...) with `allowed`: whether the persona may use the tool. Unknown tools and personas, and nulls, may not."""
+    permitted = r.allowlist(calls.sparkSession).withColumn("_ok", F.lit(True))
+    return calls.join(F.broadcast(permitted), ["persona", "tool"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_ok")

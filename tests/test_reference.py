@@ -1,13 +1,14 @@
 """Hand-computed cases of the index, tool, scoring, sampling and rollup operators."""
 
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from netquarry.functions import hashing
 from netquarry.functions.columns import gold_label, n_unique, sum0
-from netquarry.operators import index, lint, normalize, scoring, strata, summary, tools
+from netquarry.operators import costs, index, lint, normalize, scoring, strata, summary, tools
 from netquarry.plans import reference
 from netquarry.sources import tables
 from netquarry.streaming import monitor
@@ -140,12 +141,24 @@ def test_registry(ix):
         lambda: r.call(ix, "get_flows", flow_ids=[True]),
         lambda: r.add(tools.Tool("list_pairs", tools.list_pairs, {}, {})),
         lambda: r.allow("x", ["nothing"]),
-        lambda: r.call(ix, "submit_assessment", verdict="benign", confidence=0.5, malicious_flow_indices=[1, 1]),
+        lambda: r.call(ix, "get_flows", flow_ids=[]),
+        lambda: r.call(ix, "get_flows", flow_ids=list(range(501))),
+        lambda: r.call(ix, "get_flows", flow_ids=[-1]),
+        lambda: r.call(ix, "list_pairs", limit=0),
+        lambda: r.call(ix, "rarity_stats", scope={"dst_ip": "x"}),
+        lambda: r.call(ix, "submit_assessment", verdict="benign", confidence=0.5, rationale="r", malicious_flow_indices=[1, 1]),
+        lambda: r.call(ix, "submit_assessment", verdict="benign", confidence=0.5, rationale=""),
+        lambda: r.call(ix, "submit_assessment", verdict="benign", confidence=0.5, rationale="x" * 8001),
+        lambda: r.call(ix, "submit_assessment", verdict="benign", confidence=0.5),
     ):
         with pytest.raises(tools.ToolError):
             call()
     with pytest.raises(RuntimeError):
         r.allowed("stranger")
+    assert r.call(ix, "submit_assessment", verdict="malicious", confidence=1, rationale="r", malicious_flow_indices=list(range(600))).count() == 1
+    before = r.manifest_hash()
+    r.allow("other", ["get_flows"])
+    assert before != r.manifest_hash() and {tuple(x) for x in r.allowlist(ix.flows.sparkSession).where("persona = 'other'").collect()} == {("other", "get_flows")}
 
 
 def test_tools_never_leak(ix):
@@ -179,16 +192,16 @@ BRIDGE = "unit string, flow_id long, src_ip string, dst_ip string, is_malicious
     ([(0, "A", "X", True), (1, "A", "X", False), (2, "A", "Y", True)], [0], [], None, None, "malicious", ([0], 2 / 3, 2 / 3, 1.0, None)),
     ([(0, "A", "X", True), (1, "A", "X", False)], [0, 999], [], None, None, "malicious", ([0], 1.0, 1.0, 1.0, None)),
     ([(0, "A", "X", False)], [], [], None, None, "benign", ([], 1.0, 1.0, 1.0, None)),
-    ([(0, "A", "X", False), (1, "A", "Y", False)], [0], [], None, None, "benign", ([0], 0.0, 0.0, 0.0, "benign_with_flows")),
+    ([(0, "A", "X", False), (1, "A", "Y", False)], [0], [], None, None, "benign", ([0], 0.0, 0.0, 0.0, "verdict_indices_mismatch")),
     ([(0, "A", "X", False), (1, "A", "X", False), (2, "A", "Y", True), (3, "A", "Y", True)], [], ["Y"], None, None, "malicious", ([2, 3], 1.0, 1.0, 1.0, None)),
     ([(0, "A", "X", True), (1, "A", "Y", True), (2, "A", "Y", True)], [0], ["Y"], None, None, "malicious", ([0, 1, 2], 1.0, 1.0, 1.0, None)),
-    ([(2, "A", "Y", True)], [2], [], [0, 1], None, "malicious", ([], 0.0, 0.0, 0.0, "malicious_without_flows")),
+    ([(2, "A", "Y", True)], [2], [], [0, 1], None, "malicious", ([], 0.0, 0.0, 0.0, "verdict_indices_mismatch")),
     ([(2, "A", "Y", True)], [2], [], [0, 1, 2], None, "malicious", ([2], 1.0, 1.0, 1.0, None)),
     ([(2, "A", "Y", True)], [], ["Y"], None, [], None, ([], 0.0, 0.0, 0.0, None)),
     ([(2, "A", "Y", True)], [], ["Y"], [], ["Y"], "malicious", ([2], 1.0, 1.0, 1.0, None)),
 ])
 def test_scores(spark, flows, ids, dsts, seen, seen_dst, verdict, want):
-    b = spark.createDataFrame([("u", *f) for f in flows] + [("other", 999, "A", "Y", True)], BRIDGE)
+    b = scoring.unit_sets(spark.createDataFrame([("u", *f) for f in flows] + [("other", 999, "A", "Y", True)], BRIDGE))
     s = spark.createDataFrame([("p", "q", "u", verdict, ids, dsts, seen, seen_dst)], SUB)
     assert sorted(r.flow_id for r in scoring.resolved(s, b).collect()) == want[0]
     r = scoring.scored(s, b).first()
@@ -218,11 +231,61 @@ def test_latency_is_nearest_rank(spark):
 
 
 def test_runs(spark):
-    runs = spark.createDataFrame([("main", "r1"), ("main", "r3"), ("x", "r2"), ("x", None)], "ablation string, run_id string")
-    assert {tuple(r) for r in summary.latest_runs(runs).collect()} == {("main", "r3"), ("x", "r2")}
-    s = spark.createDataFrame([("main", "p", "q", 0.8, None), ("x", "p", "q", 0.5, 1.0), ("main", "p", "z", 1.0, 1.0)], "ablation string, provider string, persona string, f double, g double")
-    assert [(r.ablation, r.metric, pytest.approx(r.delta)) for r in summary.ablation_delta(s, ["f", "g"]).collect()] == [("x", "f", 0.3)]
+    meta = spark.createDataFrame(
+        [("r1", "h", 7, "main"), ("r3", "h", 7, "main"), ("r4", "other", 7, "main"), ("r5", "h", 8, "main"), ("r6", "h", 7, "strange"), ("r7", "h", 7, "main"), ("r2", "h", 7, "tools_off"), (None, "h", 7, "main")],
+        "run_id string, dataset_hash string, sample_seed long, ablation string",
+    )
+    summaries = spark.createDataFrame([(f"r{i}",) for i in range(1, 7)], "run_id string")
+    runs = summary.comparable_runs(meta, summaries, "h", 7)
+    assert {tuple(r) for r in runs.collect()} == {("main", "r3"), ("tools_off", "r2")}
+    assert {r.ablation for r in summary.missing_tags(runs).collect()} == {"playbooks_off", "single_shot_baseline"}
+    s = spark.createDataFrame([("main", "p", "q", 0.8, None), ("x", "p", "q", 0.5000004, 1.0), ("main", "p", "z", 1.0, 1.0)], "ablation string, provider string, persona string, f double, g double")
+    assert [tuple(r) for r in summary.ablation_delta(s, ["f", "g"]).collect()] == [("x", "p", "q", "f", 0.3)]
     assert [tuple(r) for r in summary.missing_keys(s).collect()] == [("x", "p", "z")]
+    with pytest.raises(LookupError, match="main"):
+        summary.ablation_delta(s.where("ablation = 'x'"), ["f"])
+
+
+def test_costs(spark):
+    calls = spark.createDataFrame(
+        [("openai", "m", 1000, 400, 500, 100), ("gemini", "m", 10, 400, 5, 1), ("anthropic", "m", 1000, 400, 500, 100), ("openai", "unknown", 1000, None, 500, 100)],
+        "provider string, model string, prompt_tokens long, cached_tokens long, output_tokens long, reasoning_tokens long",
+    )
+    clean = {(r.provider, r.model): tuple(r[c] for c in costs.CLASSES) for r in costs.normalized_tokens(calls).collect()}
+    assert clean[("openai", "m")] == (600, 400, 400, 100) and clean[("gemini", "m")] == (0, 400, 5, 1) and clean[("anthropic", "m")] == (1000, 400, 500, 100)
+    rates = spark.createDataFrame([("openai", "m", 5.0, 0.5, 20.0, 40.0), ("openai", "m", 4.0, 0.5, 20.0, 40.0), ("anthropic", "m", 1.0, None, 1.0, 1.0)], "provider string, model string, input double, cached_input double, output double, reasoning double")
+    cost = {(r.provider, r.model): r.cost_usd for r in costs.priced(costs.normalized_tokens(calls), rates).collect()}
+    assert cost[("openai", "m")] == pytest.approx((600 * 5 + 400 * 0.5 + 400 * 20 + 100 * 40) / 1e6) and cost[("openai", "unknown")] == cost[("gemini", "m")] == 0.0
+    models = spark.createDataFrame([("openai", "m"), ("gemini", "m")], "provider string, model string")
+    got = {r.provider: (r.savings_usd, r.hit_rate) for r in summary.token_totals(calls.where("model = 'm'"), costs.cache_rates(rates, models)).collect()}
+    assert got["openai"] == (0.0018, round(400 / 1400, 6)) and got["gemini"][0] == 0.0 and got[None] == (0.0018, round(1200 / 3210, 6))
+    p = spark.createDataFrame([("a", 5, 1, 2.0)], "persona string, turns long, calls long, cap double")
+    assert {r.provider: (r.turns, r.calls, r.cap) for r in costs.scaled_budgets(p, {"x": 1, "y": 0.5, "z": 0.1}, ("turns", "calls"), "cap").collect()} == {"x": (5, 1, 2.0), "y": (2, 1, 1.0), "z": (1, 1, 0.2)}
+    roll = spark.createDataFrame([("x", "a", 2.0, 4), ("x", "b", 1.0, 2), ("y", "a", 1.0, 0)], "provider string, persona string, cost_usd double, renderings long")
+    assert {(r.provider, r.persona): r.cost_per_alert for r in costs.cost_per_alert(roll).collect()} == {("x", "a"): 0.5, ("x", "b"): 0.5, ("x", None): 0.5, ("y", "a"): None, ("y", None): None}
+
+
+def test_unit_order_and_choice(spark):
+    u = index.with_unit_ids(index.units(index.unit_bridge(scanner_flows(spark), 10, 5, 3)))
+    placed = index.ordered_units(u, 3).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(len(placed)))
+    keys = [(r.unit_type, r.src_ip, r.dst_ip or "", r.ts_start_min) for r in placed]
+    assert keys == sorted(keys)
+    first = [r.eval_unit_id for r in index.chosen_units(u, limit=3).collect()]
+    assert first == sorted(r.eval_unit_id for r in placed)[:3] and index.chosen_units(u, unit_id=first[0]).count() == 1
+    for bad in ({}, {"unit_id": "x", "limit": 1}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            index.chosen_units(u, **bad)
+    with pytest.raises(LookupError):
+        index.chosen_units(u, unit_id="x")
+    r = index.assignment_report(u).first()
+    assert r.host_egress_hosts == 1 and r.pair_timeline_count + r.host_egress_count == len(placed) == r.benign_units + r.mixed_units + r.malicious_units
+
+
+def test_scripted_endings(spark):
+    rows = [("a", i, 1, i == 3) for i in range(5)] + [("b", i, 1, False) for i in range(9)] + [("c", i, 1, False) for i in range(2)]
+    t = spark.createDataFrame(rows, "k string, o int, turns int, submits boolean")
+    assert {tuple(r) for r in summary.ended(t, ["k"], "o", {"turns": 4}, "submits").collect()} == {("a", 3, "submitted"), ("b", 4, "turns"), ("c", 1, "exhausted")}
 
 
 def test_running_totals_and_streaks(spark):
@@ -249,22 +312,23 @@ def test_selection(spark):
     assert counts[strata.STRATA[5]] == (0, 0) and sum(c for _, c in counts.values()) == 10
 
 
-def test_exact_sample():
-    units = [(f"u{i}", *strata.STRATA[i % 6]) for i in range(18)]
-    a = strata.exact_sample(units, "smoke", 1, "h", 1, min_total=8)
-    assert len(a) == len(set(a)) == 8 and a == strata.exact_sample(list(reversed(units)), "smoke", 1, "h", 1, min_total=8)
-    assert len(strata.exact_sample(units, "full", 1, "h", 5, cap=10)) == 10
-    assert a != strata.exact_sample(units, "smoke", 2, "h", 1, min_total=8)
+def test_sample_report(spark):
+    rows = [(f"u{i}", *strata.STRATA[i % 5]) for i in range(20)]
+    u = spark.createDataFrame(rows, "eval_unit_id string, unit_type string, gold_label string")
+    r = strata.report(u, strata.select(u, 1, 6, cap=10), 6, True).first()
+    assert (r.total_selected, r.capped, sum(r.per_stratum_selected.values()), set(r.per_stratum_available.values())) == (10, True, 10, {0, 4})
+    assert r.undersampled_strata == [":".join(s) for s in strata.STRATA]
+    assert strata.report(u.limit(0), u.limit(0), 1).first().total_selected == 0
 
 
 # ---- text, hashes, files, streams
 
 
 def test_lint(spark):
-    texts = ["see 10.0.0.1/24", "fe80:0:0:1", "a" * 32, "the gold_label is", "a ddos came", "clean", None, "Gold_Label"]
+    texts = ["see 10.0.0.1/24", "fe80:0:0:1", "a" * 32, "the gold_label is", "a ddos came", "clean", None, "Gold_Label", "\U0001f600 C++(x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {r.doc_id: (r.pattern, r.matched) for r in lint.forbidden(df, families=["DDoS"]).collect()}
-    assert got == {0: ("ipv4_literal", "10.0.0.1/24"), 1: ("ipv6_literal", "fe80:0:0:1"), 2: ("hex_hash", "a" * 32), 3: ("label_column", "gold_label"), 4: ("attack_family", "ddos")}
+    got = {r.doc_id: (r.pattern, r.matched, r.at) for r in lint.forbidden(df, families=["DDoS", "C++(x"]).collect()}
+    assert got == {0: ("ipv4_literal", "10.0.0.1/24", 4), 1: ("ipv6_literal", "fe80:0:0:1", 0), 2: ("hex_hash", "a" * 32, 0), 3: ("label_column", "gold_label", 4), 4: ("attack_family", "ddos", 2), 8: ("attack_family", "C++(x", 2)}
 
 
 def test_too_many_aliases_are_an_error(spark, tmp_path):
@@ -289,6 +353,13 @@ def test_hashes(tmp_path):
     assert len(hashing.hash_obj([1])) == 32 and hashing.hash_flow_ids([3, 1]) == hashing.hash_flow_ids((1, 3))
     with pytest.raises(TypeError):
         hashing.canonical_json({1, 2})
+    parts = {"b": [1], "a": "x"}
+    assert hashing.manifest_hash(parts) == hashing.hash_obj({"a": hashing.hash_obj("x"), "b": hashing.hash_obj([1])})
+    assert hashing.short_hash("abc") == hashing.digest(b"abc")[:8] and hashing.short_hash([1]) == hashing.hash_obj([1])[:8]
+    assert hashing.seed_of("h", 7, "full") == int(hashing.hash_obj({"mode": "full", "sample_seed": 7, "dataset_hash": "h"})[:16], 16)
+    at = datetime(2026, 6, 4, 1, 19, 42, tzinfo=UTC)
+    assert hashing.run_id(at, "full", "main", ["b", "a"], "0123456789", "ffffff") == "20260604T011942Z_full_main_a+b_01234567_ffffff"
+    assert hashing.playbooks_hash({"p": "x"}, "playbooks_off") == hashing.playbooks_hash({}) != hashing.playbooks_hash({"p": "x"})
     p = tmp_path / "x"
     p.write_bytes(b"abc" * 1000)
     assert hashing.hash_file(p, block=7) == hashing.digest(b"abc" * 1000)
@@ -356,5 +427,61 @@ def test_build_index(spark, tmp_path):
 
 
 def test_harvest(spark):
-    df = spark.createDataFrame([(1, '{"items":[{"flow_id":3,"dst_ip":"x"},{"flow_id":true,"deep":{"dst_ip":"y","flow_id":3}}]}'), (2, "{no"), (3, None), (4, '{"dst_ip":{"dst_ip":"z"}}')], "k long, payload string")
-    assert {tuple(r) for r in scoring.harvested(df, "k").collect()} == {(1, 3, None), (1, None, "x"), (1, None, "y"), (4, None, "z")}
+    df = spark.createDataFrame([(1, '{"items":[{"flow_id":3,"dst_ip":"x"},{"flow_id":true,"deep":{"dst_ip":"y","flow_id":3}}]}'), (2, "{no"), (3, None), (4, '{"dst_ip":{"dst_ip":"z"}}'), (5, '{"t":"\\"flow_id\\":9,","flow_id" : -7, "x":["flow_id",{"flow_id":5.5,"dst_ip":"a\\u0062\\"c"}]}'), (6, '{"flow_id":"3","dst_ip":7}')], "k long, payload string")
+    assert {tuple(r) for r in scoring.harvested(df, "k").collect()} == {(1, 3, None), (1, None, "x"), (1, None, "y"), (4, None, "z"), (5, -7, None), (5, None, 'ab"c')}
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from netquarry import session
+
+    context = SimpleNamespace(master="spark://x:7077", applicationId="a", getConf=lambda: SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_scratch_removes_what_was_cut(spark):
+    from pathlib import Path
+
+    from netquarry import session
+
+    with session.scratch():
+        path = Path(session.cut(spark.range(3)).inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists()
+    assert not path.exists()
+
+
+def test_lookup_of_a_large_dimension_is_dealt(spark, monkeypatch):
+    from netquarry import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 2)
+    facts = spark.range(40).select("id", (F.col("id") % 5).alias("k"))
+    dim = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = {(r.id, r.v) for r in session.looked_up(facts, dim, ["k"], "id").collect()}
+    assert got == {(i, i % 5 * 10 if i % 5 < 4 else None) for i in range(40)}
+
+
+def test_only_a_missing_llm_package_is_forgiven(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def without(name, missing):
+        def load(n, *a, **k):
+            if n == name:
+                raise ModuleNotFoundError(f"no {missing}", name=missing)
+            return real(n, *a, **k)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", without("netquarry.llm", "ahocorasick"))
+    with pytest.raises(ModuleNotFoundError):
+        importlib.reload(entry)
+    monkeypatch.setattr(builtins, "__import__", without("netquarry.llm", "netquarry.llm"))
+    assert not importlib.reload(entry).llm_queries
+    monkeypatch.undo()
+    importlib.reload(entry)
