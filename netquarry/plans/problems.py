@@ -48,6 +48,13 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return instants.unit_report(_normalized(spark, d))
 
 
+def p6_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of day and month inferred with the declared ones withheld, of exporters whose clear dates all show one order."""
+    starts, exporters = table(spark, d, "raw_starts"), table(spark, d, "exporters")
+    found = instants.inferred_orders(starts, exporters, table(spark, d, "zone_abbreviations"))
+    return found.where((F.col("clear_dmy") > 0) != (F.col("clear_mdy") > 0)).drop("ambiguous_records")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = drift.changes(table(spark, d, "raw_files"), table(spark, d, "raw_records"), table(spark, d, "column_aliases"))
     return found.where("top").select("file_id", "field_name", "change_kind")
@@ -57,7 +64,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_files"), table(spark, d, "raw_records"), table(spark, d, "column_aliases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p4_found, p4_durations, p5_found, p5_hosts, p6_found, p6_report, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p4_found, p4_durations, p5_found, p5_hosts, p6_found, p6_report, p6_orders, p7_found, p7_table)}
 
 _FLOWS = """
 f AS (SELECT _flow_id, any_value(index_id) AS index_id, nullif(lower(trim(any_value(src_ip), chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11))), '') AS src_ip,
@@ -82,6 +89,13 @@ ORACLE = {
     "p5_found": f"WITH {_FLOWS} SELECT src_ip FROM f WHERE src_ip IS NOT NULL GROUP BY 1 HAVING count(*) >= CAST(0.02 AS DECIMAL(18,12)) * (SELECT count(*) FROM f)",
     "p5_hosts": f"""WITH {_FLOWS} SELECT src_ip, count(*) AS flow_count, CAST(count(*) FILTER (mal) AS BIGINT) AS malicious_flow_count, CAST(sum(bytes_out) AS BIGINT) AS bytes_out_total,
 CAST(sum(bytes_in) AS BIGINT) AS bytes_in_total, min(start_us) AS first_us, max(start_us) AS last_us FROM f WHERE src_ip IS NOT NULL GROUP BY 1""",
+    "p6_orders": r"""WITH t AS (SELECT exporter_id, received_at, regexp_extract(trim(start_text, chr(32)||chr(9)||chr(10)||chr(13)), '^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([AaPp][Mm]))?(?:\s*([+-]\d{2}(?::?\d{2})?)|\s*([A-Za-z]{1,5}))?$', ['a','b','y','h','mi','s','f','ap','off','ab']) AS g FROM raw_starts),
+v AS (SELECT t.exporter_id, received_at, g.*, CAST(g.h AS INTEGER) AS hour FROM t LEFT JOIN exporters USING (exporter_id) WHERE g.a <> '' AND (time_zone IS NOT NULL OR g.off <> '' OR g.ab <> '') AND CAST(g.mi AS INTEGER) < 60 AND coalesce(try_cast(g.s AS INTEGER), 0) < 60),
+c AS (SELECT *, CASE WHEN ap = '' THEN hour WHEN hour BETWEEN 1 AND 12 THEN hour % 12 + CASE WHEN lower(ap) = 'pm' THEN 12 ELSE 0 END END AS hh FROM v),
+r AS (SELECT exporter_id, received_at, try_cast(y || '-' || b || '-' || a AS DATE) + to_hours(hh) AS dmy, try_cast(y || '-' || a || '-' || b AS DATE) + to_hours(hh) AS mdy FROM c WHERE hh < 24),
+w AS (SELECT exporter_id, coalesce(abs(epoch(received_at) - epoch(dmy)) <= 400 * 86400, false) AS d, coalesce(abs(epoch(received_at) - epoch(mdy)) <= 400 * 86400, false) AS m FROM r),
+n AS (SELECT exporter_id, count(*) FILTER (d AND NOT m) AS clear_dmy, count(*) FILTER (m AND NOT d) AS clear_mdy, count(*) FILTER (d AND m) AS n_open FROM w WHERE d OR m GROUP BY 1)
+SELECT exporter_id, clear_dmy, clear_mdy, CASE WHEN clear_dmy > 0 THEN n_open ELSE 0 END AS open_dmy, CASE WHEN clear_mdy > 0 THEN n_open ELSE 0 END AS open_mdy FROM n WHERE (clear_dmy > 0) <> (clear_mdy > 0)""",
     "p7_found": """WITH r AS (SELECT file_id, CASE WHEN json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' THEN payload END AS p FROM raw_records),
 o AS (SELECT file_id, p FROM r WHERE p IS NOT NULL),
 e AS (SELECT file_id, p, unnest(json_keys(p)) AS k FROM o),

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,8 +195,9 @@ AB = {"CEST": 120, "EST": -300, "UTC": 0}
 
 
 def read(text, at, zone=None, order=None):
-    found = instants.latest(instants.readings(text, us(at), instants.Zone(zone) if zone else None, AB, order), us(at))
-    return found
+    """The possible readings of a text: notation -> instant."""
+    r = instants.read(pa.array([text]), np.array([us(at)]), [instants.Zone(zone) if zone else None], np.zeros(1, int), np.array([order or ""]), AB)
+    return {instants.COMPONENTS[c - 1][0]: v for c, d, v in zip(*(x[0].tolist() for x in (r.component, r.delay, r.instant))) if d}
 
 
 @pytest.mark.parametrize("text,at,zone,order,want", [
@@ -240,11 +242,45 @@ def test_em_finds_the_date_order(spark):
     ab = spark.createDataFrame([("UTC", 0)], "abbreviation string, offset_minutes long")
     got = {r.record_id: r for r in instants.normalized(df, ex, ab).collect()}
     assert got[90].notation == "dmy" and not got[90].ambiguous and got[90].epoch_us == us("2024-04-03T10:00:00")
-    assert got[91].ambiguous and got[91].readings == 2
+    assert got[91].ambiguous and got[91].readings == got[91].possible == 2
+    assert got[92].readings == 4 and got[92].possible == 1 and got[92].posterior == 1
     assert got[92].notation == "epoch_s" and got[94].exporter_id == 9 and 93 not in got
     assert instants.normalized(df.limit(0), ex, ab).count() == 0
 
 
+@pytest.mark.parametrize("name", ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kathmandu", "Africa/Casablanca", "UTC"])
+def test_zone_offsets_are_those_of_the_database(name):
+    from zoneinfo import ZoneInfo
+
+    walls = np.arange(us("2023-01-01T00:00:00"), us("2025-07-01T00:00:00"), 23 * 60 * 1_000_000 + 7)
+    one, two, twice = instants.Zone(name).instants(walls)
+    for w, a, b, t in list(zip(walls.tolist(), one.tolist(), two.tolist(), twice.tolist()))[::7] + [x for x in zip(walls.tolist(), one.tolist(), two.tolist(), twice.tolist()) if x[3]]:
+        local = (datetime(1970, 1, 1) + timedelta(microseconds=w)).replace(tzinfo=ZoneInfo(name))
+        early, late = (round(local.replace(fold=k).utcoffset() / timedelta(microseconds=1)) for k in (0, 1))
+        assert w - a == early and t == (late < early) and (not t or w - b == late)
+
+
+def test_dates_exist_as_in_the_calendar():
+    parts = np.array([(y, m, d, 23, 59, 58) for y in (0, 1, 1900, 2000, 2023, 2024) for m in range(14) for d in range(33)]).T
+    value, exists = instants.wall_us(*parts, np.zeros(parts.shape[1], np.int64))
+    for row, v, e in zip(parts.T.tolist(), value.tolist(), exists.tolist()):
+        try:
+            assert e and v == (datetime(*row) - datetime(1970, 1, 1)) / timedelta(microseconds=1)
+        except ValueError:
+            assert not e
+
+
+def test_the_mixture_decides_against_the_first_reading(spark):
+    """Declared orders withheld, two sources write the same open dates and their clear ones decide differently."""
+    at = datetime(2024, 8, 1)
+    clear = [(1, f"{d}/07/2024 10:00:00") for d in range(13, 29)] + [(2, f"07/{d}/2024 10:00:00") for d in range(13, 29)]
+    rows = [(i, e, at, t) for i, (e, t) in enumerate(clear + [(e, f"0{d}/06/2024 10:00:00") for e in (1, 2) for d in range(1, 6)])]
+    df = spark.createDataFrame(rows, "record_id long, exporter_id long, received_at timestamp_ntz, start_text string")
+    ex = spark.createDataFrame([(1, "UTC", "mdy"), (2, "UTC", "dmy")], "exporter_id long, time_zone string, date_order string")
+    got = instants.inferred_orders(df, ex, spark.createDataFrame([("UTC", 0)], "abbreviation string, offset_minutes long"))
+    assert {tuple(r) for r in got.collect()} == {(1, 16, 0, 5, 0, 0), (2, 0, 16, 0, 5, 0)}
+
+
 # ---- drift
 
 ALIASES = {"src_ip": ("src_ip", 0), "srcip": ("src_ip", 2), "bytes_in": ("bytes_in", 0), "ibyt": ("bytes_in", 3)}
