@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netquarry.llm import encode, leaks, sample, spans, split
 from netquarry.sources.tables import table
@@ -25,7 +26,9 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return sample.report(table(spark, d, "eval_units"), table(spark, d, "sample_targets"))
+    """The report with its maps as JSON and its list as text."""
+    r = sample.report(table(spark, d, "eval_units"), table(spark, d, "sample_targets"))
+    return r.select("plan_id", "total_selected", *[F.to_json(c).alias(c) for c in ("per_stratum_available", "per_stratum_selected")], F.concat_ws(",", "undersampled_strata").alias("undersampled_strata"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -46,14 +49,27 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_sample, p3_report, p8_ids, p9_found, p9_leaks, p10_found)}
 
+_CATEGORY = "translate(lower(trim(any_value({}), chr(32)||chr(9)||chr(10)||chr(13))), ' -', '__')"
+_P3 = f"""u AS (SELECT eval_unit_id, {_CATEGORY.format('unit_type')} AS t, {_CATEGORY.format('gold_label')} AS l FROM eval_units GROUP BY 1),
+c AS (SELECT t, l, count(*) AS n FROM u WHERE t IS NOT NULL AND l IS NOT NULL GROUP BY ALL),
+w AS (SELECT plan_id, s.unit_type AS shown_type, s.gold_label AS shown_label, s.unit_type AS t, s.gold_label AS l, coalesce(c.n, 0) AS available,
+ greatest(CAST(min_units AS DECIMAL(30,12)), CAST(target_share AS DECIMAL(12,6)) * CAST(sample_share AS DECIMAL(12,6)) * (SELECT CAST(sum(n) AS BIGINT) FROM c)) AS wanted FROM sample_targets s LEFT JOIN c ON s.unit_type = c.t AND s.gold_label = c.l),
+q AS (SELECT *, least(available, CAST(ceil(wanted) AS BIGINT)) AS quota FROM w)"""
+
+
+def _json(count: str) -> str:
+    return f"'{{' || string_agg('\"' || t || ':' || l || '\":' || {count}, ',' ORDER BY t, l) || '}}'"
+
+
 ORACLE = {
     "p2_found": """WITH u AS (SELECT eval_unit_id, any_value(list_distinct(flow_ids)) AS ids FROM eval_units GROUP BY 1),
 b AS (SELECT eval_unit_id, unnest(ids) AS flow_id FROM u WHERE len(ids) > 80),
 f AS (SELECT _flow_id AS flow_id, any_value(ts_start) AS ts FROM flows WHERE src_ip IS NOT NULL AND ts_start IS NOT NULL GROUP BY 1),
 l AS (SELECT eval_unit_id, flow_id, ts - lag(ts) OVER (PARTITION BY eval_unit_id ORDER BY ts, flow_id) AS gap FROM b JOIN f USING (flow_id))
 SELECT eval_unit_id, flow_id FROM l WHERE gap IS NULL OR gap >= 60""",
-    "p3_found": """WITH u AS (SELECT eval_unit_id, translate(lower(trim(any_value(unit_type), chr(32)||chr(9)||chr(10)||chr(13))), ' -', '__') AS t, translate(lower(trim(any_value(gold_label), chr(32)||chr(9)||chr(10)||chr(13))), ' -', '__') AS l FROM eval_units GROUP BY 1),
-c AS (SELECT t, l, count(*) AS n FROM u WHERE t IS NOT NULL AND l IS NOT NULL GROUP BY ALL)
-SELECT plan_id, unit_type, gold_label FROM sample_targets s LEFT JOIN c ON s.unit_type = c.t AND s.gold_label = c.l
-WHERE coalesce(c.n, 0) < greatest(min_units, CAST(target_share AS DECIMAL(12,6)) * CAST(sample_share AS DECIMAL(12,6)) * (SELECT CAST(sum(n) AS BIGINT) FROM c))""",
+    "p3_found": f"WITH {_P3} SELECT plan_id, shown_type AS unit_type, shown_label AS gold_label FROM q WHERE available < wanted",
+    "p3_sample": f"""WITH {_P3}, k AS (SELECT u.*, row_number() OVER (PARTITION BY t, l ORDER BY CAST('0x' || substr(md5('0|' || eval_unit_id), 1, 12) AS BIGINT), eval_unit_id) AS rank FROM u WHERE t IS NOT NULL AND l IS NOT NULL)
+SELECT plan_id, t AS unit_type, l AS gold_label, eval_unit_id FROM k JOIN q USING (t, l) WHERE rank <= quota""",
+    "p3_report": f"""WITH {_P3} SELECT plan_id, CAST(sum(quota) AS BIGINT) AS total_selected, {_json('available')} AS per_stratum_available, {_json('quota')} AS per_stratum_selected,
+coalesce(string_agg(t || ':' || l, ',' ORDER BY t, l) FILTER (available < wanted), '') AS undersampled_strata FROM q GROUP BY 1""",
 }

@@ -153,6 +153,11 @@ def test_sample(spark):
     assert rep[1].per_stratum_selected["pair_timeline:benign"] == 180 and rep[1].undersampled_strata == ["pair_timeline:malicious"]
     assert rep[3].total_selected == 0
     assert sample.draw(units.limit(0), targets).count() == 0
+    # Reservoirs of any number of tasks and fills hold the same and are drawn from alike.
+    sample.ROWS_AT_ONCE, usual = 20, sample.ROWS_AT_ONCE
+    again = {r.eval_unit_id for r in sample.draw(units.repartition(6), targets, 3, 7).collect() if r.plan_id == 1}
+    sample.ROWS_AT_ONCE = usual
+    assert again == one
     assert sample.exhausted_strata(units.limit(0), targets).count() == 4  # all but the one that wants nothing
 
 
