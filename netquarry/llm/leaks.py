@@ -4,11 +4,14 @@ Pigeonhole edit matching: every window of `words` consecutive words of an item
 is split into budget + 1 pieces, so that a passage with at most `budget` word
 edits keeps one piece whole. Exact hits of the pieces in a document give places,
 and Myers' bit-parallel distance over words verifies the window there. A passage
-that stands in full is a window at distance 0.
+that stands in full is a window at distance 0. Equal windows are one class, and
+candidates are looked at in bounded numbers, so a passage that many items and
+many texts share costs no more memory than one.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,80 +68,153 @@ def _piece_codes(codes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for counts[0] numbers, then the same for the next."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 class Matcher:
-    """Pieces of the windows of a set of items, and the search for them in texts."""
+    """Pieces of the windows of a set of items, and the search for them in texts.
+
+    Equal windows, in whatever items, are one class, which is searched and verified
+    once; its items are put in at the end.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WORDS, budget: int = BUDGET):
         if window // (budget + 1) < 1 or window > 63:
             raise ValueError("each of the budget + 1 pieces needs a word, and a window has at most 63")
         self.window, self.budget, self.piece = window, budget, window // (budget + 1)
         self.number: dict[str, int] = {}
-        codes, self.item, start, end = [], [], [], []
+        codes, item_of, start_of, owners = array("i"), array("q"), array("q"), []
         for item, text in items:
             own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             if len(own) >= window:
-                start += [len(codes)] * len(own)
-                codes += own
-                end += [len(codes)] * len(own)
-                self.item += [item] * len(own)
-        self.codes, self.item = np.array(codes, np.int64), np.array(self.item, np.int64)
-        # First and last place of the item that each place belongs to; pieces that cross items are left out.
-        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
-        at = np.arange(max(0, len(codes) - self.piece + 1))
-        at = at[at + self.piece <= self.end[: len(at)]] if len(at) else at
-        hashed = _piece_codes(self.codes, self.piece)[at]
+                start_of.append(len(codes))
+                item_of.append(item)
+                owners.append(len(own))
+                codes.extend(own)
+        self.codes = np.array(codes, np.int32)
+        whose = np.repeat(np.arange(len(owners)), owners)
+        first, length = np.array(start_of, np.int64), np.array(owners, np.int64)
+        at = _ranges(first, length - window + 1) if len(owners) else np.zeros(0, np.int64)
+        hashed = _piece_codes(self.codes, window)[at]
+        _, rep, cls = np.unique(hashed, return_index=True, return_inverse=True)
+        same = np.ones(len(at), bool)
+        for k in range(window):
+            same &= self.codes[at + k] == self.codes[at[rep[cls]] + k]
+        lone = np.flatnonzero(~same)  # another window's code by chance: a class of its own
+        cls[lone] = len(rep) + np.arange(len(lone))
+        #: Place of one window of each class.
+        self.at = np.concatenate([at[rep], at[lone]]).astype(np.int64)
+        numbers = np.array(item_of, np.int64)[whose[at]] if len(at) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([cls, numbers], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.items = pairs[:, 1]
+        self.items_from = np.searchsorted(pairs[:, 0], np.arange(len(self.at) + 1))
+        # Pieces: hash -> (class, which piece of the window), by hash.
+        pieces = _piece_codes(self.codes, self.piece)
+        j = np.repeat(np.arange(budget + 1), len(self.at))
+        hashed = pieces[np.tile(self.at, budget + 1) + j * self.piece] if len(self.at) else np.zeros(0, np.uint64)
         order = np.argsort(hashed, kind="stable")
-        self.place = at[order]
-        self.known, first = np.unique(hashed[order], return_index=True)
-        self.bounds = np.append(first, len(order))
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(number of the text, item, least distance of any of its windows there, windows within the budget)."""
-        w, p = self.window, self.piece
-        pad = [0] * (w + self.budget)
-        codes, owner = list(pad), [-1] * len(pad)
+        self.cls, self.nth = np.tile(np.arange(len(self.at)), budget + 1)[order], j[order]
+        self.known, begin = np.unique(hashed[order], return_index=True)
+        self.bounds = np.append(begin, len(order))
+
+    def search(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of texts, items, least distances of any window of the item there), each text and item once, some texts at a time."""
+        w, b = self.window, self.budget
+        pad = [0] * (w + b)
+        codes, owner = array("i", pad), array("i", [-1] * len(pad))
         get = self.number.get
         for i, t in enumerate(texts):
             own = [get(x, 0) for x in words(t)]
-            codes += own + pad
-            owner += [i] * (len(own) + len(pad))
-        codes, owner = np.array(codes, np.int64), np.array(owner, np.int64)
+            codes.extend(own + pad)
+            owner.extend([i] * (len(own) + len(pad)))
+        codes, owner = np.array(codes, np.int32), np.array(owner, np.int32)
         if not len(self.known) or len(codes) < 2 * len(pad):
-            return []
-        hashed = _piece_codes(codes, p)
+            return
+        hashed = _piece_codes(codes, self.piece)
         slot = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
-        at = np.flatnonzero((self.known[slot] == hashed) & (codes[: len(hashed)] > 0))
-        count = (self.bounds[1:] - self.bounds[:-1])[slot[at]]
-        row = np.repeat(np.arange(len(at)), count)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        text_at, item_at = at[row], self.place[self.bounds[slot[at]][row] + nth]
-        # The piece is the j-th of a window, for each j that leaves the window within its item.
-        shift = np.arange(self.budget + 1) * p
-        begin = (item_at[:, None] - shift).ravel()
-        place = (text_at[:, None] - shift).ravel()
-        whose = np.repeat(item_at, self.budget + 1)
-        text_no = np.repeat(owner[text_at], self.budget + 1)
-        inside = (begin >= self.start[whose]) & (begin + w <= self.end[whose])
-        begin, place, text_no = begin[inside], place[inside], text_no[inside]
-        if not len(begin):
-            return []
-        key = np.unique(np.stack([text_no, begin, place], 1), axis=0)
-        found = []
-        for lo in range(0, len(key), 50_000):
-            text_no, begin, place = key[lo : lo + 50_000].T
-            reach = place[:, None] + np.arange(-self.budget, w + self.budget)
-            texts_ = codes[np.clip(reach, 0, len(codes) - 1)]
-            texts_[(reach < 0) | (reach >= len(codes))] = 0
-            d = myers(self.codes[begin[:, None] + np.arange(w)], texts_)
-            hit = d <= self.budget
-            found.append(np.stack([text_no[hit], self.item[begin[hit]], d[hit]], 1))
-        best: dict[tuple[int, int], list[int]] = {}
-        for no, item, d in np.concatenate(found).tolist():
-            entry = best.setdefault((no, item), [d, 0])
-            entry[0], entry[1] = min(entry[0], d), entry[1] + 1
-        return [(no, item, d, c) for (no, item), (d, c) in best.items()]
+        hits = np.flatnonzero((self.known[slot] == hashed) & (codes[: len(hashed)] > 0))
+        slot = slot[hits]
+        count = self.bounds[slot + 1] - self.bounds[slot]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        # Texts are taken together up to CANDIDATES, so what is held of results is bounded by the items of a few texts.
+        ends = np.flatnonzero(np.diff(owner[hits], append=-1))
+        lo = 0
+        while lo < len(hits):
+            fits = ends[(ends >= lo) & (upto[ends + 1] - upto[lo] <= CANDIDATES)]
+            hi = int(fits[-1] if len(fits) else ends[np.searchsorted(ends, lo)]) + 1
+            found = [self._verified(codes, hits[lo:hi], slot[lo:hi], owner, c, min(c + CANDIDATES, int(upto[hi] - upto[lo]))) for c in range(0, int(upto[hi] - upto[lo]), CANDIDATES)]
+            if found:
+                yield from self._expanded(np.concatenate(found))
+            lo = hi
 
+    def _verified(self, codes, hits, slot, owner, lo: int, hi: int) -> np.ndarray:
+        """Distinct (text, class, distance) within the budget among the candidates lo to hi of some hits."""
+        count = self.bounds[slot + 1] - self.bounds[slot]
+        upto = np.cumsum(count)
+        flat = np.arange(lo, hi)
+        row = np.searchsorted(upto, flat, "right")
+        entry = self.bounds[slot[row]] + flat - (upto[row] - count[row])
+        cls, nth = self.cls[entry], self.nth[entry]
+        place = hits[row] - nth * self.piece
+        if self.budget == 1 and self.window == 2 * self.piece:  # the other half is the same up to one edit, seen from the piece that was hit
+            keep = np.flatnonzero(self._near(codes, self.at[cls], place, nth))
+            row, cls, place = row[keep], cls[keep], place[keep]
+        reach = np.arange(-self.budget, self.window + self.budget)
+        around = codes[np.clip(place[:, None] + reach, 0, len(codes) - 1)]  # both ends are 0
+        # Equal stretches of text against one class are verified once.
+        key = np.zeros(len(place), np.uint64)
+        for k in range(len(reach)):
+            key = (key ^ around[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        order = np.lexsort((key, cls))
+        new = np.ones(len(order), bool)
+        new[1:] = (cls[order[1:]] != cls[order[:-1]]) | (around[order[1:]] != around[order[:-1]]).any(1)
+        one = order[new]
+        d = np.concatenate([np.zeros(0, np.int64), *(myers(self.codes[self.at[cls[x]][:, None] + np.arange(self.window)], around[x]) for x in np.split(one, range(50_000, len(one), 50_000)) if len(x))])
+        distance = np.empty(len(order), np.int64)
+        distance[order] = d[np.cumsum(new) - 1] if len(order) else d
+        ok = distance <= self.budget
+        return np.unique(np.stack([owner[hits[row[ok]]].astype(np.int64), cls[ok], distance[ok]], 1), axis=0)
 
+    def _near(self, codes: np.ndarray, at: np.ndarray, place: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """Whether the rest of a window, outwards from the piece that was hit, agrees with the text up to one edit."""
+        rest = np.where(nth == 0, self.window - self.piece, self.piece)
+        step = np.where(nth == 0, 1, -1)
+        own, text = np.where(nth == 0, at + self.piece, at + self.piece - 1), np.where(nth == 0, place + self.piece, place + self.piece - 1)
+        good = [np.zeros(len(at), np.int64) for _ in range(3)]  # words matched from the far end back, at shift -1, 0, 1
+        top = len(codes) - 1
+        for k in range(int(rest.max()) if len(rest) else 0):  # from the far end towards the piece
+            i = rest - 1 - k
+            live = i >= 0
+            mine = self.codes[np.where(live, own + step * i, 0)]
+            for s in range(3):
+                same = live & (mine == codes[np.clip(text + step * (i + s - 1), 0, top)]) & (good[s] == k)
+                good[s] += same
+        ahead = np.zeros(len(at), np.int64)
+        for k in range(int(rest.max()) if len(rest) else 0):
+            same = (k < rest) & (ahead == k) & (self.codes[np.where(k < rest, own + step * k, 0)] == codes[np.clip(text + step * k, 0, top)])
+            ahead += same
+        return (ahead + good[1] >= rest - 1) | (ahead + good[2] >= rest) | (ahead + good[0] >= rest - 1)
+
+    def _expanded(self, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Classes replaced by their items, text by text: each item once with its least distance."""
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        for part in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1):
+            if not len(part):
+                continue
+            begin, count = self.items_from[part[:, 1]], self.items_from[part[:, 1] + 1] - self.items_from[part[:, 1]]
+            item, distance = self.items[_ranges(begin, count)], np.repeat(part[:, 2], count)
+            order = np.lexsort((distance, item))
+            item, distance = item[order], distance[order]
+            first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+            yield np.full(len(first), part[0, 0]), item[first], distance[first]
+
+
+#: Candidates looked at together.
+CANDIDATES = 262_144
 #: Characters of text searched at once.
 AT_ONCE = 2_000_000
 
@@ -146,10 +222,20 @@ AT_ONCE = 2_000_000
 def _search(batches: Iterator[pa.RecordBatch], items, window: int, budget: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(items.value, window, budget)
 
-    def answer(docs, texts) -> pa.RecordBatch:
-        rows = [(docs[no], item, d, c) for no, item, d, c in matcher.search(texts)]
-        cols = zip(*rows) if rows else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "item_id", "distance", "windows"])
+    def answer(docs, texts) -> Iterator[pa.RecordBatch]:
+        numbers, waiting, held = np.array(docs, np.int64), [], 0
+        for found in matcher.search(texts):
+            waiting.append(found)
+            held += len(found[0])
+            if held >= CANDIDATES:
+                yield batch(numbers, waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield batch(numbers, waiting)
+
+    def batch(numbers, waiting) -> pa.RecordBatch:
+        no, item, distance = (np.concatenate(x) for x in zip(*waiting))
+        return pa.RecordBatch.from_arrays([pa.array(numbers[no]), pa.array(item), pa.array(distance)], ["doc_id", "item_id", "distance"])
 
     for b in batches:
         docs, texts, size = [], [], 0
@@ -157,14 +243,14 @@ def _search(batches: Iterator[pa.RecordBatch], items, window: int, budget: int)
             docs.append(doc), texts.append(text)
             size += len(text)
             if size >= AT_ONCE:
-                yield answer(docs, texts)
+                yield from answer(docs, texts)
                 docs, texts, size = [], [], 0
         if docs:
-            yield answer(docs, texts)
+            yield from answer(docs, texts)
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = WORDS, budget: int = BUDGET, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """(doc_id, item_id, distance, windows): documents that hold a window of an item with at most `budget` word edits.
+    """(doc_id, item_id, distance): documents that hold a window of an item with at most `budget` word edits.
 
     distance is the least of any window, 0 where `window` consecutive words stand
     in full. Items shorter than a window, null ids and null texts find nothing;
@@ -186,12 +272,12 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WORDS, budget: i
             if not block:
                 raise ValueError("one item_id repeats more often than items_at_once")
         sent = spark.sparkContext.broadcast(block)
-        part = docs.mapInArrow(lambda it, sent=sent: _search(it, sent, window, budget), "doc_id long, item_id long, distance long, windows long")
+        part = docs.mapInArrow(lambda it, sent=sent: _search(it, sent, window, budget), "doc_id long, item_id long, distance long")
         out = part if out is None else out.unionByName(part)
         if len(rows) <= items_at_once:
             break
         last = block[-1][0]
-    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.sum("windows").alias("windows"))
+    return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def held(documents: DataFrame, items: DataFrame, window: int = WORDS) -> DataFrame:

@@ -61,7 +61,17 @@ def _json(count: str) -> str:
     return f"'{{' || string_agg('\"' || t || ':' || l || '\":' || {count}, ',' ORDER BY t, l) || '}}'"
 
 
+def _grams(table: str, key: str) -> str:
+    words = "regexp_extract_all(lower(regexp_replace(text, '[\u200b\u00ad]', '', 'g')), '[\\p{L}\\p{N}]+')"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS k FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) >= 12"
+
+
 ORACLE = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('heldout_items', 'item_id')}) USING (k)",
+    "p10_found": """WITH w AS (SELECT doc_id, i AS s, hash(substr(text, i, 300)) AS a, md5(substr(text, i, 300)) AS b FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+k AS (SELECT a, b FROM w GROUP BY ALL HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) - s AS step FROM w JOIN k USING (a, b))
+SELECT doc_id, CAST(sum(least(300, coalesce(step, 300))) AS BIGINT) AS shared_chars FROM m GROUP BY 1""",
     "p2_found": """WITH u AS (SELECT eval_unit_id, any_value(list_distinct(flow_ids)) AS ids FROM eval_units GROUP BY 1),
 b AS (SELECT eval_unit_id, unnest(ids) AS flow_id FROM u WHERE len(ids) > 80),
 f AS (SELECT _flow_id AS flow_id, any_value(ts_start) AS ts FROM flows WHERE src_ip IS NOT NULL AND ts_start IS NOT NULL GROUP BY 1),

@@ -260,6 +260,21 @@ def test_leaks(spark):
     assert leaks.held(d.limit(0), i).count() == 0 and leaks.held(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window,budget", [(12, 1), (12, 2), (13, 1), (5, 0), (9, 2)])
+def test_matching_of_repetitive_texts(window, budget, monkeypatch):
+    monkeypatch.setattr(leaks, "CANDIDATES", 50)
+    r = random.Random(window * 10 + budget)
+    item = {i: [r.choice("abc") for _ in range(r.choice([window - 1, window, window + 9]))] for i in range(12)}
+    texts = [[r.choice("abcd") for _ in range(r.randrange(0, 40))] for _ in range(30)]
+    found = {}
+    for no, ids, d in leaks.Matcher([(i, " ".join(w)) for i, w in item.items()], window, budget).search([" ".join(t) for t in texts]):
+        for key, v in zip(zip(no.tolist(), ids.tolist()), d.tolist()):
+            assert key not in found
+            found[key] = v
+    best = {(n, i): min(plain_distance(w[a : a + window], t) for a in range(len(w) - window + 1)) for n, t in enumerate(texts) for i, w in item.items() if len(w) >= window}
+    assert found == {k: v for k, v in best.items() if v <= budget}
+
+
 # ---- shared spans
 
 
