@@ -10,11 +10,17 @@ from netquarry.sources.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.segment_starts(table(spark, d, "eval_units"), table(spark, d, "flows"))
+    return split.segments(table(spark, d, "eval_units"), table(spark, d, "flows")).select("eval_unit_id", "flow_id")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.pieces(table(spark, d, "eval_units"), table(spark, d, "flows"))
+    """The pieces, their flows as text."""
+    p = split.pieces(table(spark, d, "eval_units"), table(spark, d, "flows"))
+    return p.withColumn("flow_ids", F.concat_ws(",", F.transform("flow_ids", lambda x: x.cast("string"))))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return split.checked(split.pieces(table(spark, d, "eval_units"), table(spark, d, "flows")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +53,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_sample, p3_report, p8_ids, p9_found, p9_leaks, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_report, p3_found, p3_sample, p3_report, p8_ids, p9_found, p9_leaks, p10_found)}
 
+_P2 = """u AS (SELECT eval_unit_id, any_value(list_distinct(flow_ids)) AS ids FROM eval_units GROUP BY 1),
+b AS (SELECT eval_unit_id, unnest(ids) AS flow_id FROM u WHERE len(ids) > 80),
+f AS (SELECT _flow_id AS flow_id, any_value(ts_start) AS ts FROM flows WHERE src_ip IS NOT NULL AND ts_start IS NOT NULL GROUP BY 1),
+l AS (SELECT eval_unit_id, flow_id, ts - lag(ts) OVER (PARTITION BY eval_unit_id ORDER BY ts, flow_id) AS gap FROM b JOIN f USING (flow_id))"""
 _CATEGORY = "translate(lower(trim(any_value({}), chr(32)||chr(9)||chr(10)||chr(13))), ' -', '__')"
 _P3 = f"""u AS (SELECT eval_unit_id, {_CATEGORY.format('unit_type')} AS t, {_CATEGORY.format('gold_label')} AS l FROM eval_units GROUP BY 1),
 c AS (SELECT t, l, count(*) AS n FROM u WHERE t IS NOT NULL AND l IS NOT NULL GROUP BY ALL),
@@ -72,11 +82,8 @@ ORACLE = {
 k AS (SELECT a, b FROM w GROUP BY ALL HAVING min(doc_id) <> max(doc_id)),
 m AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) - s AS step FROM w JOIN k USING (a, b))
 SELECT doc_id, CAST(sum(least(300, coalesce(step, 300))) AS BIGINT) AS shared_chars FROM m GROUP BY 1""",
-    "p2_found": """WITH u AS (SELECT eval_unit_id, any_value(list_distinct(flow_ids)) AS ids FROM eval_units GROUP BY 1),
-b AS (SELECT eval_unit_id, unnest(ids) AS flow_id FROM u WHERE len(ids) > 80),
-f AS (SELECT _flow_id AS flow_id, any_value(ts_start) AS ts FROM flows WHERE src_ip IS NOT NULL AND ts_start IS NOT NULL GROUP BY 1),
-l AS (SELECT eval_unit_id, flow_id, ts - lag(ts) OVER (PARTITION BY eval_unit_id ORDER BY ts, flow_id) AS gap FROM b JOIN f USING (flow_id))
-SELECT eval_unit_id, flow_id FROM l WHERE gap IS NULL OR gap >= 60""",
+    "p2_found": f"WITH {_P2} SELECT eval_unit_id, flow_id FROM l WHERE gap IS NULL OR gap >= 60",
+    "p2_report": f"WITH {_P2} SELECT eval_unit_id, count(*) AS flow_count, true AS within_limit, true AS overlaps_hold FROM l GROUP BY 1",
     "p3_found": f"WITH {_P3} SELECT plan_id, shown_type AS unit_type, shown_label AS gold_label FROM q WHERE available < wanted",
     "p3_sample": f"""WITH {_P3}, k AS (SELECT u.*, row_number() OVER (PARTITION BY t, l ORDER BY CAST('0x' || substr(md5('0|' || eval_unit_id), 1, 12) AS BIGINT), eval_unit_id) AS rank FROM u WHERE t IS NOT NULL AND l IS NOT NULL)
 SELECT plan_id, t AS unit_type, l AS gold_label, eval_unit_id FROM k JOIN q USING (t, l) WHERE rank <= quota""",

@@ -112,16 +112,20 @@ def _segments(found: DataFrame, silence: int) -> DataFrame:
     return found.where(F.col("role") == START).select(fields).unionByName(heads.select(fields))
 
 
-def segment_starts(units: DataFrame, flows: DataFrame, limit: int = LIMIT, silence_s: float = SILENCE_S, partitions: int | None = None) -> DataFrame:
-    """(eval_unit_id, flow_id) of the first flow of each atomic segment of the oversized units.
+def segments(units: DataFrame, flows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, silence_s: float = SILENCE_S, partitions: int | None = None) -> DataFrame:
+    """The atomic segments of the oversized units as merged: (eval_unit_id, flow_id, place, gap_us, piece_start).
 
     A segment begins with the unit's first flow by (start, id) and with each flow
-    that starts at least silence_s after the start of the one before. Units with
-    null or few flow_ids have none; ties in start are ordered by id.
+    that starts at least silence_s after the start of the one before; flow_id is
+    that flow, place its 0-based place in the unit, gap_us the silence before it (0
+    at the unit's first) and piece_start the place at which the piece that it
+    begins in was made to start. Units with null or few flow_ids have none; ties in
+    start are ordered by id.
     """
     silence = round(silence_s * 1_000_000)
     found = cut(_ordered(units, flows, limit, partitions).mapInArrow(lambda it: _boundaries(it, silence), _EDGE))
-    return _segments(found, silence).select(F.col("unit").alias("eval_unit_id"), "flow_id")
+    merged = _merged(found, silence, limit, overlap).where("flow_id is not null")
+    return merged.select(F.col("unit").alias("eval_unit_id"), "flow_id", F.col("pos").alias("place"), F.col("gap").alias("gap_us"), "piece_start")
 
 
 def merge_segments(sizes: list[int], gaps: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
@@ -179,7 +183,7 @@ def cut_points(at: np.ndarray, gaps: np.ndarray, total: int, limit: int = LIMIT,
 
 
 _ROW = "unit string, pid int, k long, gap long, flow_id long, start_us long"
-_PIECE = "unit string, piece_start long, piece_end long, natural boolean"
+_PIECE = "unit string, flow_id long, pos long, gap long, piece_start long, piece_end long, natural boolean"
 _OUT = "eval_unit_id string, piece_start long, natural boolean, flow_ids array<long>, start_us long, end_us long"
 
 
@@ -201,14 +205,35 @@ def _marked(rows: DataFrame, silence: int) -> DataFrame:
 
 
 def _merge_unit(table: pa.Table, limit: int, overlap: int) -> pa.Table:
-    """Pieces of one unit from its segments (unit, pos, gap) and a last row with gap -1 whose pos is the number of its flows."""
-    pos, gap = (table.column(c).to_numpy() for c in ("pos", "gap"))
-    end = int(pos[gap == -1][0])
-    pos, gap = pos[gap != -1], gap[gap != -1]
-    order = np.argsort(pos)
-    begin, natural = cut_points(pos[order], gap[order], end, limit, overlap)
-    unit = pa.array([table.column("unit")[0].as_py()] * len(begin), pa.string())
-    return pa.table({"unit": unit, "piece_start": begin, "piece_end": np.append(begin[1:], end), "natural": natural})
+    """One unit merged, from its segments (unit, pos, gap, flow_id) and a last row with gap -1 whose pos is the number of its flows: its segments with the pieces they begin in, and its pieces (flow_id null)."""
+    t = table.sort_by("pos")
+    pos, gap = (t.column(c).to_numpy() for c in ("pos", "gap"))
+    end, is_segment = int(pos[gap == -1][0]), gap != -1
+    pos, gap, flow = pos[is_segment], gap[is_segment], t.column("flow_id").filter(pa.array(is_segment)).combine_chunks()
+    begin, natural = cut_points(pos, gap, end, limit, overlap)
+    ends = np.append(begin[1:], end)
+    into = np.searchsorted(begin, pos, "right") - 1
+    n, m = len(pos), len(begin)
+    return pa.table({
+        "unit": pa.array([t.column("unit")[0].as_py()] * (n + m), pa.string()),
+        "flow_id": pa.concat_arrays([flow if isinstance(flow, pa.Array) else pa.concat_arrays(flow.chunks), pa.nulls(m, pa.int64())]),
+        "pos": np.append(pos, begin), "gap": np.append(gap, np.zeros(m, np.int64)), "piece_start": np.append(begin[into], begin), "piece_end": np.append(ends[into], ends), "natural": np.append(natural[into], natural),
+    })
+
+
+def _placed_by(found: DataFrame) -> DataFrame:
+    """(unit, pid, offset): how many of a unit's flows stand in the partitions before; a row for each unit and partition that meet."""
+    held = found.where(F.col("role") == TAIL).select("unit", "pid", (F.col("k") + 1).alias("n"))
+    before = Window.partitionBy("unit").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    return held.select("unit", "pid", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+
+
+def _merged(found: DataFrame, silence: int, limit: int, overlap: int) -> DataFrame:
+    """The units' segments, merged agglomeratively: rows of _merge_unit."""
+    offset = _placed_by(found)
+    listed = _segments(found, silence).join(offset, ["unit", "pid"]).select("unit", (F.col("k") + F.col("offset")).alias("pos"), F.coalesce("gap", F.lit(0)).alias("gap"), "flow_id")
+    totals = offset.groupBy("unit").agg(F.sum("n").alias("pos")).select("unit", "pos", F.lit(-1).cast("long").alias("gap"), F.lit(None).cast("long").alias("flow_id"))
+    return listed.unionByName(totals).groupBy("unit").applyInArrow(lambda t: _merge_unit(t, limit, overlap), _PIECE)
 
 
 def _cut_block(rows: pa.Table, cuts: pa.Table, overlap: int) -> pa.Table:
@@ -241,16 +266,21 @@ def pieces(units: DataFrame, flows: DataFrame, limit: int = LIMIT, overlap: int
     silence = round(silence_s * 1_000_000)
     rows = cut(_ordered(units, flows, limit, partitions).mapInArrow(_numbered, _ROW))
     found = cut(_marked(rows, silence))
-    segments, held = _segments(found, silence), found.where(F.col("role") == TAIL).select("unit", "pid", (F.col("k") + 1).alias("n"))
-    before = Window.partitionBy("unit").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offset = held.select("unit", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    pos = (F.col("k") + F.col("offset")).alias("pos")
-    listed = segments.join(offset, ["unit", "pid"]).select("unit", pos, F.coalesce("gap", F.lit(0)).alias("gap"))
-    totals = held.groupBy("unit").agg(F.sum("n").alias("pos")).withColumn("gap", F.lit(-1).cast("long"))
-    cuts = listed.unionByName(totals).groupBy("unit").applyInArrow(lambda t: _merge_unit(t, limit, overlap), _PIECE).withColumn("block", F.expr(f"piece_start div {block}"))
-    placed = rows.join(offset, ["unit", "pid"]).select("unit", pos, "flow_id", "start_us").withColumn("block", F.expr(f"pos div {block}"))
+    offset = _placed_by(found).select("unit", "pid", "offset")
+    cuts = _merged(found, silence, limit, overlap).where("flow_id is null").select("unit", "piece_start", "piece_end", "natural", F.expr(f"piece_start div {block}").alias("block"))
+    placed = rows.join(offset, ["unit", "pid"]).select("unit", (F.col("k") + F.col("offset")).alias("pos"), "flow_id", "start_us").withColumn("block", F.expr(f"pos div {block}"))
     # A piece is made in the block in which it begins: flows before the block go along as its overlap, flows after it as its end.
     lead = placed.where(F.col("pos") % block >= block - overlap).withColumn("block", F.col("block") + 1)
     tail = placed.where((F.col("pos") % block < limit) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
     around = placed.unionByName(lead).unionByName(tail)
     return around.groupBy("unit", "block").cogroup(cuts.groupBy("unit", "block")).applyInArrow(lambda a, b: _cut_block(a, b, overlap), _OUT)
+
+
+def checked(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Per unit what its pieces amount to: (eval_unit_id, flow_count, within_limit, overlaps_hold): own flows of all pieces, whether none exceeds the limit, and whether each begins with the last flows of the one before, which a piece meets by its place."""
+    p = pieces.select("eval_unit_id", "piece_start", "flow_ids", F.when(F.col("piece_start") > 0, overlap).otherwise(0).alias("shared"))
+    p = p.withColumn("own", F.size("flow_ids") - F.least("shared", "piece_start"))
+    ends = p.select("eval_unit_id", (F.col("piece_start") + F.col("own")).alias("piece_start"), F.expr(f"slice(flow_ids, -least({overlap}, size(flow_ids)), {overlap})").alias("tail"))
+    met = p.join(ends, ["eval_unit_id", "piece_start"], "left")
+    holds = (F.col("piece_start") == 0) | F.coalesce(F.slice("flow_ids", 1, F.size("tail")) == F.col("tail"), F.lit(False))
+    return met.groupBy("eval_unit_id").agg(F.sum("own").cast("long").alias("flow_count"), F.every(F.size("flow_ids") <= limit).alias("within_limit"), F.every(holds).alias("overlaps_hold"))

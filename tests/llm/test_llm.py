@@ -37,7 +37,7 @@ def test_segment_starts(spark, seed, partitions):
     for k in ("big", "even"):
         o = order[k]
         want |= {(k, o[0])} | {(k, b) for a, b in zip(o, o[1:]) if ts[b] - ts[a] >= 10}
-    got = [tuple(r) for r in split.segment_starts(u, f, limit=12, silence_s=10, partitions=partitions).collect()]
+    got = [tuple(r) for r in split.segments(u, f, limit=12, silence_s=10, partitions=partitions).select("eval_unit_id", "flow_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -94,15 +94,18 @@ def test_pieces_do_not_depend_on_blocks(spark, seed, partitions, block):
         assert got == [(a, nat, list(range(max(0, a - 3), e)), round(times[max(0, a - 3)] * 1e6), round(times[e - 1] * 1e6)) for (a, nat), e in zip(want, ends)]
 
 
-def test_pieces_take_the_segments_of_segment_starts(spark, monkeypatch):
-    u, f, _, _ = units_and_flows(spark, 6)
-    asked, step = [], split._segments
-    monkeypatch.setattr(split, "_segments", lambda found, silence: asked.append(silence) or step(found, silence))
-    starts = {tuple(r) for r in split.segment_starts(u, f, limit=12, silence_s=10, partitions=4).collect()}
+def test_segments_are_what_was_merged(spark):
+    u, f, ts, order = units_and_flows(spark, 6)
+    segments = split.segments(u, f, limit=12, overlap=3, silence_s=10, partitions=4).collect()
     rows = split.pieces(u, f, limit=12, overlap=3, silence_s=10, partitions=4).collect()
-    assert asked == [10_000_000] * 2
-    heads = {(p.eval_unit_id, p.flow_ids[3 if p.piece_start else 0]): p.natural for p in rows}
-    assert all((k in starts) == natural for k, natural in heads.items())
+    for k in ("big", "even"):
+        silent = [i for i, x in enumerate(order[k]) if i == 0 or ts[x] - ts[order[k][i - 1]] >= 10]
+        own = sorted((r.place, r.flow_id, r.gap_us, r.piece_start) for r in segments if r.eval_unit_id == k)
+        assert [x[:3] for x in own] == [(i, order[k][i], round((ts[order[k][i]] - ts[order[k][i - 1]]) * 1e6) if i else 0) for i in silent]
+        begins = sorted(p.piece_start for p in rows if p.eval_unit_id == k)
+        assert [x[3] for x in own] == [max(b for b in begins if b <= i) for i in silent]
+        assert {p.piece_start for p in rows if p.eval_unit_id == k and p.natural} == {x[0] for x in own if x[0] == x[3]}
+    assert {r.eval_unit_id for r in segments} == {"big", "even"}
 
 
 @settings(max_examples=300, deadline=None)
