@@ -136,17 +136,23 @@ def merge_segments(sizes: list[int], gaps: list[int], limit: int = LIMIT, overla
     first is known from the start.
     """
     n = len(sizes)
-    left, right, size, alive = array("q", range(-1, n - 1)), array("q", range(1, n + 1)), array("q", sizes), bytearray([1]) * n
-    # Merging changes no gap, so one stable order serves as the queue.
-    for i in memoryview(np.argsort(np.asarray(gaps[1:], np.int64), kind="stable") + 1):  # the boundary before segment i; sizes only grow, so one that does not fit now never will
-        a = left[i]
-        if size[a] + size[i] > (limit if a == 0 else limit - overlap):
-            continue
-        size[a] += size[i]
-        alive[i] = 0
-        right[a] = right[i]
-        if right[i] < n:
-            left[right[i]] = a
+    left, right, size, alive, tried = array("q", range(-1, n - 1)), array("q", range(1, n + 1)), array("q", sizes), bytearray([1]) * n, bytearray(n)
+    # Merging changes no gap, so one stable order serves as the queue. Sizes only grow: a boundary that does not fit now fits later only where the piece
+    # before it has become part of the first piece, which may hold more.
+    for i in memoryview(np.argsort(np.asarray(gaps[1:], np.int64), kind="stable") + 1):  # the boundary before segment i
+        tried[i] = 1
+        while i < n and tried[i]:
+            a = left[i]
+            if size[a] + size[i] > (limit if a == 0 else limit - overlap):
+                break
+            size[a] += size[i]
+            alive[i] = 0
+            right[a] = right[i]
+            if right[i] < n:
+                left[right[i]] = a
+            if a:
+                break
+            i = right[0]
     return [i for i in range(n) if alive[i]]
 
 
@@ -167,9 +173,9 @@ def cut_points(at: np.ndarray, gaps: np.ndarray, total: int, limit: int = LIMIT,
     begin = at[seg] + np.where(nth > 0, own[seg] + (nth - 1) * step, 0)
     natural = nth == 0
     size, gap = np.diff(begin, append=total), np.where(natural, gaps[seg], 0)
-    # A cut inside a segment has a full piece before it. Otherwise the first piece, which has no overlap, may hold more, as long as it can reach the boundary.
+    # The first piece, which has no overlap, may hold more, as long as it can reach the boundary.
     pair = size[:-1] + size[1:]
-    stays = ~natural[1:] | (pair > limit)
+    stays = pair > limit
     reach = int(np.argmax(stays)) if stays.any() else len(stays)
     stays[reach:] |= pair[reach:] > step
     heads = np.append(0, np.flatnonzero(stays) + 1)
