@@ -2,9 +2,11 @@
 
 Events are dealt by id over all partitions. Each partition gives its entities
 local ordinals and keeps, for each type, bit-sliced counters and totals over
-those ordinals with aligned arrays of first and last times. The partition states
-are cut into blocks of entities and added block by block with bitmap carries, so
-a heavy entity arrives as one small state a partition and never as rows.
+those ordinals with aligned arrays of first and last times. States are cut by a
+digit of their entities' hash and added with bitmap carries, fan_in at a time, in
+as many rounds as the partitions need: a node gets at most fan_in states and sends
+at most fan_in, so their number grows with the partitions, and a heavy entity
+arrives as small states and never as rows.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.columns import epoch_us, protocol_name, source_id, whole
 from netquarry.operators.bitslice import TypedState
+from netquarry.operators.scan import partition_id
 from netquarry.session import shuffle_partitions, small
 
 ROWS_AT_ONCE = 131_072
+#: States that are added in one task, and parts a state is cut into.
+FAN_IN = 64
 
 
 def service_events(flows: DataFrame, services: DataFrame) -> DataFrame:
@@ -40,28 +45,46 @@ def service_events(flows: DataFrame, services: DataFrame) -> DataFrame:
     return f.join(small(s), ["_port", "_proto"]).select("id", "index_id", "host", "service_id", "value", "time_us")
 
 
-def entity_features(events: DataFrame, partitions: int | None = None, blocks: int | None = None) -> DataFrame:
+def rounds_of(partitions: int, fan_in: int) -> tuple[int, int]:
+    """(rounds, fan-in of each): the fewest rounds that bring all partitions together, evenly."""
+    rounds = 1
+    while fan_in**rounds < partitions:
+        rounds += 1
+    even = next(f for f in range(1, partitions + 1) if f**rounds >= partitions)
+    return rounds, max(even, 1)
+
+
+def entity_features(events: DataFrame, partitions: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """Rows (index_id, host, service_id, flow_count, bytes_out_total, first_us, last_us) for each entity and type with an event.
 
     Events with the same id count once; events without id count each. The value
     is a whole number of either sign. No events give no rows.
     """
+    if fan_in < 2:
+        raise ValueError("fan_in must be at least 2")
     n = partitions or shuffle_partitions(events.sparkSession)
-    blocks = blocks or max(min(n, 64), n // 8)  # many partitions meet in fewer blocks, so that states stay larger than their headers
+    rounds, f = rounds_of(n, fan_in)
     dealt = (
-        events.withColumn("block", F.pmod(F.xxhash64("index_id", "host"), F.lit(blocks)).cast("int"))
+        events.withColumn("hash", F.pmod(F.xxhash64("index_id", "host"), F.lit(f**rounds)))
         .withColumn("deal", F.coalesce(F.xxhash64("id"), F.xxhash64("host", "time_us", "value")))
         .repartition(n, "deal")
         .sortWithinPartitions("id")
-        .select("id", "index_id", "host", "service_id", "value", "time_us", "block")
+        .select("id", "index_id", "host", "service_id", "value", "time_us", "hash")
     )
-    states = dealt.mapInArrow(partition_states, "block int, state binary")
-    return states.groupBy("block").applyInArrow(merge_states, "index_id string, host string, service_id long, flow_count long, bytes_out_total long, first_us long, last_us long")
+    states = dealt.mapInArrow(lambda it: partition_states(it, f), _STATE)
+    inner = lambda level: lambda t: merge_states(t, f, level)
+    for level in range(1, rounds):
+        states = states.groupBy("block", "node").applyInArrow(inner(level), _STATE)
+    return states.groupBy("block", "node").applyInArrow(feature_rows, "index_id string, host string, service_id long, flow_count long, bytes_out_total long, first_us long, last_us long")
+
 
+_STATE = "block long, node int, state binary"
 
-def partition_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def partition_states(batches: Iterator[pa.RecordBatch], fan_in: int) -> Iterator[pa.RecordBatch]:
+    """A partition's state, cut by the lowest digit of its entities' hashes."""
     ordinal: dict[tuple[str, str], int] = {}
-    block_of: list[int] = []
+    hash_of: list[int] = []
     types: dict[int, int] = {}
     state, waiting, held, last_id = TypedState.empty(), [], 0, None
 
@@ -86,13 +109,13 @@ def partition_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             continue
         entity = pc.binary_join_element_wise(b.column(1), b.column(2), "\x1f").dictionary_encode()
         heads = _first_rows(entity.indices.to_numpy(zero_copy_only=False), len(entity.dictionary))
-        blocks = b.column(6).to_numpy(zero_copy_only=False)
+        hashes = b.column(6).to_numpy(zero_copy_only=False)
         codes = np.empty(len(heads), np.int64)
         for i, name in enumerate(entity.dictionary.to_pylist()):
             o = ordinal.get(name)
             if o is None:
                 o = ordinal[name] = len(ordinal)
-                block_of.append(int(blocks[heads[i]]))
+                hash_of.append(int(hashes[heads[i]]))
             codes[i] = o
         service = b.column(3).to_numpy(zero_copy_only=False)
         kinds, inverse = np.unique(service, return_inverse=True)
@@ -104,25 +127,29 @@ def partition_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     flush()
     if not ordinal:
         return
-    names = np.array(list(ordinal), object)
-    ids = np.array(list(types), np.int64)
-    blocks = np.array(block_of)
-    by_block = np.argsort(blocks, kind="stable")
+    yield from _cut(np.array(list(ordinal), object), np.array(hash_of), np.array(list(types), np.int64), state, fan_in, 0, 0, partition_id())
+
+
+def _cut(names: np.ndarray, hashes: np.ndarray, ids: np.ndarray, state: TypedState, fan_in: int, level: int, block: int, node: int) -> Iterator[pa.RecordBatch]:
+    """A state in parts by a digit of its entities' hashes, each with ordinals of its own, addressed to the node that adds it."""
+    digit = hashes // fan_in**level % fan_in
+    by_digit = np.argsort(digit, kind="stable")
+    bounds = np.searchsorted(digit[by_digit], np.arange(fan_in + 1))
     local = np.empty(len(names), np.int64)
-    bounds = np.searchsorted(blocks[by_block], np.arange(blocks.max() + 2))
-    local[by_block] = np.arange(len(names)) - bounds[blocks[by_block]]
+    local[by_digit] = np.arange(len(names)) - bounds[digit[by_digit]]
     ent, typ = state.at & 0xFFFFFFFF, state.at >> 32
-    to, of_row = (typ << 32) | local[ent], blocks[ent]
+    to, of_row = (typ << 32) | local[ent], digit[ent]
     rows = np.argsort(of_row, kind="stable")
-    row_bounds = np.searchsorted(of_row[rows], np.arange(blocks.max() + 2))
+    row_bounds = np.searchsorted(of_row[rows], np.arange(fan_in + 1))
     codec = pa.Codec("zstd", compression_level=1)
-    for k in range(blocks.max() + 1):
-        members = by_block[bounds[k] : bounds[k + 1]]
+    for k in range(fan_in):
+        members = by_digit[bounds[k] : bounds[k + 1]]
         if not len(members):
             continue
         part = state.moved(to, rows[row_bounds[k] : row_bounds[k + 1]])
-        raw = pickle.dumps((names[members].tolist(), ids, part), protocol=5)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "state": pa.array([len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)], pa.binary())})
+        raw = pickle.dumps((names[members].tolist(), hashes[members], ids, part), protocol=5)
+        packed = len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([block + k * fan_in**level], pa.int64()), pa.array([node // fan_in], pa.int32()), pa.array([packed], pa.binary())], ["block", "node", "state"])
 
 
 def _first_rows(codes: np.ndarray, n: int) -> np.ndarray:
@@ -131,15 +158,20 @@ def _first_rows(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def merge_states(table: pa.Table) -> pa.Table:
+def _added(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, TypedState]:
+    """The states of a node on common ordinals, added: names, hashes, types and the sum."""
     codec = pa.Codec("zstd")
     ordinal: dict[str, int] = {}
+    hashes: list[np.ndarray] = []
     types: dict[int, int] = {}
     waiting: list[tuple[int, TypedState]] = []  # (how many states it holds, state): equals are added, as in a binary counter
     for raw in table.column("state"):
         data = raw.as_buffer()
-        names, ids, part = pickle.loads(codec.decompress(data[8:], int.from_bytes(data[:8].to_pybytes(), "little")))
+        names, hashed, ids, part = pickle.loads(codec.decompress(data[8:], int.from_bytes(data[:8].to_pybytes(), "little")))
+        known = len(ordinal)
         ent = np.array([ordinal.setdefault(n, len(ordinal)) for n in names], np.int64)
+        fresh = ent >= known
+        hashes.append(hashed[fresh][np.argsort(ent[fresh])])
         typ = np.array([types.setdefault(int(i), len(types)) for i in ids], np.int64)
         to = (typ[part.at >> 32] << 32) | ent[part.at & 0xFFFFFFFF]
         waiting.append((1, part.moved(to, np.arange(len(to)))))
@@ -149,9 +181,22 @@ def merge_states(table: pa.Table) -> pa.Table:
     total = TypedState.empty()
     for _, part in reversed(waiting):
         total = total + part
+    return list(ordinal), np.concatenate(hashes), np.array(list(types), np.int64), total
+
+
+def merge_states(table: pa.Table, fan_in: int, level: int) -> pa.Table:
+    """One node of an inner round: its states added, and cut by the next digit."""
+    names, hashes, types, total = _added(table)
+    block, node = table.column("block")[0].as_py(), table.column("node")[0].as_py()
+    return pa.Table.from_batches(_cut(np.array(names, object), hashes, types, total, fan_in, level, block, node))
+
+
+def feature_rows(table: pa.Table) -> pa.Table:
+    """The last round: a block of entities, decoded."""
+    entities, _, types, total = _added(table)
     counts, totals = total.numbers()
-    names = np.array([n.split("\x1f") for n in ordinal], object).reshape(-1, 2)[total.at & 0xFFFFFFFF]
-    service = np.array(list(types), np.int64)[total.at >> 32]
+    names = np.array([n.split("\x1f") for n in entities], object).reshape(-1, 2)[total.at & 0xFFFFFFFF]
+    service = types[total.at >> 32]
     return pa.table({
         "index_id": pa.array(names[:, 0], pa.string()), "host": pa.array(names[:, 1], pa.string()), "service_id": pa.array(service, pa.int64()), "flow_count": pa.array(counts, pa.int64()),
         "bytes_out_total": pa.array(totals, pa.int64()), "first_us": pa.array(total.first, pa.int64()), "last_us": pa.array(total.last, pa.int64()),

@@ -14,7 +14,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_features(spark: SparkSession, d: str) -> DataFrame:
-    return features.feature_table(p1_found(spark, d), table(spark, d, "hosts"))
+    """The table with its map of services as JSON."""
+    return features.feature_table(p1_found(spark, d), table(spark, d, "hosts")).withColumn("services", F.to_json("services"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +77,7 @@ f AS (SELECT _flow_id, any_value(index_id) AS index_id, nullif(lower(trim(any_va
 _P1 = f"""WITH {_FLOWS}, n AS (SELECT *, CASE protocol WHEN '1' THEN 'ICMP' WHEN '6' THEN 'TCP' WHEN '17' THEN 'UDP' WHEN '132' THEN 'SCTP' ELSE protocol END AS proto FROM f)
 SELECT index_id, src_ip AS host, service_id, count(*) AS flow_count, CAST(sum(bytes_out) AS BIGINT) AS bytes_out_total, min(start_us) AS first_us, max(start_us) AS last_us
 FROM n JOIN services s ON n.dst_port = s.dst_port AND n.proto = upper(trim(s.protocol)) WHERE src_ip IS NOT NULL AND start_us IS NOT NULL GROUP BY ALL"""
+_TOTALS = "flow_count, malicious_flow_count, distinct_destinations, distinct_malicious_destinations, ts_start_min, ts_start_max, bytes_out_total, bytes_in_total"
 _P4 = f"""WITH {_FLOWS}, t AS (SELECT src_ip, start_us, start_us + greatest(lasts_us, 0) AS end_us, _flow_id FROM f WHERE src_ip IS NOT NULL AND start_us IS NOT NULL),
 l AS (SELECT *, max(end_us) OVER (PARTITION BY src_ip ORDER BY start_us, _flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR start_us > before + 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip ORDER BY start_us, _flow_id) AS k FROM l),
@@ -83,6 +85,12 @@ o AS (SELECT src_ip, min(start_us) AS start_us, max(end_us) AS end_us, count(*)
 """
 ORACLE = {
     "p1_found": _P1,
+    "p1_features": f"""WITH p AS ({_P1}),
+s AS (SELECT index_id, host, '{{' || string_agg('"' || service_id || '":{{"flow_count":' || flow_count || ',"bytes_out_total":' || bytes_out_total || ',"first_us":' || first_us || ',"last_us":' || last_us || '}}', ',' ORDER BY service_id) || '}}' AS services FROM p GROUP BY ALL),
+h AS (SELECT index_id, nullif(lower(trim(host, chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11))), '') AS host, built_at, {_TOTALS} FROM hosts),
+b AS (SELECT index_id, host, {_TOTALS} FROM h WHERE index_id IS NOT NULL AND host IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY index_id, host ORDER BY built_at DESC NULLS LAST, {', '.join(f'{c} DESC NULLS LAST' for c in _TOTALS.split(', '))}) = 1)
+SELECT index_id, host, {_TOTALS}, coalesce(services, '{{}}') AS services FROM b FULL JOIN s USING (index_id, host)""",
     "p4_found": _P4 + "SELECT * FROM o",
     "p4_durations": _P4
     + "SELECT src_ip, count(*) AS session_count, CAST(sum(flow_count) AS BIGINT) AS flow_count, CAST(sum(end_us - start_us) AS BIGINT) AS duration_us, max(end_us - start_us) AS longest_us FROM o GROUP BY 1",

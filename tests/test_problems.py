@@ -127,8 +127,15 @@ def test_typed_state_merges(rows, split):
     assert s.first.tolist() == [min(t for q, _, t in rows if q == p) for p in sorted(want)]
 
 
-@pytest.mark.parametrize("seed,parts,blocks", [(5, 3, 2), (6, 8, 5)])
-def test_features_match_a_plain_loop(spark, seed, parts, blocks):
+def test_rounds_of_states():
+    assert features.rounds_of(8, 64) == (1, 8) and features.rounds_of(64, 64) == (1, 64) and features.rounds_of(1, 64) == (1, 1)
+    for n in (65, 200, 4097, 10_000):
+        rounds, f = features.rounds_of(n, 64)
+        assert f <= 64 and f**rounds >= n > 64 ** (rounds - 1)
+
+
+@pytest.mark.parametrize("seed,parts,fan_in", [(5, 3, 64), (6, 8, 2), (7, 9, 3)])
+def test_features_match_a_plain_loop(spark, seed, parts, fan_in):
     rows = random_flows(seed)
     services = spark.createDataFrame([(1, 80, "TCP", "a"), (2, 53, "udp ", "b"), (3, 80, "17", "c")], "service_id long, dst_port long, protocol string, service_name string")
     events = features.service_events(make_flows(spark, rows), services)
@@ -141,7 +148,7 @@ def test_features_match_a_plain_loop(spark, seed, parts, blocks):
             w = want.setdefault((x[1], ident(x[2]), s), [0, 0, 1 << 62, -1])
             t = round(x[4] * 1e6)
             w[0], w[1], w[2], w[3] = w[0] + 1, w[1] + int(x[7] or 0), min(w[2], t), max(w[3], t)
-    got = {tuple(r)[:3]: list(r)[3:] for r in features.entity_features(events, parts, blocks).collect()}
+    got = {tuple(r)[:3]: list(r)[3:] for r in features.entity_features(events, parts, fan_in).collect()}
     assert got == want
     hosts = spark.createDataFrame([("x", "A", 1, 0, 1, 0, 0.0, 1.0, None, 2.0, "2020"), ("x", "a", 9, 0, 1, 0, 0.0, 1.0, 3.0, 2.0, "2021"), ("z", "q", 9, 0, 1, 0, 0.0, 1.0, 3.0, 2.0, "2021")], "index_id string, host string, flow_count long, malicious_flow_count long, distinct_destinations long, distinct_malicious_destinations long, ts_start_min double, ts_start_max double, bytes_out_total double, bytes_in_total double, built_at string")
     wide = {(r.index_id, r.host): r for r in features.feature_table(features.entity_features(events), hosts).collect()}
