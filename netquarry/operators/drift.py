@@ -1,15 +1,17 @@
 """Schemas that drift between files (problem 7).
 
 Every file has a schema tree: its fields, with their kinds and nested fields.
-The edit script of least cost between the trees of consecutive files of a feed
-names each change, and each file's tree is compiled into a projection onto the
-canonical columns.
+The edit script of least cost (schema_tree) between the trees of consecutive
+files of a feed names each change. The script from a file's tree to the canonical
+columns is compiled into the projection of that file: a kept or renamed field is
+read by its key, a moved one by its path, a removed one goes to the extras.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from ipaddress import IPv4Address
@@ -18,11 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of values, as bits.
-TEXT, NUMBER, TRUTH, OBJECT, LIST = 1, 2, 4, 8, 16
-#: Costs of the edits; a relabelling between different fields never pays.
-ADD, REMOVE, RENAME, RETYPE, MOVE = 1.0, 1.0, 0.5, 0.25, 0.75
-SEP = "\x1f"
+from netquarry.operators.schema_tree import LIST, NUMBER, OBJECT, SEP, TEXT, TRUTH, Node, edit_script, identity_only, tree
+
 #: A file's numeric starts are milliseconds if their exact median is above this.
 MS_ABOVE = 1e12
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -68,49 +67,44 @@ def _walk(value: dict, out: dict[str, int]) -> None:
                 todo.append((path + SEP, v))
 
 
-def _field_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FIELD = "file_id long, path string, kinds int, above long, below long, low double, high double"
+
+
+def _field_rows(batches: Iterator[pa.RecordBatch], starts: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """The fields of each file in a batch, and for those named in `starts` how their numbers lie about MS_ABOVE."""
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     for b in batches:
         seen: dict[int, dict[str, int]] = {}
+        numbers: dict[tuple[int, str], list[float]] = {}
         for file, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found = parse_object(payload)
             if found and file is not None:
                 _walk(found, seen.setdefault(file, {}))
-        rows = [(f, p, k) for f, fields in seen.items() for p, k in fields.items()]
-        f, p, k = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_pydict({"file_id": pa.array(f, pa.int64()), "path": pa.array(p, pa.string()), "kinds": pa.array(k, pa.int32())})
-
-
-def file_fields(raw_records: DataFrame) -> DataFrame:
-    """Rows (file_id, path, kinds): each field of a file's payloads, nested ones under their parents, with the bits of its non-null kinds."""
-    seen = raw_records.select(F.col("file_id").cast("long"), F.col("payload").cast("string")).mapInArrow(_field_rows, "file_id long, path string, kinds int")
-    return seen.groupBy("file_id", "path").agg(F.bit_or("kinds").alias("kinds"))
-
-
-def _start_rows(batches: Iterator[pa.RecordBatch], names: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        seen: dict[tuple[int, str], list[float]] = {}
-        for file, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = parse_object(payload)
-            for k, v in (found or {}).items():
-                if file is not None and k.lower() in names and (x := _number(v)) is not None:
-                    seen.setdefault((file, k.lower()), []).append(x)
+                for k, v in found.items() if starts else ():
+                    if (key := k.lower()) in starts and (x := _number(v)) is not None:
+                        numbers.setdefault((file, key), []).append(x)
         rows = []
-        for (file, path), values in seen.items():
-            high, low = [x for x in values if x > MS_ABOVE], [x for x in values if x <= MS_ABOVE]
-            rows.append((file, path, len(high), len(low), max(low, default=None), min(high, default=None)))
-        cols = zip(*rows) if rows else ((),) * 6
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file_id", "path", "above", "below", "low", "high"])
-
-
-def millisecond_columns(raw_records: DataFrame, names: frozenset[str]) -> DataFrame:
-    """(file_id, ms): the keys of `names`, in lower case, whose numbers in a file have an exact median above MS_ABOVE; files without any are left out.
-
-    Counts on both sides of the bound and the values beside it decide, so nothing is ordered. Numbers written as text count as well.
+        for file, fields in seen.items():
+            for path, kinds in fields.items():
+                values = numbers.get((file, path), ())
+                high, low = [x for x in values if x > MS_ABOVE], [x for x in values if x <= MS_ABOVE]
+                rows.append((file, path, kinds, len(high), len(low), max(low, default=None), min(high, default=None)))
+        cols = zip(*rows) if rows else ((),) * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in _FIELD.split(", ")])
+
+
+def file_fields(raw_records: DataFrame, starts: frozenset[str] = frozenset()) -> DataFrame:
+    """Rows (file_id, path, kinds, ms): each field of a file's payloads, nested ones under their parents, with the bits of its non-null kinds.
+
+    ms tells, for the keys in `starts` (lower case), whether their numbers in the
+    file have an exact median above MS_ABOVE: counts on both sides of the bound and
+    the values beside it decide, so nothing is ordered. Numbers written as text
+    count as well.
     """
-    seen = raw_records.select(F.col("file_id").cast("long"), F.col("payload").cast("string")).mapInArrow(lambda it: _start_rows(it, names), "file_id long, path string, above long, below long, low double, high double")
-    met = seen.groupBy("file_id", "path").agg(*[F.sum(c).alias(c) for c in ("above", "below")], F.max("low").alias("low"), F.min("high").alias("high"))
-    return met.where(f"above > below or above = below and (low + high) / 2 > {MS_ABOVE}").groupBy("file_id").agg(F.collect_list("path").alias("ms"))
+    seen = raw_records.select(F.col("file_id").cast("long"), F.col("payload").cast("string")).mapInArrow(lambda it: _field_rows(it, starts), _FIELD)
+    met = seen.groupBy("file_id", "path").agg(F.bit_or("kinds").alias("kinds"), *[F.sum(c).alias(c) for c in ("above", "below")], F.max("low").alias("low"), F.min("high").alias("high"))
+    ms = F.expr(f"coalesce(above > below or above = below and above > 0 and (low + high) / 2 > {MS_ABOVE}, false)")
+    return met.select("file_id", "path", "kinds", ms.alias("ms"))
 
 
 def alias_map(column_aliases: DataFrame) -> dict[str, tuple[str, int]]:
@@ -127,88 +121,21 @@ def alias_map(column_aliases: DataFrame) -> dict[str, tuple[str, int]]:
     return out
 
 
-class Node:
-    __slots__ = ("label", "kinds", "children")
-
-    def __init__(self, label: str, kinds: int):
-        self.label, self.kinds, self.children = label, kinds, {}
-
-
-def tree(fields: list[tuple[str, int]], aliases: dict[str, tuple[str, int]]) -> Node:
-    """Schema tree of a file. Children are held by identity: a top field's canonical name, or its own. Of several keys of one canonical column the lowest rank stays."""
-    root, at = Node("", OBJECT), {}
-    for path, kinds in sorted(fields):
-        parent, _, name = path.rpartition(SEP)
-        node = at[path] = Node(name, kinds)
-        if parent:
-            if parent in at:
-                at[parent].children[name] = node
-            continue
-        canonical, rank = aliases.get(name, (name, 0))
-        other = root.children.get(canonical)
-        if other is None or name in aliases and (other.label not in aliases or rank < aliases[other.label][1]):
-            root.children[canonical] = node
-    return root
-
-
-def size(node: Node) -> int:
-    return 1 + sum(map(size, node.children.values()))
-
-
-def same_shape(a: Node, b: Node) -> bool:
-    return a.label == b.label and a.kinds == b.kinds and a.children.keys() == b.children.keys() and all(same_shape(a.children[k], b.children[k]) for k in a.children)
-
-
-def edit_script(old: Node, new: Node) -> tuple[float, list[tuple[str, str]]]:
-    """Cost and the edits (path of identities, kind) that turn one unordered tree into the other.
-
-    Identities are unique among siblings and a node is only relabelled within its
-    identity, so the best matching of two sibling sets is the one by identity;
-    what is left over is removed and added, or moved where a whole subtree leaves
-    one parent and an equal one appears under another. The end of a move that is a
-    field of the payload itself reads as removed or added. The cost is least for
-    scripts without moves; parts of a subtree that leave it by themselves are
-    priced as removed and added. Kinds differ only where both sides have non-null
-    values.
-    """
-    edits: list[tuple[str, str]] = []
-    gone: list[tuple[str, Node]] = []
-    come: list[tuple[str, Node]] = []
-    cost = 0.0
-    todo = [("", old, new)]
-    while todo:
-        at, a, b = todo.pop()
-        for name in a.children.keys() | b.children.keys():
-            path = f"{at}{SEP}{name}" if at else name
-            x, y = a.children.get(name), b.children.get(name)
-            if y is None:
-                gone.append((path, x))
-            elif x is None:
-                come.append((path, y))
-            else:
-                if x.label != y.label:
-                    edits.append((path, "renamed"))
-                    cost += RENAME
-                if x.kinds and y.kinds and x.kinds != y.kinds:
-                    edits.append((path, "retyped"))
-                    cost += RETYPE
-                todo.append((path, x, y))
-    for path, x in gone:
-        twin = next((i for i, (p, y) in enumerate(come) if p.rpartition(SEP)[0] != path.rpartition(SEP)[0] and same_shape(x, y) and MOVE < size(x) * (ADD + REMOVE)), None)
-        if twin is None:
-            edits.append((path, "removed"))
-            cost += REMOVE * size(x)
+def _listed(edits: list) -> list[tuple[str, str]]:
+    """(field, change) of edits. The end of a move or of a relabelling that is a field of the payload itself was added or removed there; deeper down it is moved or renamed."""
+    out = set()
+    for e in edits:
+        if e.kind in ("moved", "relabelled"):
+            deep = "moved" if e.kind == "moved" else "renamed"
+            out.add((e.path, deep if SEP in e.path else "added"))
+            out.add((e.source, deep if SEP in e.source else "removed"))
         else:
-            to = come.pop(twin)[0]
-            edits += [(path, "moved" if SEP in path else "removed"), (to, "moved" if SEP in to else "added")]
-            cost += MOVE
-    for path, y in come:
-        edits.append((path, "added"))
-        cost += ADD * size(y)
-    return cost, sorted(edits)
+            out.add((e.path, e.kind))
+    return sorted(out)
 
 
 def _diff(batches: Iterator[pa.RecordBatch], aliases: dict[str, tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # as deep as the parser allows
     known: dict[tuple, tuple[float, list[tuple[str, str]]]] = {}
     for b in batches:
         rows = []
@@ -219,7 +146,8 @@ def _diff(batches: Iterator[pa.RecordBatch], aliases: dict[str, tuple[str, int]]
             if key not in known:
                 if len(known) > 20_000:
                     known.clear()
-                known[key] = edit_script(tree(list(key[0]), aliases), tree(list(key[1]), aliases))
+                cost, edits = edit_script(tree(list(key[0]), aliases), tree(list(key[1]), aliases))
+                known[key] = cost, _listed(edits)
             cost, edits = known[key]
             rows += [(file, path.replace(SEP, "."), kind, SEP not in path, cost) for path, kind in edits]
         cols = zip(*rows) if rows else ((),) * 5
@@ -264,18 +192,49 @@ def changes(raw_files: DataFrame, raw_records: DataFrame, column_aliases: DataFr
     return pairs.mapInArrow(lambda it: _diff(it, aliases), "file_id long, field_name string, change_kind string, top boolean, script_cost double")
 
 
+def canonical_tree() -> Node:
+    """The schema that every file is projected onto."""
+    kind = lambda t: TEXT if t == "string" else NUMBER
+    return Node("", OBJECT, 0, {c: Node(c, kind(t)) for c, t in CANONICAL.items()})
+
+
 def projection(fields: list[tuple[str, int]], aliases: dict[str, tuple[str, int]]) -> dict[str, str]:
-    """key in lower case -> canonical column, compiled from a file's tree."""
-    return {node.label: name for name, node in tree([f for f in fields if SEP not in f[0]], aliases).children.items() if name in CANONICAL and node.label in aliases}
+    """Path of keys in lower case -> canonical column, compiled from the edit script that turns a file's tree into the canonical one.
+
+    A canonical column that the script neither adds nor moves is a field of the
+    file, under the key it has there; a moved one is read at its source, a nested
+    field whose key is among the column's names.
+    """
+    file = tree(fields, aliases, deep=True)
+    named = Node("", OBJECT, 0, {n: c for n, c in file.children.items() if n not in CANONICAL or c.label in aliases})  # a key counts by the configured names only
+    _, edits = edit_script(named, canonical_tree(), identity_only)
+    added = {e.path for e in edits if e.kind == "added"}
+    moved = {e.path: e.source for e in edits if e.kind in ("moved", "relabelled")}
+    out = {named.children[c].label: c for c in CANONICAL if c not in added and c not in moved}
+    for column, source in moved.items():
+        node, keys = named, []
+        for name in source.split(SEP):
+            node = node.children[name]
+            keys.append(node.label)
+        if keys[-1] in aliases:
+            out[SEP.join(keys)] = column
+    return out
 
 
 def _compile(batches: Iterator[pa.RecordBatch], aliases: dict[str, tuple[str, int]]) -> Iterator[pa.RecordBatch]:
-    """The projection as JSON: key -> [canonical column, what its numbers are divided by]."""
+    """The projection as JSON: path -> [canonical column, what its numbers are divided by]. Files with the same fields share it."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+    known: dict[tuple, dict[str, str]] = {}
     for b in batches:
         made = []
-        for fields, ms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            to = projection([(f["path"], f["kinds"]) for f in fields], aliases)
-            made.append(json.dumps({k: [c, 1000 if c == "ts_start" and k in (ms or ()) else 1] for k, c in to.items()}, sort_keys=True))
+        for fields in b.column(1).to_pylist():
+            key = tuple((f["path"], f["kinds"]) for f in fields)
+            if key not in known:
+                if len(known) > 20_000:
+                    known.clear()
+                known[key] = projection(list(key), aliases)
+            ms = {f["path"] for f in fields if f["ms"]}
+            made.append(json.dumps({k: [c, 1000 if c == "ts_start" and k in ms else 1] for k, c in known[key].items()}, sort_keys=True))
         yield pa.RecordBatch.from_pydict({"file_id": b.column(0), "compiled": pa.array(made, pa.string())})
 
 
@@ -336,6 +295,19 @@ def _coerced(value: object, column: str, divisor: int = 1):
     return round(number) if kind == "long" else number
 
 
+def _nested(value: dict, prefix: str, to: dict[str, list], row: dict) -> None:
+    """Columns that a projection reads inside an object; the object itself stays among the extras."""
+    todo = [(prefix, value)] if any(path.startswith(prefix) for path in to) else []
+    while todo:
+        at, node = todo.pop()
+        for k, v in node.items():
+            path = at + k.lower()
+            if path in to:
+                row[to[path][0]] = _coerced(v, *to[path])
+            elif isinstance(v, dict):
+                todo.append((path + SEP, v))
+
+
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str | None, dict[str, list]] = {None: {}}
     types = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
@@ -351,13 +323,16 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[compiled] = json.loads(compiled) if compiled else {}
             to, row, extra = known[compiled], {}, []
             for k, v in found.items():
-                name, divisor = to.get(k.lower(), (None, 1))
+                key = k.lower()
+                name, divisor = to.get(key, (None, 1))
                 if name is None:
-                    extra.append((k.lower(), None if v is None else v if isinstance(v, str) else json.dumps(v)))
+                    extra.append((key, None if v is None else v if isinstance(v, str) else json.dumps(v)))
+                    if isinstance(v, dict):
+                        _nested(v, key + SEP, to, row)
                     continue
                 row[name] = _coerced(v, name, divisor)
                 if row[name] is None and v is not None:
-                    extra.append((k.lower(), v if isinstance(v, str) else json.dumps(v)))
+                    extra.append((key, v if isinstance(v, str) else json.dumps(v)))
             for x, v in zip(ids, (record, file, line)):
                 x.append(v)
             for c in CANONICAL:
@@ -370,18 +345,19 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unified(raw_files: DataFrame, raw_records: DataFrame, column_aliases: DataFrame) -> DataFrame:
     """Every payload that is a JSON object as a row of the canonical columns; other fields, and values the column's type cannot hold, as text in `extras`.
 
-    Repeated lines stay repeated. Each file's keys are resolved by the file's own
-    tree, so one key can be a canonical column in one file and an extra in another.
+    Repeated lines stay repeated. Each file has the projection compiled from its
+    edit script, so one key can be a canonical column in one file and an extra in
+    another. A column that no field of the payload itself gives is taken from a
+    nested field under one of its names; the object stays in `extras` as well.
     ts_start is in epoch seconds: ISO texts are read, and a file whose numbers have
     a median above MS_ABOVE wrote milliseconds. The key's name does not tell the
     unit: files hold seconds under FLOW_START_MILLISECONDS. Whole numbers in the
     address columns are IPv4 addresses and come out dotted.
     """
     aliases = alias_map(column_aliases)
-    fields = file_fields(raw_records).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("path", "kinds"))).alias("fields"))
-    rows = raw_records.select(F.col("record_id").cast("long"), F.col("file_id").cast("long"), F.col("line_no").cast("long"), F.col("payload").cast("string"))
     starts = frozenset(k for k, (c, _) in aliases.items() if c == "ts_start")
-    fields = fields.where("file_id is not null").join(millisecond_columns(raw_records, starts), "file_id", "left").select("file_id", "fields", "ms")
+    fields = file_fields(raw_records, starts).where("file_id is not null").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("path", "kinds", "ms"))).alias("fields"))
+    rows = raw_records.select(F.col("record_id").cast("long"), F.col("file_id").cast("long"), F.col("line_no").cast("long"), F.col("payload").cast("string"))
     compiled = fields.mapInArrow(lambda it: _compile(it, aliases), "file_id long, compiled string")
     joined = rows.join(compiled, "file_id", "left").select("record_id", "file_id", "line_no", "payload", "compiled")
     schema = "record_id long, file_id long, line_no long, " + ", ".join(f"{c} {t}" for c, t in CANONICAL.items()) + ", extras map<string,string>"

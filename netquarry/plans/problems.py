@@ -65,7 +65,22 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_files"), table(spark, d, "raw_records"), table(spark, d, "column_aliases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p4_found, p4_durations, p5_found, p5_hosts, p6_found, p6_report, p6_orders, p7_found, p7_table)}
+def p7_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The table's canonical columns, without the extras."""
+    return p7_table(spark, d).drop("extras")
+
+
+_NESTED = "concat('{\"line\":', line_no, ',\"flow\":{\"srcip\":\"h', record_id % 7, '\",\"n', CASE WHEN file_id % 2 = 0 THEN '' ELSE 'ew' END, '\":{\"a\":1,\"b\":2,\"c\":', file_id % 3, '}}}')"
+
+
+def p7_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Changes, at any depth, of files whose payloads hold the flow in an object; the inner object's name changes with the file's number."""
+    records = table(spark, d, "raw_records").where("file_id is not null").withColumn("payload", F.expr(_NESTED))
+    found = drift.changes(table(spark, d, "raw_files"), records, table(spark, d, "column_aliases"))
+    return found.select("file_id", "field_name", "change_kind", "script_cost")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p4_found, p4_durations, p5_found, p5_hosts, p6_found, p6_report, p6_orders, p7_found, p7_table, p7_columns, p7_nested)}
 
 _FLOWS = """
 f AS (SELECT _flow_id, any_value(index_id) AS index_id, nullif(lower(trim(any_value(src_ip), chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11))), '') AS src_ip,
@@ -104,6 +119,22 @@ r AS (SELECT exporter_id, received_at, try_cast(y || '-' || b || '-' || a AS DAT
 w AS (SELECT exporter_id, coalesce(abs(epoch(received_at) - epoch(dmy)) <= 400 * 86400, false) AS d, coalesce(abs(epoch(received_at) - epoch(mdy)) <= 400 * 86400, false) AS m FROM r),
 n AS (SELECT exporter_id, count(*) FILTER (d AND NOT m) AS clear_dmy, count(*) FILTER (m AND NOT d) AS clear_mdy, count(*) FILTER (d AND m) AS n_open FROM w WHERE d OR m GROUP BY 1)
 SELECT exporter_id, clear_dmy, clear_mdy, CASE WHEN clear_dmy > 0 THEN n_open ELSE 0 END AS open_dmy, CASE WHEN clear_mdy > 0 THEN n_open ELSE 0 END AS open_mdy FROM n WHERE (clear_dmy > 0) <> (clear_mdy > 0)""",
+    "p7_nested": """WITH h AS (SELECT DISTINCT file_id FROM raw_records), l AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed_id ORDER BY file_seq) AS before FROM raw_files),
+c AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'flow.n' ELSE 'flow.new' END AS new, CASE WHEN file_id % 2 = 0 THEN 'flow.new' ELSE 'flow.n' END AS old FROM l WHERE before IS NOT NULL AND (file_id - before) % 2 <> 0 AND file_id IN (FROM h) AND before IN (FROM h))
+SELECT file_id, unnest([old, new]) AS field_name, 'renamed' AS change_kind, 2.0 AS script_cost FROM c""",
+    "p7_columns": f"""WITH a AS (SELECT lower(alias_name) AS alias, arg_min(canonical_name, alias_rank) AS col, min(alias_rank) AS r FROM column_aliases GROUP BY 1),
+o AS (SELECT record_id, file_id, line_no, payload AS p FROM raw_records WHERE json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT'),
+k AS (SELECT record_id, file_id, line_no, p, unnest(json_keys(p)) AS key FROM o),
+v AS (SELECT record_id, file_id, line_no, lower(key) AS key, json_type(p, '$."' || key || '"') AS t, json_extract_string(p, '$."' || key || '"') AS x FROM k),
+f AS (SELECT DISTINCT file_id, key, col, r FROM v JOIN a ON a.alias = v.key),
+c AS (SELECT file_id, key, col FROM f QUALIFY row_number() OVER (PARTITION BY file_id, col ORDER BY r, key) = 1),
+m AS (SELECT file_id, median(try_cast(x AS DOUBLE)) > 1e12 AS ms FROM v JOIN c USING (file_id, key) WHERE col = 'ts_start' AND t <> 'BOOLEAN' GROUP BY 1),
+s AS (SELECT v.record_id, v.file_id, v.line_no, c.col, v.t, v.x, try_cast(v.x AS DOUBLE) AS n, coalesce(m.ms, false) AS ms FROM v JOIN c USING (file_id, key) LEFT JOIN m USING (file_id)),
+e AS (SELECT record_id, file_id, line_no, col, CASE WHEN col IN ('src_ip', 'dst_ip') THEN CASE WHEN regexp_full_match(x, '\\d{{1,10}}') AND CAST(x AS BIGINT) < 4294967296
+  THEN concat_ws('.', CAST(x AS BIGINT) >> 24, (CAST(x AS BIGINT) >> 16) & 255, (CAST(x AS BIGINT) >> 8) & 255, CAST(x AS BIGINT) & 255) ELSE x END ELSE x END AS x,
+  CASE WHEN col <> 'ts_start' THEN n WHEN n IS NOT NULL THEN n / CASE WHEN ms THEN 1000 ELSE 1 END ELSE epoch(try_cast(x AS TIMESTAMPTZ)) END AS n FROM s)
+SELECT record_id, file_id, line_no, {', '.join(f"max(x) FILTER (col = '{c}') AS {c}" if t == 'string' else f"CAST(round_even(max(n) FILTER (col = '{c}'), 0) AS BIGINT) AS {c}" if t == 'long' else f"max(n) FILTER (col = '{c}') AS {c}" for c, t in drift.CANONICAL.items())}
+FROM o LEFT JOIN e USING (record_id, file_id, line_no) GROUP BY ALL""",
     "p7_found": """WITH r AS (SELECT file_id, CASE WHEN json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' THEN payload END AS p FROM raw_records),
 o AS (SELECT file_id, p FROM r WHERE p IS NOT NULL),
 e AS (SELECT file_id, p, unnest(json_keys(p)) AS k FROM o),

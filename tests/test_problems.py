@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from netquarry.operators import drift, features, heavy_keys, instants, sessions
+from netquarry.operators import drift, features, heavy_keys, instants, schema_tree, sessions
 from netquarry.operators.bitslice import Sliced, TypedState
 from netquarry.operators.scan import numbered, running_max
 
@@ -296,7 +296,46 @@ ALIASES = {"src_ip": ("src_ip", 0), "srcip": ("src_ip", 2), "bytes_in": ("bytes_
 
 def script(a, b):
     side = lambda m: drift.tree(sorted(m.items()), ALIASES)
-    return drift.edit_script(side(a), side(b))
+    cost, edits = drift.edit_script(side(a), side(b))
+    return cost, drift._listed(edits)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
+def test_assignment_has_the_greatest_gain(n, m, seed):
+    from itertools import permutations
+
+    gain = np.random.default_rng(seed).integers(0, 5, (n, m)).astype(float)
+    pairs = schema_tree.assignment(gain)
+    assert len({r for r, _ in pairs}) == len({c for _, c in pairs}) == len(pairs)
+    wide = gain if n <= m else gain.T
+    best = max(sum(wide[i, c] for i, c in enumerate(p)) for p in permutations(range(wide.shape[1]), wide.shape[0]))
+    assert sum(gain[r, c] for r, c in pairs) == best
+
+
+def test_nested_scripts_are_of_least_cost():
+    O, N, s = drift.OBJECT, drift.NUMBER, drift.SEP
+    under = lambda top, names: {top: O, **{f"{top}{s}{n}": N for n in names}}
+    # A renamed object keeps its fields: one relabelling, not six edits.
+    assert script(under("meta", "abc"), under("info", "abd")) == (4.0, [("info", "added"), (f"info{s}d", "added"), ("meta", "removed"), (f"meta{s}c", "removed")])
+    # Two objects that swapped names are matched crosswise, but for fields of the payload itself.
+    swapped = [under("x", a) | under("y", b) for a, b in (("abcd", "pqrs"), ("pqrs", "abcd"))]
+    inner = [{"p": O, **{f"p{s}{k}": v for k, v in fields.items()}} for fields in swapped]
+    assert script(*inner)[0] == 2 * schema_tree.RELABEL
+    assert {e for e in script(*swapped)[1] if s not in e[0]} == set()
+    # Flattening: two moves and a removal.
+    assert script(under("meta", "ab"), {"a": N, "b": N}) == (2 * schema_tree.MOVE + 1, [("a", "added"), ("b", "added"), ("meta", "removed"), (f"meta{s}a", "moved"), (f"meta{s}b", "moved")])
+    deep = {s.join("n" * k): O for k in range(1, 300)}
+    assert script(deep, deep | {s.join("n" * 300): N}) == (1.0, [(s.join("n" * 300), "added")])
+
+
+def test_projections_are_compiled_from_scripts():
+    O, N, T, s = drift.OBJECT, drift.NUMBER, drift.TEXT, drift.SEP
+    p = lambda fields: drift.projection(sorted(fields.items()), ALIASES)
+    assert p({"srcip": T, "x": N, "ibyt": N, "bytes_in": N}) == {"srcip": "src_ip", "bytes_in": "bytes_in"}
+    assert p({"flow": O, f"flow{s}srcip": T, f"flow{s}n": O, f"flow{s}n{s}ibyt": N}) == {f"flow{s}srcip": "src_ip", f"flow{s}n{s}ibyt": "bytes_in"}
+    assert p({"src_ip": T, "flow": O, f"flow{s}srcip": T}) == {"src_ip": "src_ip"}
+    assert p({"protocol": T}) == {} == p({})
 
 
 def test_edit_scripts():
@@ -312,8 +351,8 @@ def test_edit_scripts():
 def test_top_level_ends_of_a_move_are_added_and_removed(spark):
     s = drift.SEP
     nested, flat = {"meta": drift.OBJECT, f"meta{s}x": drift.NUMBER}, {"meta": drift.OBJECT, "x": drift.NUMBER}
-    assert script(nested, flat) == (drift.MOVE, [(f"meta{s}x", "moved"), ("x", "added")])
-    assert script(flat, nested) == (drift.MOVE, [(f"meta{s}x", "moved"), ("x", "removed")])
+    assert script(nested, flat) == (schema_tree.MOVE, [(f"meta{s}x", "moved"), ("x", "added")])
+    assert script(flat, nested) == (schema_tree.MOVE, [(f"meta{s}x", "moved"), ("x", "removed")])
     files = spark.createDataFrame([(i, 7, i) for i in (1, 2, 3)], "file_id long, feed_id long, file_seq long")
     texts = ['{"meta":{"x":1}}', '{"meta":{},"x":1}', '{"meta":{"x":1}}']
     records = spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts, 1)], "record_id long, file_id long, line_no long, payload string")
@@ -334,6 +373,9 @@ def test_changes_and_table(spark):
     assert table[1].src_ip == "h" and table[1].bytes_in == 5.0 and table[1].extras == {"flag": "true"}
     assert table[2].bytes_in == 6.0 and table[7].bytes_in is None and table[7].extras == {"ibyt": "x"}
     assert drift.changes(files, records.limit(0), aliases).count() == 0
+    nested = spark.createDataFrame([(1, 1, 1, '{"flow":{"SrcIP":"n","deep":{"ibyt":"7"}},"flag":1}')], records.schema)
+    row = drift.unified(files, nested, aliases).first()
+    assert (row.src_ip, row.bytes_in, sorted(row.extras)) == ("n", 7.0, ["flag", "flow"])
 
 
 def test_table_in_one_unit_and_one_notation(spark):
