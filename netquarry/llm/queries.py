@@ -53,7 +53,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_report, p3_found, p3_sample, p3_report, p8_ids, p9_found, p9_leaks, p10_found)}
+def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return spans.clusters(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_report, p3_found, p3_sample, p3_report, p8_ids, p9_found, p9_leaks, p10_found, p10_clusters)}
 
 _P2 = """u AS (SELECT eval_unit_id, any_value(list_distinct(flow_ids)) AS ids FROM eval_units GROUP BY 1),
 b AS (SELECT eval_unit_id, unnest(ids) AS flow_id FROM u WHERE len(ids) > 80),

@@ -2,10 +2,12 @@
 
 A character counts if a window of `span` characters around it stands in another
 document too. Fixed paragraphs would miss spans that cross or part paragraphs, so
-every window is a paragraph of its own: its MinHash over `gram`-character grams
-(one band of one row) is its anchor, and equal windows have equal anchors, so
-recall is exactly 1. Consecutive windows with one anchor form a run. What
-collides is verified by 128-bit fingerprints of the whole content, coarse to fine:
+the blocks that are banded are all windows, overlapping by all but one character:
+the MinHash of a window over its `gram`-character grams (one band of one row) is
+its anchor. Equal windows have equal anchors, so this band has a recall of
+exactly 1. Consecutive windows with one anchor form a run. Runs whose anchor
+stands in two documents collide and are verified by 128-bit fingerprints of the
+whole content (a Jaccard similarity of 1 and an edit distance of 0), coarse to fine:
 
 1. a run's whole text stands in another document: all its windows do;
 2. else, chunks of `CHUNK` neighbouring windows: if the text common to them
@@ -14,8 +16,13 @@ collides is verified by 128-bit fingerprints of the whole content, coarse to fin
 
 Every step is a grouped count of distinct documents (least and greatest id), so
 nothing is ever paired within a group, and a group of any size is pre-aggregated.
-A class of equal texts that is settled sends one representative, with the widest
-range of its windows, to the next step, so that the open members can still meet it.
+A class of equal texts that is settled sends one representative to the next step,
+so that the open members of its group can still meet it. Of the texts themselves
+only the snippets around open runs are carried on, cut out when these meet their
+documents, of which a filter of fixed size lets few others through.
+
+Documents that share a class are linked to its least document; the components of
+these links are the clusters among which removals would be decided.
 """
 
 from __future__ import annotations
@@ -25,14 +32,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.session import cut, small
+from netquarry.session import cut
 
 SPAN, GRAM, CHUNK = 300, 96, 16
 #: Characters a task hashes at once; longer texts are taken in overlapping parts.
 AT_ONCE = 1_000_000
+#: Bits of a filter that goes to all tasks: 2^18 words, 4 MB, whatever the data. What it lets through by chance costs time, never rows.
+FILTER_BITS = 1 << 24
 _U = np.uint64
 #: Odd bases and seeds of the two independent polynomial fingerprints.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -89,12 +99,12 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def runs(codes: np.ndarray, owner: np.ndarray, span: int, gram: int) -> dict[str, np.ndarray]:
-    """The runs of a stretch of texts laid end to end; owner numbers the text of each character. first and last are a run's first and last window start."""
+def run_places(codes: np.ndarray, owner: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, last) of the runs of a stretch of texts laid end to end; owner numbers the text of each character. first and last are a run's first and last window start."""
     none = np.zeros(0, np.int64)
     if len(codes) < span:
-        return {"anchor": none, "first": none, "last": none, "h": none, "u1": none, "u2": none}
-    p = Prints(codes)
+        return none, none, none
+    p = Prints(codes, both=False)
     at = np.arange(len(codes) - gram + 1)
     best = window_minima(p.window(0, at, at + gram), span - gram + 1)
     starts = np.flatnonzero(owner[: len(codes) - span + 1] == owner[span - 1 :])
@@ -102,51 +112,26 @@ def runs(codes: np.ndarray, owner: np.ndarray, span: int, gram: int) -> dict[str
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     heads = np.flatnonzero(new)
-    first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1] if len(heads) else none
-    a = anchor[heads]
-    return {"anchor": a, "first": first, "last": last, "h": p.window(0, a, a + gram).view(np.int64), "u1": p.window(0, first, last + span).view(np.int64), "u2": p.window(1, first, last + span).view(np.int64)}
-
-
-def _stretches(ids: list, texts: list[str | None], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, owner, id of each owner, place in its text of each owner's first character): short texts together, long ones in overlapping parts."""
-    held, size = [], 0
-
-    def lay(parts):
-        codes = np.concatenate([c for _, c, _ in parts])
-        lengths = [len(c) for _, c, _ in parts]
-        return codes, np.repeat(np.arange(len(parts)), lengths), np.array([i for i, _, _ in parts], np.int64), np.array([s for _, _, s in parts], np.int64)
-
-    for i, text in zip(ids, texts):
-        if text is None or len(text) < span:
-            continue
-        codes = code_points(text)
-        for s in range(0, len(codes) - span + 1, AT_ONCE):
-            part = codes[s : s + AT_ONCE + span - 1]
-            if size + len(part) > AT_ONCE and held:
-                yield lay(held)
-                held, size = [], 0
-            held.append((i, part, s))
-            size += len(part)
-    if held:
-        yield lay(held)
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for codes, owner, ids, offset in _stretches(b.column(0).to_pylist(), b.column(1).to_pylist(), span):
-            r = runs(codes, owner, span, gram)
-            own = owner[r["first"]]
-            start_of = np.searchsorted(owner, np.arange(len(ids)))
-            shift = offset[own] - start_of[own]
-            yield pa.RecordBatch.from_pydict({"doc_id": ids[own], "anchor": r["anchor"] + shift, "first": r["first"] + shift, "last": r["last"] + shift, "h": r["h"], "u1": r["u1"], "u2": r["u2"]})
+    return anchor[heads], starts[heads], starts[np.append(heads[1:], len(starts)) - 1] if len(heads) else none
+
+
+def _long_places(codes: np.ndarray, span: int, gram: int, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of one long text, found in overlapping parts; a run that crosses parts is put together again."""
+    found = []
+    for s in range(0, len(codes) - span + 1, at_once):
+        part = codes[s : s + at_once + span - 1]
+        found.append([x + s for x in run_places(part, np.zeros(len(part), np.int8), span, gram)])
+    anchor, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.ones(len(anchor), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    heads = np.flatnonzero(new)
+    return anchor[heads], first[heads], last[np.append(heads[1:], len(anchor)) - 1]
 
 
-def _fingerprints(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both fingerprints of windows of one text, in parts if it is long."""
+def fingerprints(codes: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """Both fingerprints of windows of one text or of texts laid end to end, in parts if they are long."""
     out = np.zeros((2, len(start)), _U)
-    if not len(start):
-        return out[0].view(np.int64), out[1].view(np.int64)
-    part = start // AT_ONCE
+    part = start // at_once
     for k in np.unique(part):
         which = np.flatnonzero(part == k)
         lo, hi = int(start[which].min()), int(end[which].max())
@@ -156,108 +141,175 @@ def _fingerprints(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def _asked(b: pa.RecordBatch, i: int, names: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
-    """For each text, its id, code points and what is asked of it: column i, a list of structs."""
-    asked = b.column(i)
-    values = asked.flatten()
-    cols = {n: values.field(n).to_numpy(zero_copy_only=False) for n in names}
-    ends = np.cumsum(asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-        lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
-        yield doc, code_points(text), {n: c[lo:hi] for n, c in cols.items()}
+_RUN = "doc_id long, g1 long, g2 long, c1 long, c2 long, anchor long, first long, last long, multi boolean"
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    most = span - gram
+def _rows(doc, g, c, anchor, first, last, multi) -> pa.RecordBatch:
+    cols = [doc, *g, *c, anchor, first, last]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(multi, pa.bool_())], [f.split()[0] for f in _RUN.split(", ")])
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """The runs of texts, grouped by the fingerprint of the anchor's gram and classed by those of the whole run."""
+
+    def told(ids, codes, owner, begin) -> pa.RecordBatch:
+        anchor, first, last = run_places(codes, owner, span, gram) if len(codes) <= at_once + span else _long_places(codes, span, gram, at_once)
+        own = owner[first]
+        g, c = fingerprints(codes, anchor, anchor + gram, at_once)[0], fingerprints(codes, first, last + span, at_once)
+        shift = begin[own]
+        return _rows(ids[own], (g, np.zeros(len(own), np.int64)), c, anchor - shift, first - shift, last - shift, np.zeros(len(own), bool))
+
     for b in batches:
-        for doc, codes, q in _asked(b, 2, ("anchor", "first", "last", "multi")):
-            low, high = (q["anchor"] - q["last"]) // chunk, (q["anchor"] - q["first"]) // chunk
-            n = (high - low + 1).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            c = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            a, o1 = q["anchor"][row], c * chunk
-            o2 = np.minimum(o1 + chunk - 1, most)
-            i1, i2 = _fingerprints(codes, a - o1, a - o2 + span)
-            fits = (a - o2 >= 0) & (a - o1 + span <= len(codes))
-            # What is known of a representative holds within its run only. A text that does not fit stays 0.
-            fits &= ~q["multi"][row].astype(bool) | (a - o2 >= q["first"][row]) & (a - o1 <= q["last"][row])
-            j1, j2 = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-            j1[fits], j2[fits] = _fingerprints(codes, (a - o2)[fits], (a - o1 + span)[fits])
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": np.full(len(a), doc, np.int64), "g1": i1, "g2": i2, "c1": j1, "c2": j2,
-                "first": np.maximum(a - o2, q["first"][row]), "last": np.minimum(a - o1, q["last"][row]), "lo": a - o2, "hi": a - o1 + span, "multi": q["multi"][row],
-            })
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+        ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        length = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        lo, held = 0, 0
+        for i in range(len(ids) + 1):
+            if i < len(ids) and held + int(length[i]) <= at_once:
+                held += int(length[i])
+                continue
+            if lo < i:
+                yield told(*_laid(ids[lo:i], texts.slice(lo, i - lo)))
+            lo, held = i, 0
+            if i < len(ids):
+                if length[i] > at_once:
+                    yield told(*_laid(ids[i : i + 1], texts.slice(i, 1)))
+                    lo = i + 1
+                else:
+                    held = int(length[i])
+
+
+def _laid(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end: (ids, code points, number of each one's text, first place of each text)."""
+    each = [code_points(t) for t in texts.to_pylist()]
+    lengths = [len(c) for c in each]
+    return ids, np.concatenate(each), np.repeat(np.arange(len(each)), lengths), np.cumsum([0, *lengths])[:-1]
+
+
+def _counted(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value): for each row its start, start + 1, ... for as many as its count."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _few(batches: Iterator[pa.RecordBatch], column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of a column have about at_once characters together."""
     for b in batches:
-        for doc, codes, q in _asked(b, 2, ("first", "last", "multi")):
-            n = (q["last"] - q["first"] + 1).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            x = q["first"][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            k1, k2 = _fingerprints(codes, x, x + span)
-            yield pa.RecordBatch.from_pydict({"doc_id": np.full(len(x), doc, np.int64), "k1": k1, "k2": k2, "lo": x, "hi": x + span, "multi": q["multi"][row]})
+        upto = np.cumsum(pc.utf8_length(b.column(column)).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.searchsorted(upto, np.arange(at_once, int(upto[-1]) if len(upto) else 0, at_once), "right"))
+        bounds = [0, *(int(c) for c in cuts if 0 < c < b.num_rows), b.num_rows]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int, chunk: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of the runs in snippets (doc_id, anchor, first, last, multi, base, snippet), grouped by the text common to their windows and classed by the text they span."""
+    most = span - gram
+    for b in _few(batches, 6, at_once):
+        doc, anchor, first, last, multi, base = _columns(b, "doc_id", "anchor", "first", "last", "multi", "base")
+        _, codes, _, begin = _laid(doc, b.column(6))
+        ends = np.append(begin[1:], len(codes))
+        low, high = (anchor - last) // chunk, (anchor - first) // chunk
+        row, c = _counted(low, high - low + 1)
+        a, o1 = anchor[row], c * chunk
+        o2 = np.minimum(o1 + chunk - 1, most)
+        to = begin[row] - base[row]  # from places in the text to places in the codes
+        g = fingerprints(codes, a - o1 + to, a - o2 + span + to, at_once)
+        # A chunk that begins or ends outside the text has no class of its own: 0.
+        fits = (a - o2 + to >= begin[row]) & (a - o1 + span + to <= ends[row])
+        f = np.zeros((2, len(a)), np.int64)
+        f[:, fits] = fingerprints(codes, (a - o2 + to)[fits], (a - o1 + span + to)[fits], at_once)
+        yield _rows(doc[row], g, f, a, np.maximum(a - o2, first[row]), np.minimum(a - o1, last[row]), multi[row])
+
 
+def _window_rows(batches: Iterator[pa.RecordBatch], span: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Each window of pieces (doc_id, first, last, multi, piece), the piece being the text from the first window's start to the last one's end."""
+    for b in _few(batches, 4, at_once):
+        doc, first, last, multi = _columns(b, "doc_id", "first", "last", "multi")
+        _, codes, _, begin = _laid(doc, b.column(4))
+        row, x = _counted(first, last - first + 1)
+        at = begin[row] + x - first[row]
+        k1, k2 = fingerprints(codes, at, at + span, at_once)
+        yield pa.RecordBatch.from_pydict({"doc_id": doc[row], "k1": k1, "k2": k2, "first": x, "multi": multi[row]})
 
-_CLASS = ["g1", "g2", "c1", "c2"]
+
+def _spot(*keys: str):
+    """Word and bit of a key in a filter."""
+    h = f"xxhash64({', '.join(keys)})"
+    return F.expr(f"cast(pmod({h}, {FILTER_BITS >> 6}) as int)").alias("_word"), F.expr(f"cast(pmod(shiftright({h}, 40), 64) as int)").alias("_bit")
+
+
+def filter_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """A filter of FILTER_BITS that lets every key of rows through: (word, bits), a row a word with a bit."""
+    word, bit = _spot(*keys)
+    return rows.select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+
+
+def passing(rows: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
+    """The rows that a filter lets through, in one pass over them."""
+    word, bit = _spot(*keys)
+    return rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(seen), "_word").where("_bits & shiftleft(1L, _bit) != 0").select(*rows.columns)
+
+
+GROUP, CLASS = ["g1", "g2"], ["g1", "g2", "c1", "c2"]
+PLACE = ["doc_id", "anchor", "first", "last"]
 
 
 def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settled, open) of rows grouped by g and classed by c.
 
-    settled: the class stands in two documents. open: the class does not, but its
-    group does; with them goes one row, marked multi, for each settled class of a
-    group that has open members. Rows with c1 = 0 have no class of their own.
+    settled, with the least document of its class as `low`: the class stands in two
+    documents. open: the class does not, but its group does; with them goes one
+    row, marked multi, for each settled class of a group that has open members.
+    Rows with c1 = 0 have no class of their own. Classes are aggregated before
+    groups, so a group of any size arrives as its classes.
     """
-    span = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("multi").alias("any")]
-    groups = rows.groupBy("g1", "g2").agg(*span).where("low != high or any").select("g1", "g2")
-    shared = cut(rows.join(groups, ["g1", "g2"], "left_semi"))
-    classes = shared.groupBy(*_CLASS).agg(*span).select(*_CLASS, "low", ((F.col("c1") != 0) & ((F.col("low") != F.col("high")) | F.col("any"))).alias("settled"))
-    told = cut(shared.join(classes, _CLASS))
-    left = told.where("not settled")
-    fields = [c for c in rows.columns if c not in _CLASS]
-    # A run that is hashed in two parts has two rows at one place; the representative has the windows of both.
-    place = [c for c in fields if c in ("anchor", "lo", "hi")]
-    asked = told.where("settled and doc_id = low").join(left.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi")
-    whole = asked.groupBy(*_CLASS, "doc_id", *place).agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("multi", F.lit(True))
-    again = whole.groupBy(*_CLASS).agg(F.max_by(F.struct(*fields), F.col("last") - F.col("first")).alias("r")).select(*_CLASS, "r.*")
-    return told.where("settled"), left.select(fields).unionByName(again.select(fields))
-
-
-def _asked_of(docs: DataFrame, left: DataFrame, *fields: str) -> DataFrame:
-    """(doc_id, text, asked): the texts of which something is still open, with the list of it."""
-    asked = left.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("asked"))
-    open_ = docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi")
-    return open_.join(asked, "doc_id").select("doc_id", "text", "asked")
-
-
-def shared_intervals(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, lo, hi): stretches of each text, possibly overlapping, that stand verbatim in another document in spans of `span` or more characters; together they are all such characters."""
+    settled = (F.col("c1") != 0) & ((F.col("low") != F.col("high")) | F.col("any"))
+    classes = rows.groupBy(*CLASS).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or("multi").alias("any"), *[F.first(c).alias(c) for c in PLACE]).withColumn("settled", settled)
+    groups = classes.groupBy(*GROUP).agg(F.min("low").alias("_l"), F.max("high").alias("_h"), F.bool_or("any").alias("_m"), F.bool_or(~F.col("settled")).alias("asked"))
+    known = cut(classes.join(groups.where("_l != _h or _m").select(*GROUP, "asked"), GROUP))
+    told = cut(rows.join(known.select(*CLASS, "low", "settled"), CLASS))
+    again = known.where("settled and asked").select(*PLACE, F.lit(True).alias("multi"))
+    return told.where("settled"), told.where("not settled").select(*PLACE, "multi").unionByName(again)
+
+
+def shared_starts(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, first, last, low): ranges of window starts of each text; every window of `span` characters that stands in another document begins in one of them. low is the least document of a class that holds these windows. Ranges of one text are disjoint or equal."""
     if not 0 < gram <= span or chunk < 1:
         raise ValueError("0 < gram <= span and chunk > 0 must hold")
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = docs.mapInArrow(lambda it: _anchor_rows(it, span, gram), "doc_id long, anchor long, first long, last long, h long, u1 long, u2 long")
-    first = cut(first.select("doc_id", F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("u1").alias("c1"), F.col("u2").alias("c2"), "anchor", "first", "last", F.lit(False).alias("multi")))
-    settled, left = _decided(first)
-    found = [settled.select("doc_id", F.col("first").alias("lo"), (F.col("last") + span).alias("hi"))]
-
-    chunks = _asked_of(docs, left, "anchor", "first", "last", "multi").mapInArrow(
-        lambda it: _chunk_rows(it, span, gram, chunk), "doc_id long, g1 long, g2 long, c1 long, c2 long, first long, last long, lo long, hi long, multi boolean"
-    )
-    settled, left = _decided(cut(chunks))
-    found.append(settled.select("doc_id", "lo", "hi"))
-
-    windows = cut(_asked_of(docs, left, "first", "last", "multi").mapInArrow(lambda it: _window_rows(it, span), "doc_id long, k1 long, k2 long, lo long, hi long, multi boolean"))
-    keys = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("h"), F.max("multi").alias("m")).where("l != h or m").select("k1", "k2")
-    found.append(windows.join(keys, ["k1", "k2"], "left_semi").select("doc_id", "lo", "hi"))
+    at_once = AT_ONCE
+    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.char_length("text") >= span)
+    runs = cut(docs.mapInArrow(lambda it: _run_rows(it, span, gram, at_once), _RUN))
+    # Collisions: anchors that stand in two documents. The filter keeps all of them, and some runs that go nowhere in what follows.
+    collided = runs.groupBy("g1").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("h")).where("l != h")
+    settled, left = _decided(passing(runs, filter_of(collided, "g1"), "g1"))
+    found = [settled.where("not multi").select("doc_id", "first", "last", "low")]
+
+    left = cut(left.dropDuplicates(["doc_id", "anchor"]))
+    texts = passing(docs, filter_of(left, "doc_id"), "doc_id")
+    base = F.greatest(F.lit(0), F.col("first") - (chunk - 1)).cast("long")
+    snippet = F.substring("text", (F.col("base") + 1).cast("int"), (F.col("last") - F.col("base") + chunk - 1 + span).cast("int"))
+    snippets = cut(left.withColumn("base", base).join(texts, "doc_id").select(*PLACE, "multi", "base", snippet.alias("snippet")).dropDuplicates(["doc_id", "anchor"]))
+    settled, left = _decided(cut(snippets.mapInArrow(lambda it: _chunk_rows(it, span, gram, chunk, at_once), _RUN)))
+    found.append(settled.where("not multi").select("doc_id", "first", "last", "low"))
+
+    piece = F.substring("snippet", (F.col("first") - F.col("base") + 1).cast("int"), (F.col("last") - F.col("first") + span).cast("int"))
+    pieces = left.join(snippets.select("doc_id", "anchor", "base", "snippet"), ["doc_id", "anchor"]).select("doc_id", "first", "last", "multi", piece.alias("piece"))
+    windows = cut(pieces.mapInArrow(lambda it: _window_rows(it, span, at_once), "doc_id long, k1 long, k2 long, first long, multi boolean"))
+    keys = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("h"), F.bool_or("multi").alias("m")).where("low != h or m").select("k1", "k2", "low")
+    found.append(windows.where("not multi").join(keys, ["k1", "k2"]).select("doc_id", "first", F.col("first").alias("last"), "low"))
     return reduce(DataFrame.unionByName, found)
 
 
-def covered(intervals: DataFrame) -> DataFrame:
-    """(doc_id, shared_chars): length of the union of each document's intervals."""
-    step = "(s, x) -> struct(s.n + greatest(0L, x.hi - greatest(x.lo, s.e)) as n, greatest(s.e, x.hi) as e)"
-    lists = intervals.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("v"))
-    return lists.select("doc_id", F.expr(f"aggregate(v, struct(0L as n, 0L as e), {step}).n").alias("shared_chars"))
+def covered(starts: DataFrame, span: int) -> DataFrame:
+    """(doc_id, shared_chars): length of the union of the windows that begin in each document's ranges. A range counts up to where the next one begins, so one look at the next is enough."""
+    after = F.lead("first").over(Window.partitionBy("doc_id").orderBy("first"))
+    own = F.least(F.col("last") + span, F.coalesce(after, F.col("last") + span)) - F.col("first")
+    return starts.select("doc_id", own.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("shared_chars"))
 
 
 def shared_chars(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
@@ -266,4 +318,31 @@ def shared_chars(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk
     Null and short texts and null ids have none. Rows that repeat a doc_id hold
     the same text and are one document; copies under other ids share everything.
     """
-    return covered(shared_intervals(documents, span, gram, chunk))
+    return covered(shared_starts(documents, span, gram, chunk), span)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(doc_id, cluster_id) of each end of links(doc_id, low): the least id that the links lead to.
+
+    Every round each document takes the least label at the other ends of its links,
+    and then its label's label; rounds end when nothing changes. Links of one hub
+    are many rows of one key, whose minimum is taken before they meet.
+    """
+    links = cut(links.where("doc_id != low").distinct())
+    both = cut(links.select("doc_id", "low").unionByName(links.select(F.col("low").alias("doc_id"), F.col("doc_id").alias("low"))))
+    labels = cut(both.groupBy("doc_id").agg(F.min("low").alias("m")).select("doc_id", F.least("doc_id", "m").alias("cluster_id")))
+    while True:
+        far = both.join(labels.withColumnRenamed("doc_id", "low"), "low").groupBy("doc_id").agg(F.min("cluster_id").alias("m"))
+        near = labels.join(far, "doc_id").select("doc_id", F.least("cluster_id", "m").alias("c"), F.col("cluster_id").alias("was"))
+        jump = labels.select(F.col("doc_id").alias("c"), F.col("cluster_id").alias("j"))
+        new = cut(near.join(jump, "c", "left").select("doc_id", F.coalesce("j", "c").alias("cluster_id"), "was"))
+        if new.where("cluster_id != was").isEmpty():
+            return new.select("doc_id", "cluster_id")
+        labels = new.select("doc_id", "cluster_id")
+
+
+def clusters(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, shared_chars, cluster_id): the documents of shared_chars with the component of documents that shared spans link, named by its least document."""
+    starts = cut(shared_starts(documents, span, gram, chunk))
+    found = components(starts.select("doc_id", "low"))
+    return covered(starts, span).join(found, "doc_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "doc_id"))

@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -319,13 +320,52 @@ def test_long_texts_in_parts(spark, monkeypatch):
     base = "".join(r.choice("abcdefgh") for _ in range(5000))
     texts = {1: base, 2: "zz" + base[1000:4100], 3: base[4000:4011]}
     monkeypatch.setattr(spans, "AT_ONCE", 700)
-    rows = [r for r in spans._anchor_rows(iter([__import__("pyarrow").RecordBatch.from_pydict({"d": [1], "t": [base]})]), 12, 5)]
-    starts = sorted((a, b) for x in rows for a, b in zip(x.column("first").to_pylist(), x.column("last").to_pylist()))
+    rows = list(spans._run_rows(iter([pa.RecordBatch.from_pydict({"d": [1], "t": [base]})]), 12, 5, 700))
+    starts = sorted((a, b) for x in rows for a, b in zip(x.column(6).to_pylist(), x.column(7).to_pylist()))
     assert starts[0][0] == 0 and starts[-1][1] == len(base) - 12 and all(b[0] == a[1] + 1 for a, b in zip(starts, starts[1:]))
+    whole = spans.run_places(spans.code_points(base), np.zeros(len(base), int), 12, 5)
+    assert starts == sorted(zip(whole[1].tolist(), whole[2].tolist()))
     got = {x.doc_id: x.shared_chars for x in spans.shared_chars(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 12, 5, 4).collect()}
     assert got == brute_shared(texts, 12)
 
 
+def test_clusters_are_components(spark):
+    r = random.Random(3)
+    links = [(i, i - r.choice([1, 1, 2, 7])) for i in range(8, 60) if r.random() < 0.7] + [(100 + i, 100 + i - 1) for i in range(1, 40)] + [(5, 5), (9, 8), (9, 8)]
+    parent = {x: x for p in links for x in p if p[0] != p[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    got = {x.doc_id: x.cluster_id for x in spans.components(spark.createDataFrame(links, "doc_id long, low long")).collect()}
+    assert got == {x: root(x) for x in parent}
+
+
+def test_filters_let_every_key_through(spark, monkeypatch):
+    monkeypatch.setattr(spans, "FILTER_BITS", 128)
+    rows = spark.range(300).withColumnRenamed("id", "k")
+    kept = {x.k for x in spans.passing(rows, spans.filter_of(rows.where("k < 40"), "k"), "k").collect()}
+    assert set(range(40)) <= kept and len(kept) < 300
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_clusters_of_spans(spark, bits, monkeypatch):
+    monkeypatch.setattr(spans, "FILTER_BITS", bits)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    a, b, c = word(40), word(40), word(40)
+    texts = {1: word(30) + a, 2: a + word(9) + b, 3: word(5) + b[3:] + word(20), 7: c, 8: c + word(3), 9: word(50)}
+    got = {x.doc_id: (x.shared_chars, x.cluster_id) for x in spans.clusters(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 12, 5, 4).collect()}
+    assert {k: v[0] for k, v in got.items()} == brute_shared(texts, 12)
+    assert {k: v[1] for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+
+
 def test_no_documents(spark):
     assert spans.shared_chars(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -339,8 +379,8 @@ def test_spans_at_the_edge_of_a_hashed_part(spark):
     edge, span, gram, chunk = spans.AT_ONCE, spans.SPAN, spans.GRAM, spans.CHUNK
     for seed in range(50):  # a text in which one run and one chunk lie on both sides of the edge, two windows deep
         text = np.random.default_rng(seed).integers(0x4E00, 0x9000, edge + 2000, dtype=np.uint32)
-        r = spans.runs(text[edge - 1000 : edge + 1000], np.zeros(2000, np.int64), span, gram)
-        a, first, last = next((int(a), int(f), int(l)) for a, f, l in zip(r["anchor"], r["first"], r["last"]) if f <= 1000 <= l)
+        r = spans.run_places(text[edge - 1000 : edge + 1000], np.zeros(2000, np.int64), span, gram)
+        a, first, last = next((int(a), int(f), int(l)) for a, f, l in zip(*r) if f <= 1000 <= l)
         if first <= 998 and last >= 1001 and (a - 998) // chunk == (a - 1001) // chunk:
             break
     else:
