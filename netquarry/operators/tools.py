@@ -183,6 +183,9 @@ class Registry:
             raise ToolError(f"{tool.name} is registered twice")
         self._tools[tool.name] = tool
 
+    def names(self) -> list[str]:
+        return list(self._tools)
+
     def allow(self, persona: str, names: list[str]) -> None:
         if unknown := sorted(set(names) - set(self._tools)):
             raise ToolError(f"no such tools: {unknown}")

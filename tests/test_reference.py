@@ -485,3 +485,130 @@ def test_only_a_missing_llm_package_is_forgiven(monkeypatch):
     assert not importlib.reload(entry).llm_queries
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+# ---- runs, prompts, files beside the tables
+
+
+def test_run_folders_and_json(spark, tmp_path):
+    from netquarry.sources import artifacts
+
+    paths = artifacts.prepare_run(spark, str(tmp_path), "r1")
+    assert len(paths) == 11 and all(p.startswith(f"{tmp_path}/r1") for p in paths.values()) and artifacts.exists(spark, paths["prompts_used_dir"])
+    with pytest.raises(ValueError):
+        artifacts.run_files(str(tmp_path), "../x")
+    artifacts.write_json(spark, paths["summary_json"], {"b": 1, "a": "é"})
+    assert artifacts.read_text(spark, paths["summary_json"]) == '{\n  "a": "\\u00e9",\n  "b": 1\n}'
+    for _ in range(2):
+        artifacts.append_jsonl(spark.createDataFrame([(1, None)], "a int, b string"), paths["renderings_jsonl"])
+    assert [r.value for r in spark.read.text(paths["renderings_jsonl"]).collect()] == ['{"a":1,"b":null}'] * 2
+
+
+def test_sample_file(spark, tmp_path):
+    import hashlib
+
+    from netquarry.sources import artifacts
+
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("id"), (F.col("id") % 5 == 0).alias("bad"))
+    s = strata.class_balanced(rows, F.col("bad"), 2000, 0.25, 1, "id")
+    assert {r.bad: r["count"] for r in s.groupBy("bad").count().collect()} == {True: 500, False: 1500}
+    told = artifacts.write_sample(s, f"{tmp_path}/s.parquet", {"seed": 1})
+    data = (tmp_path / "s.parquet").read_bytes()
+    assert told["sha256"] == hashlib.sha256(data).hexdigest() and told["bytes"] == len(data)
+    import pyarrow.parquet as pq
+
+    f = pq.ParquetFile(tmp_path / "s.parquet")
+    assert f.metadata.num_rows == 2000 and f.metadata.num_row_groups == 2
+    ids = f.read().column("id").to_pylist()
+    assert ids == sorted(ids)
+    with pytest.raises(ValueError, match="bytes"):
+        artifacts.write_sample(s, f"{tmp_path}/t.parquet", {}, most_bytes=10)
+
+
+def test_strict_configuration(spark, tmp_path):
+    from netquarry.plans import runs
+
+    good = {"personas": {"a": {"max_turns": 4, "max_tool_calls": 6, "wall_clock_seconds": 60, "tools": ["x"]}}, "provider_models": {"p": "m"}, "cost_cap": 2, "schema_path": "s.json", "unit_cap": None}
+    (tmp_path / "c.json").write_text(__import__("json").dumps(good))
+    c = runs.load_config(spark, f"{tmp_path}/c.json")
+    assert c.personas["a"].max_turns == 4 and c.cost_cap == 2.0 and c.schema_path == f"{tmp_path}/s.json" and c.unit_cap is None
+    for change, place in (({"extra": 1}, "extra"), ({"personas": {"a": {"max_turns": 1}}}, "personas.a"), ({"cost_cap": "x"}, "cost_cap"), ({"units_per_stratum": True}, "units_per_stratum"), ({"provider_models": [1]}, "provider_models")):
+        with pytest.raises(ValueError, match=place):
+            runs.built(runs.RunConfig, good | change)
+
+
+def test_prompts(spark, tmp_path):
+    from netquarry.functions import prompts
+
+    for d in ("personas", "playbooks"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "a.md").write_text(f"the {d} of a")
+    (tmp_path / "playbook_common.md").write_text("common")
+    p = prompts.load(spark, str(tmp_path))
+    tools_ = [{"name": "list_pairs"}, {"name": "submit_assessment"}]
+    text = prompts.compose(p, "a", "main", "scaffold", {}, tools_, ["DDoS"])
+    assert [text.index(x) for x in ("scaffold", "Output", "personas of", "common", "playbooks of", "list_pairs")] == sorted(text.index(x) for x in ("scaffold", "Output", "personas of", "common", "playbooks of", "list_pairs"))
+    assert "playbooks of" not in prompts.compose(p, "a", "playbooks_off", "s", {}, tools_, []) and "list_pairs" not in prompts.compose(p, "a", "tools_off", "s", {}, tools_, [])
+    with pytest.raises(prompts.ForbiddenToken, match="attack_family at"):
+        prompts.compose(p, "a", "main", "a ddos", {}, tools_, ["DDoS"])
+    with pytest.raises(LookupError):
+        prompts.compose(p, "b", "main", "s", {}, tools_, [])
+    (tmp_path / "playbooks/b.md").write_text("x")
+    with pytest.raises(ValueError, match="b"):
+        prompts.load(spark, str(tmp_path))
+
+
+def test_runs_are_compared(spark, tmp_path):
+    import json
+
+    from netquarry.plans import runs
+
+    def run(name, ablation, f1, acc, cost, seed=7, broken=False):
+        d = tmp_path / "runs" / name
+        d.mkdir(parents=True)
+        (d / "run_metadata.json").write_text(json.dumps({"dataset_hash": "h", "sample_seed": seed, "ablation": ablation}))
+        s = {"scoring": {"p/q": {"per_flow_f1_macro": f1, "units": 3, "verdict": {"accuracy": acc, "f1": None}}, "p/z": {"per_flow_f1_macro": 1.0}}, "per_provider_persona": {"p/q": {"cost_usd": cost}}}
+        (d / "summary.json").write_text("{" if broken else json.dumps(s))
+
+    run("r0", "tools_off", 0.25, 0.5, 1.0)
+    out = lambda: runs.compare_runs(spark, f"{tmp_path}/runs", f"{tmp_path}/out", "h", 7)
+    with pytest.raises(FileNotFoundError, match="main"):
+        out()
+    assert (tmp_path / "out/h/7/tools_off_run_id.txt").read_text() == "r0\n"
+    run("r1", "main", 0.1, 0.1, 9.0)
+    run("r2", "main", 0.75, 0.9, 3.5)
+    run("r3", "main", 0.0, 0.0, 0.0, seed=8)
+    run("r4", "main", 0.0, 0.0, 0.0, broken=True)
+    told = json.loads((tmp_path / "out/h/7/ablation_summary.json").read_text()) if out() else None
+    assert told["runs"] == {"main": "r2", "tools_off": "r0"} and told["missing_ablations"] == ["playbooks_off", "single_shot_baseline"]
+    assert told["deltas"]["tools_off_to_main"] == {"p/q": {"per_flow_f1": 0.5, "verdict_accuracy": 0.4, "cost_usd": 2.5}, "p/z": {"per_flow_f1": 0.0}}
+
+
+def test_scripted_renderings_are_scored(spark):
+    from netquarry.plans import runs
+
+    b = index.unit_bridge(scanner_flows(spark), 10, 5, 1000).withColumn("unit", reference.unit_key()).withColumn("dst_ip", F.col("flow_dst"))
+    u = index.units(index.unit_bridge(scanner_flows(spark), 10, 5, 1000)).withColumn("unit", reference.unit_key())
+    s = scoring.scored(runs.scripted(u, "mock", ["a", "b"]), scoring.unit_sets(b))
+    e = {r.persona: (r.units, r.per_flow_f1_macro) for r in summary.score_entry(s).collect()}
+    assert e == {p: (11, round(8 / 11, 6)) for p in ("a", "b")}
+
+
+def test_log_lines():
+    import json
+    import logging
+
+    from netquarry.plans import runs
+
+    told = json.loads(runs.JsonLines().format(logging.makeLogRecord({"msg": "x %s", "args": ("y",), "levelname": "INFO", "name": "n", "rows": 3})))
+    assert (told["message"], told["level"], told["logger"], told["rows"]) == ("x y", "INFO", "n", 3)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from netquarry.__main__ import main
+
+    f = scanner_flows(spark).withColumns({"Attack": F.when(F.col("is_malicious"), "Scan").otherwise("benign"), "sampling_rate": F.lit(1)}).drop("flow_id", "is_malicious")
+    f.write.parquet(str(tmp_path / "raw"))
+    assert main(["build-index", str(tmp_path / "raw"), "--out", str(tmp_path / "ix"), "--dataset", "d"]) == 0
+    path = capsys.readouterr().out.strip().splitlines()[-1]
+    assert main(["tools-smoke", path]) == 0
