@@ -286,7 +286,7 @@ def test_the_mixture_decides_against_the_first_reading(spark):
     df = spark.createDataFrame(rows, "record_id long, exporter_id long, received_at timestamp_ntz, start_text string")
     ex = spark.createDataFrame([(1, "UTC", "mdy"), (2, "UTC", "dmy")], "exporter_id long, time_zone string, date_order string")
     got = instants.inferred_orders(df, ex, spark.createDataFrame([("UTC", 0)], "abbreviation string, offset_minutes long"))
-    assert {tuple(r) for r in got.collect()} == {(1, 16, 0, 5, 0, 0), (2, 0, 16, 0, 5, 0)}
+    assert {tuple(r)[:5] for r in got.collect()} == {(1, 16, 0, 5, 0), (2, 0, 16, 0, 5)}
 
 
 # ---- drift
