@@ -289,7 +289,7 @@ def shared_starts(documents: DataFrame, span: int = SPAN, gram: int = GRAM, chun
     settled, left = _decided(passing(runs, filter_of(collided, "g1"), "g1"))
     found = [settled.where("not multi").select("doc_id", "first", "last", "low")]
 
-    left = cut(left.dropDuplicates(["doc_id", "anchor"]))
+    left = cut(left)
     texts = passing(docs, filter_of(left, "doc_id"), "doc_id")
     base = F.greatest(F.lit(0), F.col("first") - (chunk - 1)).cast("long")
     snippet = F.substring("text", (F.col("base") + 1).cast("int"), (F.col("last") - F.col("base") + chunk - 1 + span).cast("int"))
