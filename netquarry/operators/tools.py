@@ -33,11 +33,19 @@ class ToolError(ValueError):
     pass
 
 
-@dataclass(frozen=True)
 class Index:
-    flows: DataFrame  # flow_id, src_ip, dst_ip, ... is_malicious
-    pair_stats: DataFrame
-    hosts_rollup: DataFrame
+    """The tables that the tools read: flows (flow_id, src_ip, dst_ip, ... is_malicious), pair_stats and hosts_rollup, each given as a table or as what makes it when it is first asked for."""
+
+    def __init__(self, flows: DataFrame | Callable[[], DataFrame], pair_stats: DataFrame | Callable[[], DataFrame], hosts_rollup: DataFrame | Callable[[], DataFrame]):
+        self._tables: dict[str, DataFrame | Callable[[], DataFrame]] = {"flows": flows, "pair_stats": pair_stats, "hosts_rollup": hosts_rollup}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        found = self._tables[name]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
 
 
 def assert_no_leak(schema: T.DataType, path: str = "$") -> None:
