@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from netquarry.functions.columns import epoch_us, protocol_name, source_id
 from netquarry.functions.hashing import hash_obj
 from netquarry.operators import costs, index, lint, normalize, scoring, strata, summary, tools
-from netquarry.session import cut, stored
+from netquarry.plans import build
+from netquarry.session import cut, stored, work_folder
+from netquarry.sources import artifacts, tables
 from netquarry.sources.tables import table
 
 K, WINDOW_MIN, MAX_FLOWS = 5, 60, 100
@@ -259,6 +261,19 @@ def unit_by_id(spark, d):  # O10
     return index.chosen_units(u, unit_id=last, id_col="unit").select("unit", "flow_count")
 
 
+@query(f"WITH {_UNITS} SELECT unit, '[' || string_agg(CAST(flow_id AS VARCHAR), ',' ORDER BY flow_id) || ']' AS payload FROM (SELECT concat_ws('|', unit_type, src_ip, coalesce(dst_ip, CAST(bucket AS VARCHAR)), CAST(chunk AS VARCHAR)) AS unit, flow_id FROM br) GROUP BY 1")
+def unit_payloads(spark, d):  # H1 H4: what the ids are hashes of
+    def canonical(batches):
+        import pyarrow as pa
+
+        from netquarry.functions.hashing import canonical_json
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical_json(sorted(ids)) for ids in b.column(1).to_pylist()], pa.string())], ["unit", "payload"])
+
+    return indexed(spark, d, "units").select("unit", "flow_ids").mapInArrow(canonical, "unit string, payload string")
+
+
 @query()
 def unit_content_ids(spark, d):  # H1 H2 H4 H6
     return index.with_unit_ids(units(spark, d)).select("eval_unit_id", "unit_type", "flow_count")
@@ -719,6 +734,74 @@ def missing_ablations(spark, d):  # J9
     return summary.missing_keys(_keyed(spark, d))
 
 
+# ---- files ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CASE WHEN _flow_id % 2 = 0 THEN 'even' ELSE 'odd' END AS part, count(*) AS n, count(dst_port) AS ports, CAST(sum(dst_port) AS BIGINT) AS port_sum FROM flows WHERE _flow_id IS NOT NULL GROUP BY 1")
+def multi_file_scan(spark, d):  # S1 K1
+    """Two tables with the same columns in another order, scanned as one by name."""
+    f, at = table(spark, d, "flows").select("_flow_id", "dst_port").where("_flow_id is not null"), work_folder(spark)
+    tables.write_parquet(f.where("_flow_id % 2 = 0"), f"{at}/a")
+    tables.write_parquet(f.where("_flow_id % 2 <> 0").select("dst_port", "_flow_id"), f"{at}/b")
+    both = tables.parquet_files(spark, [f"{at}/a", f"{at}/b"])
+    return both.groupBy(F.when(F.col("_flow_id") % 2 == 0, "even").otherwise("odd").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count("dst_port").alias("ports"), F.sum("dst_port").alias("port_sum"))
+
+
+@query(f"WITH {_UNITS} SELECT unit AS eval_unit_id, unit_type, src_ip, dst_ip, flow_count, gold_label, ts_start_min FROM un")
+def units_jsonl(spark, d):  # K2 S4 S5 S7
+    """Units written as canonical JSON lines, read back under a schema, mirrored as parquet."""
+    u = indexed(spark, d, "units").select(F.col("unit").alias("eval_unit_id"), "unit_type", "src_ip", "dst_ip", "flow_count", "gold_label", "ts_start_min")
+    at = work_folder(spark)
+    tables.write_jsonl(u, f"{at}/lines")
+    tables.jsonl(spark, f"{at}/lines", u.schema, "eval_unit_id", ["eval_unit_id", "unit_type"]).write.format("noop").mode("overwrite").save()
+    tables.mirror_parquet(spark, f"{at}/lines", f"{at}/mirror")
+    return spark.read.parquet(f"{at}/mirror").select(u.columns)
+
+
+@query("SELECT report_id, plan_id, mode, total_selected FROM sample_reports")
+def report_documents(spark, d):  # S6 K5 K7
+    """Reports as JSON documents in run folders, and one that is broken, read back."""
+    at = work_folder(spark)
+    rows = table(spark, d, "sample_reports").select("report_id", "plan_id", "mode", "total_selected").limit(10_001).collect()  # a report a run
+    if len(rows) > 10_000:
+        raise ValueError("more than 10 000 reports")
+    for r in rows:
+        artifacts.write_json(spark, artifacts.run_files(at, f"run{r.report_id}")["summary_json"], r.asDict())
+    artifacts.write_text(spark, artifacts.run_files(at, "broken")["summary_json"], "{")
+    found = tables.json_documents(spark, f"{at}/*/summary.json")
+    return found.select(F.from_json("value", "report_id long, plan_id long, mode string, total_selected long").alias("r")).select("r.*")
+
+
+@query("SELECT count(*) AS flows, count(DISTINCT (src_ip, dst_ip)) AS pairs, count(DISTINCT src_ip) + max(CASE WHEN src_ip IS NULL THEN 1 ELSE 0 END) AS hosts FROM flows")
+def index_counts(spark, d):  # D1 D2 D4 K3 H7 H8
+    """The index of the raw flows, built, found complete and opened: what its manifest counts."""
+    raw = f"{work_folder(spark)}/raw"
+    tables.write_parquet(_raw(spark, d), raw)
+    out = f"{work_folder(spark)}/index"
+    path = build.build_index(spark, [raw], out, _config(spark, d), build.Args("d", K, WINDOW_MIN, MAX_FLOWS))
+    if build.build_index(spark, [raw], out, _config(spark, d), build.Args("d", K, WINDOW_MIN, MAX_FLOWS)) != path:
+        raise AssertionError("the same flows must give the same index")
+    counts = build.manifest(spark, path)["counts"]
+    return spark.createDataFrame([(counts["flows"], counts["pairs"], counts["hosts"])], "flows long, pairs long, hosts long")
+
+
+_SUBMITTED = [
+    "CASE WHEN flow_count % 7 = 0 THEN 'unsure' ELSE 'malicious' END AS verdict", "coalesce(malicious_flow_count, 0) / 10.0 AS confidence",
+    "CASE WHEN flow_count % 11 = 0 THEN '' ELSE repeat('r', CAST(coalesce(flow_count, 0) AS INT) * 100 + 1) END AS rationale",
+]
+
+
+@query(f"""WITH s AS (SELECT eval_unit_id, {', '.join(_SUBMITTED)}, CASE WHEN distinct_destinations % 5 = 0 THEN list_transform(flow_ids, lambda x: -x) ELSE flow_ids END AS indices, CASE WHEN src_ip = dst_ip OR flow_count % 2 = 0 THEN [src_ip, src_ip] ELSE [src_ip] END AS destinations FROM eval_units)
+SELECT eval_unit_id, CASE WHEN verdict <> 'malicious' THEN 'verdict' WHEN confidence > 1 THEN 'confidence' WHEN length(rationale) NOT BETWEEN 1 AND 8000 THEN 'rationale' WHEN list_min(indices) < 0 THEN 'negative index'
+WHEN len(list_distinct(indices)) <> len(indices) THEN 'repeated index' WHEN len(destinations) = 2 THEN 'repeated destination' END AS fault FROM s""")
+def submission_faults(spark, d):  # U7 D23 G4
+    e = table(spark, d, "eval_units")
+    ids = F.when(F.col("distinct_destinations") % 5 == 0, F.transform("flow_ids", lambda x: -x)).otherwise(F.col("flow_ids")).alias("indices")
+    dst = F.when((F.col("src_ip") == F.col("dst_ip")) | (F.col("flow_count") % 2 == 0), F.array("src_ip", "src_ip")).otherwise(F.array("src_ip")).alias("destinations")
+    s = e.select("eval_unit_id", *map(F.expr, _SUBMITTED), ids, dst)
+    return scoring.checked_submissions(s).select("eval_unit_id", "fault")
+
+
 # ---- sampling of raw flows, lint -----------------------------------------------------------------------------------
 
 

@@ -57,12 +57,17 @@ _log = logging.getLogger(__name__)
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there, so a lost executor costs one re-read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = work_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder; it is removed with what cut() writes."""
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"))
+    return _written[-1][1]
 
 
 @contextmanager

@@ -28,9 +28,12 @@ def parquet_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
-def jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """One JSON object a line under a given schema; a line that breaks it is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def jsonl(spark: SparkSession, path: str, schema, order: str | None = None, needed: Sequence[str] = ()) -> DataFrame:
+    """One JSON object a line under a given schema, in the order of a column if one is named; a line that breaks the schema or has null in a needed column is an error."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    for c in needed:
+        df = df.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)))
+    return df.orderBy(order) if order else df
 
 
 def json_documents(spark: SparkSession, glob: str) -> DataFrame:
