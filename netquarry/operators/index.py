@@ -62,6 +62,22 @@ def pairs(stats: DataFrame) -> DataFrame:
     return stats.select(pair_id.alias("pair_id"), "src_ip", "dst_ip", "flow_count", "malicious_flow_count", "ts_start_min", "ts_start_max", "bytes_total", "pkts_total", "distinct_dst_ports", "distinct_src_ports")
 
 
+def with_pair_ids(p: DataFrame) -> DataFrame:
+    """p with pair_id as 16 hex digits of BLAKE2b over source and destination."""
+
+    def name(batches):
+        import pyarrow as pa
+
+        from netquarry.functions.hashing import hash_obj
+
+        for b in batches:
+            at = [b.schema.get_field_index(c) for c in ("pair_id", "src_ip", "dst_ip")]
+            ids = pa.array([hash_obj([s, d])[:16] for s, d in zip(*(b.column(i).to_pylist() for i in at[1:]))], pa.string())
+            yield b.set_column(at[0], "pair_id", ids)
+
+    return p.mapInArrow(name, p.schema)
+
+
 def hosts(flows: DataFrame) -> DataFrame:
     """Rollup by source. Destinations are counted over a first grouping by pair, so a heavy source arrives as partial states of its pairs."""
     by_pair = flows.groupBy("src_ip", "dst_ip").agg(

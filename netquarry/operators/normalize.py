@@ -53,18 +53,30 @@ def median_above(df: DataFrame, value: Column, bound: float) -> bool:
     return r.above > r.below or r.above == r.below > 0 and (r.low + r.high) / 2 > bound
 
 
-def exact_median(df: DataFrame, value: Column, accuracy: int = 100_000) -> DataFrame:
-    """One row with the exact interpolated median (null over nothing). A sketch brackets the middle ranks to about 1/accuracy of the rows; only the values within are ordered."""
+def exact_median(df: DataFrame, value: Column, accuracy: int = 100_000, at_once: int = 1_000_000) -> DataFrame:
+    """One row with the exact interpolated median (null over nothing).
+
+    A sketch brackets the middle ranks to about 1/accuracy of the rows, then again
+    within the bracket until at most at_once rows, or one value, are left; only
+    those are ordered.
+    """
     v = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    sketch = v.agg(F.percentile_approx("v", [max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)], accuracy).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    if not sketch.n:
+    n = v.count()
+    if not n:
         return v.agg(F.max("v").alias("median"))
-    low, high = sketch.q
-    below = v.where(F.col("v") < low).count()
-    ranks = [(sketch.n - 1) // 2, sketch.n // 2]
-    band = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("v")) + below)
+    ranks = [(n - 1) // 2, n // 2]
+    band, below, held, bounds = v, 0, n, None
+    while held > at_once or bounds is None:
+        share = [max(0.0, (ranks[0] - below) / held - 2 / accuracy), min(1.0, (ranks[1] - below) / held + 2 / accuracy)]
+        low, high = band.agg(F.percentile_approx("v", share, accuracy).alias("q")).first().q
+        if (low, high) == bounds:
+            break
+        bounds = low, high
+        r = v.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("held")).first()
+        below, held, band = r.below, r.held, v.where(F.col("v").between(low, high))
+    few = band.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("v")) + below)
     middle = [F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]
-    return band.agg(((middle[0] + middle[1]) / 2).alias("median"))
+    return few.agg(((middle[0] + middle[1]) / 2).alias("median"))
 
 
 def in_milliseconds(df: DataFrame, col: str, source: str, config: Config) -> bool:

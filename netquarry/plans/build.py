@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.functions.hashing import canonical_json, digest, hash_obj, short_hash
+from netquarry.functions.hashing import canonical_json, digest, hash_obj
 from netquarry.operators import index, normalize, tools
 from netquarry.session import cut
 from netquarry.sources import tables
@@ -25,6 +25,10 @@ class Args:
     window_min: float = 5
     max_flows: int = 1000
 
+    def told(self) -> dict[str, object]:
+        """The arguments under the names by which they enter the hash."""
+        return {"dataset_name": self.dataset, "host_egress_fanout_K": self.k, "host_egress_window_minutes": self.window_min, "max_flows_per_unit": self.max_flows}
+
 
 def payload_hash(flows: DataFrame) -> str:
     """Digest of the rows in flow_id order, whatever their partitions: of slices of SLICE rows, then of SLICE digests, until one is left."""
@@ -65,20 +69,21 @@ def complete(spark: SparkSession, path: str) -> bool:
 def build_index(spark: SparkSession, raw_paths: list[str], out_dir: str, config: normalize.Config, args: Args, rebuild: bool = False) -> str:
     """Writes the index of the raw tables under a folder named by its content, and returns the folder. A complete one is left as it is unless rebuild is asked for."""
     flows = cut(index.assign_flow_ids(normalize.normalize(tables.parquet_files(spark, raw_paths), config)))
-    dataset_hash = hash_obj({"schema": [[f.name, f.dataType.simpleString()] for f in flows.schema.fields], "args": asdict(args), "payload": payload_hash(flows)})
-    path = f"{out_dir.rstrip('/')}/{args.dataset}-{short_hash(dataset_hash)}"
+    schema_hash = hash_obj([[f.name, f.dataType.simpleString()] for f in flows.schema.fields])
+    dataset_hash = hash_obj({"schema_hash": schema_hash, "build_args": args.told(), "payload_hash": payload_hash(flows)})
+    path = f"{out_dir.rstrip('/')}/{dataset_hash}"
     if not rebuild and complete(spark, path):
         return path
     f = flows.withColumn("is_malicious", F.col("_is_malicious"))
     stats = cut(index.pair_stats(f))
     bridge = cut(index.unit_bridge(f, args.k, args.window_min, args.max_flows))
     units = index.with_unit_ids(index.units(bridge))
-    parts = {"flows": flows, "pair_stats": stats, "pairs": index.pairs(stats), "hosts": index.hosts(f), "hosts_rollup": index.hosts_rollup(f), "unit_bridge": bridge}
+    parts = {"flows": flows, "pair_stats": stats, "pairs": index.with_pair_ids(index.pairs(stats)), "hosts": index.hosts(f), "hosts_rollup": index.hosts_rollup(f), "unit_bridge": bridge}
     for name, df in parts.items():
         tables.write_parquet(df, f"{path}/{name}", "overwrite")
     tables.write_jsonl(units, f"{path}/eval_units", "overwrite")
     counts = {name: spark.read.parquet(f"{path}/{name}").count() for name in ("flows", "pairs", "hosts")} | {"eval_units": spark.read.text(f"{path}/eval_units").count()}
-    manifest = canonical_json({"dataset_hash": dataset_hash, "args": asdict(args), "counts": counts})
+    manifest = canonical_json({"dataset_hash": dataset_hash, "args": args.told(), "counts": counts})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return path
 

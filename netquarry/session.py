@@ -87,8 +87,11 @@ def _remove_written(keep: int = 0) -> None:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if path.startswith("file:"):  # needs no session, which may have ended
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        return
     try:
-        if spark.sparkContext._jsc is None:  # stopped: its file systems are gone with it
+        if spark.sparkContext._jsc is None:  # its file systems are gone with it
             raise RuntimeError("the session has ended")
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

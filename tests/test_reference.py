@@ -402,7 +402,8 @@ def test_exact_median(spark, values):
 
     df = spark.createDataFrame([(v,) for v in values], "x double")
     clean = [v for v in values if v is not None and v == v]
-    assert normalize.exact_median(df, F.col("x"), 100).first().median == (median(clean) if clean else None)
+    for at_once in (1_000_000, 3):
+        assert normalize.exact_median(df, F.col("x"), 100, at_once).first().median == (median(clean) if clean else None)
     for bound in (0.5, 1.5, 4.5):
         assert normalize.median_above(df, F.col("x"), bound) == (bool(clean) and median(clean) > bound)
 
@@ -420,6 +421,8 @@ def test_build_index(spark, tmp_path):
     assert m["counts"] == {"flows": 72, "pairs": 22, "hosts": 11, "eval_units": 11}
     assert build.build_index(spark, raw[::-1], str(tmp_path / "ix"), config, build.Args("d", k=10)) == a
     assert build.build_index(spark, raw, str(tmp_path / "ix"), config, build.Args("d", k=100)) != a
+    pair = spark.read.parquet(f"{a}/pairs").where("src_ip = '10.0.0.1'").first()
+    assert pair.pair_id == hashing.hash_obj([pair.src_ip, pair.dst_ip])[:16] and a.endswith(m["dataset_hash"]) and m["args"]["host_egress_fanout_K"] == 10
     ix = build.open_index(spark, a)
     assert tools.registry().call(ix, "list_pairs", limit=100).count() == 22
     with pytest.raises(FileNotFoundError):
