@@ -4,8 +4,10 @@ A unit's flows, in time order, are cut into atomic segments at its silences; the
 segments are merged agglomeratively, weakest boundary first, while the piece and
 its overlap fit the limit. Ordering and gaps come from one range exchange and a
 linear scan, so a huge unit spreads over many partitions. Merging takes a unit's
-list of segments as a whole, two numbers for each; the flows are then cut by the
-resulting places, in blocks.
+list of segments as a whole, three numbers for each. Segments begin after silences,
+so there is at most one for each silence of the unit's time span (with 60 s, half a
+million a year, some 13 MB), however many flows it has. The flows are then cut by
+the resulting places, in blocks.
 """
 
 from __future__ import annotations
@@ -263,9 +265,8 @@ def pieces(units: DataFrame, flows: DataFrame, limit: int = LIMIT, overlap: int
     piece_start is the 0-based place of the piece's first own flow in the unit's
     time order; before it stand the `overlap` flows of the piece before. No piece
     holds more than `limit` flows. natural tells a cut at a silence from one made
-    because no silence was near. One task holds a unit's list of segments, 16 bytes
-    for each and its name, and another at most `block` of its flows and those
-    around them.
+    because no silence was near. One task holds a unit's list of segments, and
+    another at most `block` of its flows and those around them.
     """
     if not 0 <= overlap < limit <= block:
         raise ValueError("overlap < limit <= block must hold")
