@@ -119,8 +119,9 @@ class Zone:
         seconds = wall // 1_000_000
         low, high = int(seconds.min()) - 3 * 86_400, int(seconds.max()) + 3 * 86_400
         if not self.high or low < self.low or high > self.high:
-            # To the month, so that one batch after the other does not search again.
-            self._cover(min(low - 30 * 86_400, self.low or low), max(high + 30 * 86_400, self.high))
+            # To the month, so that one batch after the other does not search again; to the calendar's ends at most.
+            first, last = -62_135_000_000, 253_402_000_000
+            self._cover(max(first, min(low - 30 * 86_400, self.low or low)), min(last, max(high + 30 * 86_400, self.high)))
         one = self.offsets[np.searchsorted(self.first, seconds, "right")]
         two = self.offsets[np.searchsorted(self.second, seconds, "right")]
         return wall - one * 1_000_000, wall - two * 1_000_000, two < one

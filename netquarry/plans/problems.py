@@ -49,6 +49,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return instants.unit_report(_normalized(spark, d))
 
 
+def p6_notations(spark: SparkSession, d: str) -> DataFrame:
+    """The report's records by exporter and chosen notation, without what the posterior leaves open."""
+    return p6_report(spark, d).select("exporter_id", "notation", "records")
+
+
 def p6_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders of day and month inferred with the declared ones withheld, of exporters whose clear dates all show one order."""
     starts, exporters = table(spark, d, "raw_starts"), table(spark, d, "exporters")
@@ -80,7 +85,7 @@ def p7_nested(spark: SparkSession, d: str) -> DataFrame:
     return found.select("file_id", "field_name", "change_kind", "script_cost")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p4_found, p4_durations, p5_found, p5_hosts, p6_found, p6_report, p6_orders, p7_found, p7_table, p7_columns, p7_nested)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p4_found, p4_durations, p5_found, p5_hosts, p6_found, p6_report, p6_notations, p6_orders, p7_found, p7_table, p7_columns, p7_nested)}
 
 _FLOWS = """
 f AS (SELECT _flow_id, any_value(index_id) AS index_id, nullif(lower(trim(any_value(src_ip), chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11))), '') AS src_ip,
@@ -93,6 +98,54 @@ _P1 = f"""WITH {_FLOWS}, n AS (SELECT *, CASE protocol WHEN '1' THEN 'ICMP' WHEN
 SELECT index_id, src_ip AS host, service_id, count(*) AS flow_count, CAST(sum(bytes_out) AS BIGINT) AS bytes_out_total, min(start_us) AS first_us, max(start_us) AS last_us
 FROM n JOIN services s ON n.dst_port = s.dst_port AND n.proto = upper(trim(s.protocol)) WHERE src_ip IS NOT NULL AND start_us IS NOT NULL GROUP BY ALL"""
 _TOTALS = "flow_count, malicious_flow_count, distinct_destinations, distinct_malicious_destinations, ts_start_min, ts_start_max, bytes_out_total, bytes_in_total"
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+_ENDS = r"(?:\s*([+-]\d{2}(?::?\d{2})?)|\s*([A-Za-z]{1,5}))?"
+_AM_PM = r"(?:\s*([AaPp][Mm]))?"
+#: The notations of start texts: regular expression and what its groups are.
+_NOTATIONS = {
+    "iso": (r"(\d{4})-(\d{2})-(\d{2})(?:[Tt]|\s+)" + _CLOCK + _ENDS, "y mo d h mi s f off ab"),
+    "basic": (r"(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?" + _ENDS, "y mo d h mi s f off ab"),
+    "packed": (r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})", "y mo d h mi s"),
+    "dots": (r"(\d{1,2})\.(\d{1,2})\.(\d{4})\s+" + _CLOCK + _AM_PM + _ENDS, "d mo y h mi s f ap off ab"),
+    "dmy": (r"(\d{1,2})/(\d{1,2})/(\d{4})\s+" + _CLOCK + _AM_PM + _ENDS, "d mo y h mi s f ap off ab"),
+    "mdy": (r"(\d{1,2})/(\d{1,2})/(\d{4})\s+" + _CLOCK + _AM_PM + _ENDS, "mo d y h mi s f ap off ab"),
+    "mail": (r"(?:([A-Za-z]{3,9}),\s*)?(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4})\s+" + _CLOCK + _AM_PM + _ENDS, "wd d mon y h mi s f ap off ab"),
+    "log": (r"(\d{1,2})/([A-Za-z]{3,9})/(\d{4}):" + _CLOCK + _ENDS, "d mon y h mi s f off ab"),
+    "yearless": (r"([A-Za-z]{3,9})\s+(\d{1,2})\s+" + _CLOCK + _ENDS, "mon d h mi s f off ab"),
+}
+_MONTHS = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
+_WEEKDAYS = "['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday']"
+
+
+def _notation(name: str) -> str:
+    pattern, groups = _NOTATIONS[name]
+    have = groups.split()
+    got = lambda g: f"coalesce(g['{g}'], '')" if g in have else "''"
+    named = f"list_position(list_transform({_MONTHS}, lambda m: CASE WHEN lower({got('mon')}) IN (m, substr(m, 1, 3)) OR m = 'september' AND lower({got('mon')}) = 'sept' THEN 1 ELSE 0 END), 1)"
+    month = f"CAST({got('mo')} AS INTEGER)" if "mo" in have else named
+    years = "[CAST(" + got("y") + " AS INTEGER)]" if "y" in have else "range(year(received_at) - 2, year(received_at) + 3)"
+    order = f" AND date_order = '{name}'" if name in ("dmy", "mdy") else ""
+    day_name = f" AND ({got('wd')} = '' OR len(list_filter({_WEEKDAYS}, lambda d: lower({got('wd')}) IN (d, substr(d, 1, 3)))) > 0)" if "wd" in have else ""
+    return f"""SELECT record_id, '{name}' AS notation, rec, time_zone, unnest({years}) AS y, {month} AS mo, CAST({got('d')} AS INTEGER) AS d, CAST({got('h')} AS INTEGER) AS h, CAST({got('mi')} AS INTEGER) AS mi, coalesce(try_cast({got('s')} AS INTEGER), 0) AS s,
+CAST(rpad(substr({got('f')}, 1, 6), 6, '0') AS BIGINT) AS f, lower({got('ap')}) AS ap, replace({got('off')}, ':', '') AS off, upper({got('ab')}) AS ab FROM (SELECT *, regexp_extract(t, '^(?:{pattern})$', [{', '.join(f"'{g}'" for g in have)}]) AS g FROM r WHERE regexp_full_match(t, '{pattern}'){order}) WHERE true{day_name}"""
+
+
+_P6 = f"""r AS (SELECT record_id, received_at, epoch_us(received_at) AS rec, trim(start_text, chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)) AS t, time_zone, date_order FROM raw_starts LEFT JOIN exporters USING (exporter_id)),
+n AS (SELECT record_id, rec, CASE WHEN abs(v) < 1e11 THEN 'epoch_s' WHEN abs(v) < 1e14 THEN 'epoch_ms' WHEN abs(v) < 1e17 THEN 'epoch_us' ELSE 'epoch_ns' END AS notation, CASE WHEN abs(v) < 1e11 THEN CAST(floor(CAST(v AS DECIMAL(20,8)) * 1000000) AS BIGINT)
+  WHEN abs(v) < 1e14 THEN CAST(floor(CAST(v AS DECIMAL(22,8)) * 1000) AS BIGINT) WHEN abs(v) < 1e17 THEN CAST(floor(v) AS BIGINT) ELSE CAST(floor(v) AS BIGINT) // 1000 END AS u
+  FROM (SELECT record_id, rec, try_cast(t AS DECIMAL(38,9)) AS v FROM r WHERE regexp_full_match(t, '[+-]?\\d+(?:\\.\\d*)?(?:[eE][+-]?\\d{{1,3}})?') AND NOT regexp_full_match(t, '\\d{{14}}')) WHERE v IS NOT NULL),
+p AS ({' UNION ALL '.join(_notation(n) for n in _NOTATIONS)}),
+w AS (SELECT *, CASE WHEN ap = '' THEN h WHEN h BETWEEN 1 AND 12 THEN h % 12 + CASE ap WHEN 'pm' THEN 12 ELSE 0 END END AS hh, CASE WHEN off <> '' THEN (CASE substr(off, 1, 1) WHEN '-' THEN -1 ELSE 1 END) * (CAST(substr(off, 2, 2) AS INTEGER) * 60 + coalesce(try_cast(substr(off, 4, 2) AS INTEGER), 0))
+  WHEN ab = 'Z' THEN 0 WHEN ab <> '' THEN (SELECT max(offset_minutes) FROM zone_abbreviations z WHERE upper(z.abbreviation) = ab) END AS minutes FROM p),
+l AS (SELECT *, epoch_us(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, hh, mi, s) AS TIMESTAMP)) + f AS wall FROM w WHERE mo BETWEEN 1 AND 12 AND hh < 24 AND mi < 60 AND s < 60 AND (off = '' OR abs(minutes) < 1140 AND coalesce(try_cast(substr(off, 4, 2) AS INTEGER), 0) < 60)),
+e AS (SELECT record_id, notation, rec, wall - minutes * 60000000 AS u FROM l WHERE minutes IS NOT NULL AND wall IS NOT NULL),
+z AS (SELECT *, epoch_us(timezone(time_zone, make_timestamp(wall))) AS c FROM l WHERE off = '' AND ab = '' AND time_zone IS NOT NULL AND wall IS NOT NULL),
+k AS (SELECT record_id, notation, rec, wall, time_zone, c, unnest([c, c - 3600000000, c + 3600000000, c - 1800000000, c + 1800000000]) AS u FROM z),
+m AS (SELECT record_id, notation, rec, wall, bool_or(epoch_us(timezone(time_zone, make_timestamptz(u))) = wall) AS exists_, list(u) FILTER (epoch_us(timezone(time_zone, make_timestamptz(u))) = wall) AS us,
+  any_value(wall - (epoch_us(timezone(time_zone, make_timestamptz(c - 21600000000))) - (c - 21600000000))) AS before FROM k GROUP BY ALL),
+i AS (SELECT record_id, notation, rec, unnest(CASE WHEN exists_ THEN us ELSE [before] END) AS u FROM m),
+a AS (SELECT record_id, notation, rec, u FROM n UNION ALL SELECT * FROM e UNION ALL SELECT * FROM i),
+b AS (SELECT record_id, notation, coalesce(max(u) FILTER (u <= rec), min(u)) AS epoch_us FROM a WHERE abs(rec - u) <= 400 * 86400000000 GROUP BY ALL)"""
 _P4 = f"""WITH {_FLOWS}, t AS (SELECT src_ip, start_us, start_us + greatest(lasts_us, 0) AS end_us, _flow_id FROM f WHERE src_ip IS NOT NULL AND start_us IS NOT NULL),
 l AS (SELECT *, max(end_us) OVER (PARTITION BY src_ip ORDER BY start_us, _flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR start_us > before + 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip ORDER BY start_us, _flow_id) AS k FROM l),
@@ -112,6 +165,8 @@ SELECT index_id, host, {_TOTALS}, coalesce(services, '{{}}') AS services FROM b
     "p5_found": f"WITH {_FLOWS} SELECT src_ip FROM f WHERE src_ip IS NOT NULL GROUP BY 1 HAVING count(*) >= CAST(0.02 AS DECIMAL(18,12)) * (SELECT count(*) FROM f)",
     "p5_hosts": f"""WITH {_FLOWS} SELECT src_ip, count(*) AS flow_count, CAST(count(*) FILTER (mal) AS BIGINT) AS malicious_flow_count, CAST(sum(bytes_out) AS BIGINT) AS bytes_out_total,
 CAST(sum(bytes_in) AS BIGINT) AS bytes_in_total, min(start_us) AS first_us, max(start_us) AS last_us FROM f WHERE src_ip IS NOT NULL GROUP BY 1""",
+    "p6_found": f"WITH {_P6} SELECT record_id, epoch_us FROM b",
+    "p6_notations": f"WITH {_P6} SELECT exporter_id, notation, count(*) AS records FROM b JOIN raw_starts USING (record_id) GROUP BY ALL",
     "p6_orders": r"""WITH t AS (SELECT exporter_id, received_at, regexp_extract(trim(start_text, chr(32)||chr(9)||chr(10)||chr(13)), '^(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([AaPp][Mm]))?(?:\s*([+-]\d{2}(?::?\d{2})?)|\s*([A-Za-z]{1,5}))?$', ['a','b','y','h','mi','s','f','ap','off','ab']) AS g FROM raw_starts),
 v AS (SELECT t.exporter_id, received_at, g.*, CAST(g.h AS INTEGER) AS hour FROM t LEFT JOIN exporters USING (exporter_id) WHERE g.a <> '' AND (time_zone IS NOT NULL OR g.off <> '' OR g.ab <> '') AND CAST(g.mi AS INTEGER) < 60 AND coalesce(try_cast(g.s AS INTEGER), 0) < 60),
 c AS (SELECT *, CASE WHEN ap = '' THEN hour WHEN hour BETWEEN 1 AND 12 THEN hour % 12 + CASE WHEN lower(ap) = 'pm' THEN 12 ELSE 0 END END AS hh FROM v),

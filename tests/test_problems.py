@@ -236,6 +236,13 @@ def test_no_instant(text):
     assert read(text, "2024-06-01T00:00:00", "UTC", "dmy") == {}
 
 
+def test_readings_at_the_ends_of_the_calendar_do_not_fail():
+    texts = ["0001-01-01 00:00:00", "9999-12-31 23:59:59", "0000-01-01 00:00:00", "1" * 500, "9" * 19, "1e999", "-1e30", "Jan 1 00:00:00"]
+    at = np.array([us("0001-01-02T00:00:00"), us("9999-12-31T00:00:00")] + [us("2024-06-01T00:00:00")] * 6)
+    r = instants.read(pa.array(texts), at, [instants.Zone("Asia/Tokyo")], np.zeros(8, int), np.array([""] * 8), AB)
+    assert r.delay.any(1).tolist() == [True, True, False, False, False, False, False, True]
+
+
 def test_local_time_without_zone_names_nothing():
     assert read("2024-05-31 10:00:00", "2024-06-01T00:00:00") == {}
 
