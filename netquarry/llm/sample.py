@@ -41,7 +41,7 @@ def category(c: Column) -> Column:
 
 def stratified_units(units: DataFrame, seed: int) -> DataFrame:
     """(eval_unit_id, unit_type, gold_label, priority), once per id; units with a null category or id are in no stratum. The priority is the first 48 bits of MD5 over seed and id."""
-    u = units.where("eval_unit_id is not null").select("eval_unit_id", category(F.col("unit_type")).alias("unit_type"), category(F.col("gold_label")).alias("gold_label"))
+    u = units.where("eval_unit_id is not null").select(F.col("eval_unit_id").cast("string").alias("eval_unit_id"), category(F.col("unit_type")).alias("unit_type"), category(F.col("gold_label")).alias("gold_label"))
     u = u.groupBy("eval_unit_id").agg(F.min(F.struct(*STRATUM)).alias("c")).select("eval_unit_id", "c.unit_type", "c.gold_label").where("unit_type is not null and gold_label is not null")
     drawn = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("eval_unit_id").cast("string"))), 1, PRIORITY_BITS // 4)
     return u.withColumn("priority", F.conv(drawn, 16, 10).cast("long"))
