@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators import drift, features, heavy_keys, instants, sessions
-from netquarry.sources.tables import table
+from netquarry.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p5_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _normalized(spark: SparkSession, d: str) -> DataFrame:
-    return instants.normalized(table(spark, d, "raw_starts"), table(spark, d, "exporters"), table(spark, d, "zone_abbreviations"))
+    return instants.normalized(spread(table(spark, d, "raw_starts")), table(spark, d, "exporters"), table(spark, d, "zone_abbreviations"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,18 +56,18 @@ def p6_notations(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders of day and month inferred with the declared ones withheld, of exporters whose clear dates all show one order."""
-    starts, exporters = table(spark, d, "raw_starts"), table(spark, d, "exporters")
+    starts, exporters = spread(table(spark, d, "raw_starts")), table(spark, d, "exporters")
     found = instants.inferred_orders(starts, exporters, table(spark, d, "zone_abbreviations"))
     return found.where((F.col("clear_dmy") > 0) != (F.col("clear_mdy") > 0)).drop("ambiguous_records")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = drift.changes(table(spark, d, "raw_files"), table(spark, d, "raw_records"), table(spark, d, "column_aliases"))
+    found = drift.changes(table(spark, d, "raw_files"), spread(table(spark, d, "raw_records")), table(spark, d, "column_aliases"))
     return found.where("top").select("file_id", "field_name", "change_kind")
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.unified(table(spark, d, "raw_files"), table(spark, d, "raw_records"), table(spark, d, "column_aliases"))
+    return drift.unified(table(spark, d, "raw_files"), spread(table(spark, d, "raw_records")), table(spark, d, "column_aliases"))
 
 
 def p7_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ _NESTED = "concat('{\"line\":', line_no, ',\"flow\":{\"srcip\":\"h', record_id %
 
 def p7_nested(spark: SparkSession, d: str) -> DataFrame:
     """Changes, at any depth, of files whose payloads hold the flow in an object; the inner object's name changes with the file's number."""
-    records = table(spark, d, "raw_records").where("file_id is not null").withColumn("payload", F.expr(_NESTED))
+    records = spread(table(spark, d, "raw_records")).where("file_id is not null").withColumn("payload", F.expr(_NESTED))
     found = drift.changes(table(spark, d, "raw_files"), records, table(spark, d, "column_aliases"))
     return found.select("file_id", "field_name", "change_kind", "script_cost")
 

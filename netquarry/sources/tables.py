@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least_bytes: int = 1 << 20) -> DataFrame:
+    """df with its rows dealt over all cores if its files give fewer splits than there are cores, as a few small files or one row group do; what is large or has many files is read as it is split. For tables whose rows cost more to work on than to move."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < least_bytes or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def parquet_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several parquet files as one table, matched by column name. A file that lacks a column of the first is an error."""
     if not paths:

@@ -507,6 +507,17 @@ def test_run_folders_and_json(spark, tmp_path):
     assert [r.value for r in spark.read.text(paths["renderings_jsonl"]).collect()] == ['{"a":1,"b":null}'] * 2
 
 
+def test_few_splits_are_spread(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "uuid() as u").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(one).rdd.getNumPartitions() == cores > one.rdd.getNumPartitions()
+    assert tables.spread(one, 1 << 40).rdd.getNumPartitions() == one.rdd.getNumPartitions()
+    spark.range(200_000).selectExpr("id", "uuid() as u").repartition(8).write.parquet(f"{tmp_path}/many")
+    many = spark.read.option("maxPartitionBytes", 1).parquet(f"{tmp_path}/many")
+    assert tables.spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+
+
 def test_sample_file(spark, tmp_path):
     import hashlib
 
