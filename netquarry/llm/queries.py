@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import encode, leaks, sample, spans, split
-from netquarry.sources.tables import table
+from netquarry.sources.tables import spread, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,23 +38,23 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode(table(spark, d, "documents"))
+    return encode.encode(spread(table(spark, d, "documents")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.held(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return leaks.held(spread(table(spark, d, "documents")), table(spark, d, "heldout_items"))
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return leaks.leaks(spread(table(spark, d, "documents")), table(spark, d, "heldout_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_chars(table(spark, d, "documents"))
+    return spans.shared_chars(spread(table(spark, d, "documents")))
 
 
 def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return spans.clusters(table(spark, d, "documents"))
+    return spans.clusters(spread(table(spark, d, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_report, p3_found, p3_sample, p3_report, p8_ids, p9_found, p9_leaks, p10_found, p10_clusters)}
