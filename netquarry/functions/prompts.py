@@ -57,6 +57,7 @@ def compose(prompts: Prompts, persona: str, ablation: str, scaffold: str, contra
     """The system prompt of a persona under an ablation, checked for forbidden tokens; without playbooks the persona's own one is left out."""
     if persona not in prompts.personas:
         raise LookupError(f"no persona {persona}")
+    # The sections' titles and their order.
     shown = lambda value: f"```json\n{json.dumps(value, indent=2, sort_keys=True)}\n```"
     parts = {"System": scaffold, "Output Contract": shown(contract), "Persona": prompts.personas[persona], "Common Playbook": prompts.common}
     if ablation != "playbooks_off":
